@@ -25,17 +25,16 @@ _TYPE = ["ref", "cur", "amount", "day"]
 
 def mark_simple(edges: DataFrame) -> DataFrame:
     """Flag the edges decided by one look: one row on one side, and nobody else's edges around it."""
-    by_l = edges.groupBy("lt").agg(F.count(F.lit(1)).alias("d_l"))
     by_p = edges.groupBy("pt").agg(F.count(F.lit(1)).alias("d_p"))
-    degrees = edges.join(by_l, "lt").join(by_p, "pt")
-    crowd_l = degrees.groupBy("lt").agg(F.max("d_p").alias("w_l"))
-    crowd_p = degrees.groupBy("pt").agg(F.max("d_l").alias("w_p"))
+    degrees = edges.join(by_p, "pt")
+    by_l = degrees.groupBy("lt").agg(F.count(F.lit(1)).alias("d_l"), F.max("d_p").alias("w_l"))
+    around = degrees.join(by_l, "lt")
+    crowd_p = around.groupBy("pt").agg(F.max("d_l").alias("w_p"))
     return (
-        degrees.join(crowd_l, "lt")
-        .join(crowd_p, "pt")
+        around.join(crowd_p, "pt")
         .withColumn("one_row", (F.col("n_l") == 1) & (F.col("w_l") == 1))
         .withColumn("one_payment", (F.col("n_p") == 1) & (F.col("w_p") == 1))
-        .drop("w_l", "w_p", "d_p")
+        .drop("d_p", "d_l", "w_l", "w_p")
     )
 
 

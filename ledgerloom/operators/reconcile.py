@@ -148,7 +148,7 @@ def match_payments(
         "seq", queue["id"].alias("payment_id"), queue["ref"].alias("ref"),
         queue["amount"].alias("amount"), queue["day"].alias("day"), "pt", "kind", "first",
     )
-    pairs = materialize(assign(exact.unionByName(fuzzy), typed.select("seq", "pt"), book), "pairs")
+    pairs = assign(exact.unionByName(fuzzy), typed.select("seq", "pt"), book)
 
     links = mismatch_links(typed.where("kind = 'M'").select("seq", "ref"), known, pairs)
     outcome = typed.join(pairs, "seq", "left").join(links, "seq", "left")
