@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_parts, event_hash
 from ..functions.scan import with_rank, with_sequence
-from ..functions.scratch import materialize
+from ..functions.scratch import materialize, new_path
 from ..schemas import schema_of
 
 _LOG = "audit_event_log"
@@ -82,34 +82,36 @@ def _link(tip: str):
     return run
 
 
-def append(events: DataFrame, log: DataFrame | None, as_of: datetime, actor: str = "system", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def append(
+    events: DataFrame, log: DataFrame | None, as_of: datetime, actor: str = "system", block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """The rows to add to the log: ``events`` in ``ord`` order, each holding the hash before it.
 
     A hash chain is sequential by definition. Everything but the two hash columns is built
     in parallel; the linking then goes block by block, each block one task over a bounded
     number of rows, stored before the next one starts. Only a block's last hash passes on.
     """
-    rows = materialize(unchained(events, as_of, actor), "events")
+    spark = events.sparkSession
+    rows = unchained(events, as_of, actor)
     head, tail = canonical_parts()
-    texts = rows.select("seq", head.alias("head"), tail.alias("tail"))
-    total = rows.count()
-    tip = ""
-    if log is not None:
-        found = chain_tip(log).select(F.min("event_hash")).first()[0]
-        tip = found or ""
-    links = None
-    for start in range(0, total, block_rows):
-        end = min(start + block_rows, total)
-        block = texts.where((F.col("seq") > start) & (F.col("seq") <= end)).repartition(1).sortWithinPartitions("seq")
-        linked = materialize(
-            block.mapInPandas(_link(tip), "seq bigint, previous_hash string, event_hash string"), "links"
-        )
-        tip = linked.where(F.col("seq") == end).first()["event_hash"]
-        links = linked if links is None else links.unionByName(linked)
+    block = F.floor((F.col("seq") - 1) / F.lit(block_rows)).cast("bigint")
+    rows = rows.withColumns({"head": head, "tail": tail, "block": block})
+    # one folder per block, so that linking a block reads that block alone
+    stored = materialize(rows.repartition("block"), "events", partition_by=["block"])
+    last = stored.groupBy("block").agg(F.max("seq").alias("seq")).orderBy("block").collect()
+    tip = "" if log is None else chain_tip(log).select(F.min("event_hash")).first()[0] or ""
+    schema = "seq bigint, previous_hash string, event_hash string"
+    folder = new_path(spark, "links")
+    for number, end in last:
+        texts = stored.where(F.col("block") == number).select("seq", "head", "tail")
+        in_order = texts.coalesce(1).sortWithinPartitions("seq")
+        path = f"{folder}/{number}"
+        in_order.mapInPandas(_link(tip), schema).write.parquet(path)
+        tip = spark.read.schema(schema).parquet(path).where(F.col("seq") == end).first()["event_hash"]
     names = schema_of(_LOG).names
-    if links is None:
-        return rows.withColumns({"previous_hash": F.lit(""), "event_hash": F.lit("")}).select(*names)
-    return rows.join(links, "seq").select(*names)
+    if not last:
+        return stored.withColumns({"previous_hash": F.lit(""), "event_hash": F.lit("")}).select(*names)
+    return stored.join(spark.read.schema(schema).parquet(f"{folder}/*"), "seq").select(*names)
 
 
 _REPORT = "verified boolean, event_count bigint, batch_id string, event_id string, reason string, position bigint"

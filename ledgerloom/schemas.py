@@ -48,8 +48,15 @@ ENROLLMENT_COLUMNS = (
 )
 
 
+_TYPES = {
+    "string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "boolean": T.BooleanType(),
+    "date": T.DateType(), "timestamp_ntz": T.TimestampNTZType(),
+}
+
+
 def schema_of(table: str) -> T.StructType:
-    return T.StructType.fromDDL(_TABLES[table])
+    columns = (c.split() for c in _TABLES[table].split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in columns])
 
 
 def known(table: str) -> bool:
