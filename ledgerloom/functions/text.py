@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: characters dropped from a reference before it is compared
-SEPARATORS = r"(?U)[\s\x1c-\x1f\-_]+"
+# fixed values: characters dropped from a reference before it is compared: dash, underscore, white space
+SEPARATORS = (
+    "-_ \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # fixed value: subsequences listed per text before the keys switch to text pieces
 MAX_SUBSEQUENCES = 5000
 
 
 def normalize_reference(ref: Column) -> Column:
-    return F.upper(F.regexp_replace(F.coalesce(ref.cast("string"), F.lit("")), SEPARATORS, ""))
+    return F.upper(F.translate(F.coalesce(ref.cast("string"), F.lit("")), SEPARATORS, ""))
 
 
 def common_subsequence_length(a: Column, b: Column) -> Column:

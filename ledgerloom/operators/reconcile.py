@@ -142,7 +142,7 @@ def match_payments(
     known = materialize(book.join(queue.select("ref").distinct(), "ref", "left_semi"), "known")
     exact = materialize(exact_edges(types, known, cfg), "exact")
     kinds = materialize(classified(types, known, exact, cfg), "kinds")
-    fuzzy = fuzzy_edges(kinds.where("kind = 'F'"), book, cfg, pairs_per_bucket)
+    fuzzy = materialize(fuzzy_edges(kinds.where("kind = 'F'"), book, cfg, pairs_per_bucket), "fuzzy")
 
     typed = queue.join(kinds, _same(queue, kinds, _TYPE)).select(
         "seq", queue["id"].alias("payment_id"), queue["ref"].alias("ref"),

@@ -2,7 +2,7 @@ import random
 from datetime import date, datetime, timedelta
 
 import pytest
-from walk import walk
+from walk import plain, walk
 
 from ledgerloom.config import ReconConfig
 from ledgerloom.operators import reconcile as R
@@ -169,3 +169,11 @@ def test_results_summary_status_and_events(spark):
     assert status == {"P1": "matched", "P2": "exception", "P3": "unmatched"}
     events = R.audit_rows(matched, "B-1").orderBy("ord").collect()
     assert [(e.event_type, e.entity_type) for e in events] == [("match", "reconciliation"), ("exception_open", "exception")]
+
+
+def test_normal_form_drops_all_white_space(spark):
+    texts = ["".join(chr(c) for c in range(0x3100)), " ref_t_0002 ", "ref\tm\n0001", "---", None, "Ünï-ß"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.n for r in df.select("i", R.normalize_reference(df.t).alias("n")).collect()}
+    assert got[0] == plain(texts[0]) or {c for c in got[0] if c.isspace()} == set()
+    assert [got[i] for i in range(1, 6)] == [plain(t) for t in texts[1:]]
