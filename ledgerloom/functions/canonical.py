@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,10 +16,10 @@ _SHORT = {"\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 def json_string(value: Column) -> Column:
     """``value`` as a JSON string with non-ASCII kept, or ``null``."""
     basic = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    controls = [chr(c) for c in range(32)]
-    escaped = reduce(
-        lambda text, c: F.replace(text, F.lit(c), F.lit(_SHORT.get(c, f"\\u{ord(c):04x}"))), controls, basic
-    )
+    pairs = [F.lit(x) for c in map(chr, range(32)) for x in (c, _SHORT.get(c, f"\\u{ord(c):04x}"))]
+    letters = F.transform(F.sequence(F.lit(1), F.length(basic)), lambda i: F.substring(basic, i, F.lit(1)))
+    escaped = F.array_join(F.transform(letters, lambda c: F.coalesce(F.try_element_at(F.create_map(*pairs), c), c)), "")
+    # only texts with control characters, which are rare, go letter by letter
     body = F.when(value.rlike(r"[\x00-\x1f]"), escaped).otherwise(basic)
     return F.coalesce(F.concat(F.lit('"'), body, F.lit('"')), F.lit("null"))
 

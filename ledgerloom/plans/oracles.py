@@ -241,6 +241,19 @@ ORACLES: dict[str, str] = {
     "evidence_exceptions": with_clause("fx_exception_queue") + """SELECT count(*) AS total, count(*) FILTER (WHERE status = 'open') AS open, count(*) FILTER (WHERE status = 'in_progress') AS in_progress,
       count(*) FILTER (WHERE status = 'resolved') AS resolved FROM fx_exception_queue""",
     "evidence_manifest": "SELECT 'B1' AS batch_id, count(*) AS events, true AS verified, CAST(min(ts) AS VARCHAR) AS first_event, CAST(max(ts) AS VARCHAR) AS last_event FROM events",
+    "staging_transactions": with_clause("fx_transactions") + """SELECT transaction_id, account_id, transaction_type, amount, currency, CAST(posting_date AS VARCHAR) AS posting_date,
+      reference_id, CAST(created_at AS VARCHAR) AS created_at, status FROM fx_transactions""",
+    "staging_payment_records": with_clause("fx_payment_records") + """SELECT payment_id, file_id, reference_id, amount, currency, CAST(payment_date AS VARCHAR) AS payment_date,
+      status FROM fx_payment_records""",
+    "staging_pending_enrollments": with_clause("fx_pending_enrollments") + """SELECT enrollment_id, entity_id, program_code, enrollment_date || ' 00:00:00' AS enrollment_date,
+      incentive_amount, term_months, region, submitted_by, status FROM fx_pending_enrollments""",
+    "source_file_filter": with_clause("fx_payment_records") + "SELECT payment_id, amount FROM fx_payment_records WHERE file_id = 'FILE-0001'",
+    "store_replace_and_append": with_clause("fx_accounts") + "SELECT account_id, account_type, current_balance, status FROM fx_accounts",
+    "store_query": with_clause("fx_transactions") + """SELECT status, count(*) AS n, round(sum(amount), 2) AS total FROM fx_transactions
+      WHERE amount > 1000 AND created_at < TIMESTAMP '1998-07-01 00:00:00' GROUP BY 1""",
+    "csv_payments": with_clause("fx_payment_records") + "SELECT payment_id, reference_id, amount, currency, CAST(payment_date AS VARCHAR) AS payment_date FROM fx_payment_records",
+    "enroll_stream": _ENROLL.replace("min(enrollment_id) OVER (PARTITION BY trim(entity_id)) < enrollment_id AS again", "false AS again")
+    + "SELECT enrollment_id, entity_id, CAST(amt AS DOUBLE) AS incentive_amount, a_cents / CAST(100 AS DOUBLE) AS expected_payout FROM o WHERE outcome = 'accepted'",
     "data_tests": with_clause("fx_transactions", "fx_payment_records", "fx_exception_queue", "fx_pending_enrollments") + "\nUNION ALL ".join(
         [
             f"SELECT '{t}' AS table_name, '{c}' AS column_name, 'not_null' AS test, count(*) FILTER (WHERE {c} IS NULL) AS failing_rows FROM fx_{t} "

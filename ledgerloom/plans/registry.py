@@ -12,7 +12,12 @@ from ..functions.canonical import event_hash
 from ..functions.text import normalize_reference
 from ..operators import audit, datatests, enrollment, exceptions, quality, reconcile
 from ..operators.fuzzy import fuzzy_edges
+from ..functions.scratch import new_path
+from ..schemas import ENROLLMENT_COLUMNS
+from ..sources import files
 from ..sources.staging import stage
+from ..sources.tables import TableStore, conform
+from ..streaming.intake import start_intake
 from . import fixtures as fx
 from . import marts
 
@@ -371,6 +376,59 @@ def audit_time_range(spark: SparkSession, sf: str) -> DataFrame:
     return _text(log.agg(F.min("timestamp").alias("first_event"), F.max("timestamp").alias("last_event")))
 
 
+# -- sources and sinks ------------------------------------------------------ #
+
+
+def staging_transactions(spark: SparkSession, sf: str) -> DataFrame:
+    staged = stage("transactions", conform(fx.load(spark, sf, "fx_transactions"), "transactions"))
+    return _text(staged.drop("value_date"))
+
+
+def staging_payment_records(spark: SparkSession, sf: str) -> DataFrame:
+    staged = stage("payment_records", conform(fx.load(spark, sf, "fx_payment_records"), "payment_records"))
+    return _text(staged.drop("direction", "counterparty", "expected_posting_date"))
+
+
+def staging_pending_enrollments(spark: SparkSession, sf: str) -> DataFrame:
+    staged = stage("pending_enrollments", conform(fx.load(spark, sf, "fx_pending_enrollments"), "pending_enrollments"))
+    return _text(staged.drop("created_at"))
+
+
+def source_file_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return files.payments_of_file(fx.load(spark, sf, "fx_payment_records"), "FILE-0001").select("payment_id", "amount")
+
+
+def store_replace_and_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Written, replaced by a part of itself, and appended to."""
+    store, accounts = TableStore(spark, new_path(spark, "store")), fx.load(spark, sf, "fx_accounts")
+    store.write("accounts", accounts, "replace")
+    store.write("accounts", store.read("accounts").where("status = 'active'"), "replace")
+    store.write("accounts", accounts.where("status <> 'active'"), "append")
+    return store.read("accounts").select("account_id", "account_type", "current_balance", "status")
+
+
+def store_query(spark: SparkSession, sf: str) -> DataFrame:
+    store = TableStore(spark, new_path(spark, "store"))
+    store.write("transactions", fx.load(spark, sf, "fx_transactions"), "replace")
+    sql = "SELECT status, count(*) AS n, round(sum(amount), 2) AS total FROM transactions WHERE amount > :least AND created_at < :until GROUP BY status"
+    return store.query(sql, {"least": 1000.0, "until": fx.ORDERS_AS_OF})
+
+
+def csv_payments(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_path(spark, "csv")
+    files.write_csv(fx.load(spark, sf, "fx_payment_records"), path)
+    return _text(files.read_payments(spark, path).select("payment_id", "reference_id", "amount", "currency", "payment_date"))
+
+
+def enroll_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Enrollment files through the streaming intake; entities are not compared within a file."""
+    folder, store = new_path(spark, "intake"), TableStore(spark, new_path(spark, "store"))
+    files.write_csv(fx.load(spark, sf, "fx_pending_enrollments").select(*ENROLLMENT_COLUMNS), folder)
+    query = start_intake(store, folder, new_path(spark, "stream"), fx.ENROLL_AS_OF)
+    query.awaitTermination()
+    return store.read("accepted_enrollments").select("enrollment_id", "entity_id", "incentive_amount", "expected_payout")
+
+
 # -- data tests ------------------------------------------------------------ #
 
 
@@ -405,6 +463,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         enroll_summary, enroll_mismatch_view, enroll_decide,
         audit_event_hash, audit_append, audit_tip, audit_verify, audit_verify_altered, audit_verify_removed,
         audit_recent, audit_time_range, evidence_summary, evidence_exceptions, evidence_manifest,
+        staging_transactions, staging_payment_records, staging_pending_enrollments, source_file_filter,
+        store_replace_and_append, store_query, csv_payments, enroll_stream,
         data_tests, data_tests_marts,
     )
 }

@@ -1,7 +1,6 @@
 """A payment-by-payment walk over small tables, written from the matching rules."""
 
 import re
-from datetime import timedelta  # noqa: F401
 
 
 def plain(ref):
@@ -21,6 +20,11 @@ def closeness(a, b):
 def walk(payments, ledger, tol, window, threshold, stale, today):
     """payments: (id, ref, amount, currency, day); ledger alike. Returns {id: (status, method, link, confidence, reason)}."""
     taken, out = set(), {}
+    refs = {t[0]: plain(t[1]) for t in ledger}
+    by_ref, by_currency = {}, {}
+    for t in sorted(ledger):
+        by_ref.setdefault(refs[t[0]], []).append(t)
+        by_currency.setdefault(t[3], []).append(t)
 
     def agrees(p, t):
         return t[3] == p[3] and p[2] is not None and t[2] is not None and abs(p[2] - t[2]) <= tol
@@ -30,7 +34,7 @@ def walk(payments, ledger, tol, window, threshold, stale, today):
 
     for p in sorted(payments):
         ref = plain(p[1])
-        same = [t for t in sorted(ledger) if plain(t[1]) == ref]
+        same = by_ref.get(ref, [])
         fitting = [t for t in same if fits(p, t)]
         free = [t for t in fitting if t[0] not in taken]
         if free:
@@ -43,8 +47,8 @@ def walk(payments, ledger, tol, window, threshold, stale, today):
             out[p[0]] = ("exception", None, link[0], 0.0, "amount_mismatch")
         else:
             rated = [
-                (closeness(ref, plain(t[1])), t[0])
-                for t in ledger
+                (closeness(ref, refs[t[0]]), t[0])
+                for t in by_currency.get(p[3], [])
                 if ref and t[0] not in taken and fits(p, t)
             ]
             rated = [r for r in rated if r[0] >= threshold]
