@@ -39,7 +39,9 @@ def fuzzy_edges(types: DataFrame, ledger: DataFrame, cfg: ReconConfig, pairs_per
         .select("pt", "n_p", F.col("ref").alias("p_ref"), "cur", F.col("amount").alias("p_amount"),
                 F.col("day").alias("p_day"), "db", "ab")
     )
-    offered = materialize(ledger_types(ledger, cfg, asking.select(*_CELL).distinct()), "offered")
+    # stored, so that the planner knows their size and need not shuffle the ledger when they are few
+    cells = materialize(asking.select(*_CELL).distinct(), "cells")
+    offered = materialize(ledger_types(ledger, cfg, cells), "offered")
     crowded = (
         asking.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("a"))
         .join(offered.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("b")), _CELL)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import DQConfig
 from ..functions.scan import exact_quantiles
+from ..functions.scratch import materialize
 
 # fixed values: the rule a check type stands for when none is named
 _IMPLIED = {"timeliness": "staleness", "anomaly": "zscore"}
@@ -165,7 +166,9 @@ def _prepare(check: Check, df: DataFrame, cfg: DQConfig, read: TableReader, as_o
         if p.get("reference_dataset"):
             other = cfg.datasets.get(p["reference_dataset"], {}).get("table", p["reference_dataset"])
             parent = read(other)
-        check.missing_keys = missing_parents(df, name, parent, p.get("reference_field", "account_id"))
+        lost = missing_parents(df, name, parent, p.get("reference_field", "account_id"))
+        # stored, so that the planner knows their size and need not shuffle the dataset when they are few
+        check.missing_keys = materialize(lost, "missing")
 
 
 @dataclass

@@ -71,6 +71,7 @@ def exact_edges(types: DataFrame, known: DataFrame, cfg: ReconConfig) -> DataFra
 def classified(types: DataFrame, known: DataFrame, edges: DataFrame, cfg: ReconConfig) -> DataFrame:
     """Each payment type as E (has an exact edge), M (amount mismatch) or F (free for fuzzy)."""
     firsts = edges.groupBy("pt").agg(F.min("l_first").alias("first"))
+    has_edge = types.join(firsts, "pt").select("pt", "n_p", *_TYPE, F.lit("E").alias("kind"), "first")
     refs = known.select("ref").distinct().withColumn("ref_known", F.lit(True))
     spans = (
         known.where("amount IS NOT NULL AND NOT isnan(amount)")
@@ -78,23 +79,21 @@ def classified(types: DataFrame, known: DataFrame, edges: DataFrame, cfg: ReconC
         .groupBy("ref", "cur", "fb")
         .agg(F.min("amount").alias("low"), F.max("amount").alias("high"))
     )
-    rest = types.join(firsts, "pt", "left_anti").where("amount IS NOT NULL AND NOT isnan(amount)")
+    number = F.when(~F.isnan("amount"), F.col("amount"))
+    rest = types.join(firsts, "pt", "left_anti").join(refs, "ref", "left")
+    rest = rest.withColumn("fb", F.explode_outer(bands.fine_buckets(number, cfg)))
     # the two ends of a narrow bucket decide whether any amount in it is within tolerance
-    agreeing = (
-        rest.withColumn("fb", F.explode(bands.fine_buckets(F.col("amount"), cfg)))
-        .join(spans, ["ref", "cur", "fb"])
-        .where(bands.within_amount(F.col("amount"), F.col("low"), cfg)
-               | bands.within_amount(F.col("amount"), F.col("high"), cfg))
-        .select("pt", F.lit(True).alias("amount_agrees")).distinct()
-    )
-    kind = (
-        F.when(F.col("first").isNotNull(), "E")
-        .when(F.col("ref_known") & F.col("amount_agrees").isNull(), "M")
-        .otherwise("F")
-    )
-    return (
-        types.join(firsts, "pt", "left").join(refs, "ref", "left").join(agreeing, "pt", "left")
-        .select("pt", "n_p", *_TYPE, kind.alias("kind"), "first")
+    near = bands.within_amount(number, F.col("low"), cfg) | bands.within_amount(number, F.col("high"), cfg)
+    others = (
+        rest.join(spans, ["ref", "cur", "fb"], "left")
+        .groupBy("pt", "n_p", *_TYPE, "ref_known")
+        .agg(F.coalesce(F.bool_or(near), F.lit(False)).alias("agrees"))
+    )
+    return has_edge.unionByName(
+        others.select(
+            "pt", "n_p", *_TYPE, F.when(F.col("ref_known") & ~F.col("agrees"), "M").otherwise("F").alias("kind"),
+            F.lit(None).cast(firsts.schema["first"].dataType).alias("first"),
+        )
     )
 
 

@@ -13,6 +13,7 @@ def build_session(app: str = "ledgerloom", master: str | None = None, **conf: st
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.parquet.inferTimestampNTZ.enabled", "true")
     )
     if master:
