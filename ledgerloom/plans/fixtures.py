@@ -74,6 +74,15 @@ SELECT 'EXC-DQ-' || lpad(CAST(event_id AS STRING), 6, '0') AS exception_id,
        ts AS created_at, CAST(NULL AS TIMESTAMP) AS resolved_at,
        CAST(NULL AS STRING) AS resolution_notes, CAST(NULL AS STRING) AS root_cause
 FROM events""", ("events",)),
+    # many equal rows on both sides: payments and ledger rows of one user, amount and day are copies
+    "fx_copied_payments": ("""
+SELECT 'P' || lpad(CAST(event_id AS STRING), 10, '0') AS payment_id, 'user-' || CAST(user_id % 200 AS STRING) AS reference_id,
+       CAST(event_id % 3 AS DOUBLE) * 10 AS amount, 'USD' AS currency, CAST(ts AS DATE) AS payment_date, 'unmatched' AS status
+FROM events WHERE event_type IN ('purchase', 'click', 'error')""", ("events",)),
+    "fx_copied_ledger": ("""
+SELECT 'T' || lpad(CAST(event_id AS STRING), 10, '0') AS transaction_id, 'USER_' || CAST(user_id % 200 AS STRING) AS reference_id,
+       CAST(event_id % 3 AS DOUBLE) * 10 AS amount, 'USD' AS currency, CAST(ts AS DATE) AS posting_date
+FROM events WHERE event_type IN ('view', 'signup')""", ("events",)),
     "fx_audit_events": ("""
 SELECT event_id AS ord, ts AS timestamp,
        CASE event_type WHEN 'purchase' THEN 'match' WHEN 'error' THEN 'exception_open' ELSE 'dq_check' END AS event_type,

@@ -161,6 +161,16 @@ ORACLES: dict[str, str] = {
       round(CAST(1 AS DOUBLE) - CAST(2 * levenshtein(p.ref, l.ref) AS DOUBLE) / (length(p.ref) + length(l.ref)), 4) AS score
       FROM p JOIN l ON p.currency = l.currency AND p.d BETWEEN l.d - 1 AND l.d + 1 AND abs(p.amount - l.amount) <= 1.0
       WHERE p.ref NOT IN (SELECT ref FROM l) AND length(p.ref) = length(l.ref) AND levenshtein(p.ref, l.ref) <= 1""",
+    "recon_copies": with_clause("fx_copied_payments", "fx_copied_ledger") + """,
+      p AS (SELECT payment_id, split_part(reference_id, '-', 2) AS u, amount, payment_date AS d, row_number() OVER (PARTITION BY reference_id, amount, payment_date ORDER BY payment_id) AS k FROM fx_copied_payments),
+      l AS (SELECT transaction_id, split_part(reference_id, '_', 2) AS u, amount, posting_date AS d, row_number() OVER (PARTITION BY reference_id, amount, posting_date ORDER BY transaction_id) AS k FROM fx_copied_ledger),
+      j AS (SELECT p.payment_id, p.d, m.transaction_id AS own, f.transaction_id AS first_one,
+                   p.u IN (SELECT u FROM l) AND (p.u, p.amount) NOT IN (SELECT (u, amount) FROM l) AS off
+            FROM p LEFT JOIN l m USING (u, amount, d, k) LEFT JOIN l f ON f.u = p.u AND f.amount = p.amount AND f.d = p.d AND f.k = 1)
+      SELECT payment_id, CASE WHEN own IS NOT NULL THEN 'matched' WHEN first_one IS NOT NULL OR off OR date_diff('day', d, DATE '2024-02-01') > 30 THEN 'exception' ELSE 'unmatched_payment' END AS match_status,
+        CASE WHEN own IS NOT NULL THEN 'exact' END AS match_method,
+        CASE WHEN own IS NOT NULL THEN NULL WHEN first_one IS NOT NULL THEN 'duplicate' WHEN off THEN 'amount_mismatch' WHEN date_diff('day', d, DATE '2024-02-01') > 30 THEN 'stale' END AS exception_reason,
+        coalesce(own, first_one) AS ledger_transaction_id FROM j""",
     "recon_events": _RECON + """SELECT CASE match_status WHEN 'matched' THEN 'match' ELSE 'exception_open' END AS event_type,
       CASE match_status WHEN 'matched' THEN 'reconciliation' ELSE 'exception' END AS entity_type, 'RECON-BATCH-001-' || lpad(CAST(seq AS VARCHAR), 6, '0') AS entity_id,
       CASE match_status WHEN 'matched' THEN 'match' ELSE 'exception_open' END AS action, 'BATCH-001' AS batch_id FROM matched WHERE match_status IN ('matched', 'exception')""",

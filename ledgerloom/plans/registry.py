@@ -93,6 +93,18 @@ def recon_fuzzy_edges(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def recon_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """Copies against copies: the k-th payment of a group gets the k-th ledger row, the rest are duplicates."""
+    cfg = ReconConfig(amount_tolerance=0.5, date_window_days=0, fuzzy_threshold=1.0)
+    payments, ledger = fx.load(spark, sf, "fx_copied_payments"), fx.load(spark, sf, "fx_copied_ledger")
+    matched = reconcile.match_payments(payments, ledger, cfg, fx.EVENTS_AS_OF)
+    linked = F.col("match_method").isNotNull() | (F.col("exception_reason") == "duplicate")
+    return matched.select(
+        "payment_id", "match_status", "match_method", "exception_reason",
+        F.when(linked, F.col("ledger_transaction_id")).alias("ledger_transaction_id"),
+    )
+
+
 def recon_events(spark: SparkSession, sf: str) -> DataFrame:
     _, _, matched = _matched(spark, sf)
     return reconcile.audit_rows(matched, BATCH).drop("ord")
@@ -454,7 +466,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         recon_normalize, recon_results, recon_unmatched_ledger, recon_summary, recon_status_update, recon_fuzzy_edges,
-        recon_events, recon_breakdown, recon_control_totals, mart_recon_summary,
+        recon_copies, recon_events, recon_breakdown, recon_control_totals, mart_recon_summary,
         dq_results, dq_routed, dq_events, dq_summary_totals, dq_zscore, dq_iqr, dq_referential, dq_range,
         dq_record_count, mart_dq_summary, dq_dataset_scores,
         exc_amount_at_risk, exc_queue, exc_queue_fixed_sla, exc_assign, exc_resolve, mart_exception_aging,
