@@ -25,6 +25,11 @@ def is_stale(day: Column, as_of: datetime, cfg: ReconConfig) -> Column:
     return F.datediff(F.lit(as_of.date()), day) > F.lit(cfg.stale_days)
 
 
+def whole_days(later: Column, earlier: Column) -> Column:
+    """Full days between two zone-free timestamps, whatever the session's time zone."""
+    return F.extract(F.lit("DAY"), later.cast("timestamp_ntz") - earlier.cast("timestamp_ntz"))
+
+
 def matchable(amount: Column, day: Column) -> Column:
     return amount.isNotNull() & ~F.isnan(amount) & day.isNotNull()
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DQConfig
+from ..functions.bands import whole_days
 from ..functions.scan import exact_quantiles
 from ..functions.scratch import materialize
 
@@ -93,7 +94,7 @@ def range_fails(value: Column, minimum: float | None, maximum: float | None) ->
 
 def stale_fails(value: Column, as_of: datetime, max_age_days: int) -> Column:
     now = F.lit(as_of.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
-    age = F.floor(F.timestamp_diff("SECOND", value.try_cast("timestamp_ntz"), now) / 86400)
+    age = whole_days(now, value.try_cast("timestamp_ntz"))
     return F.coalesce(age > F.lit(int(max_age_days)), F.lit(False))
 
 

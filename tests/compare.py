@@ -21,7 +21,7 @@ def connect(sf):
 def plain(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return None
-    return round(value, 6) if isinstance(value, float) else value
+    return value
 
 
 def rows_of(names, rows):
