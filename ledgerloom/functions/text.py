@@ -20,24 +20,49 @@ def normalize_reference(ref: Column) -> Column:
 
 
 def common_subsequence_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, as a fold over the two texts."""
-    width = F.length(b)
+    """Length of the longest common subsequence; up to 60 letters as bit arithmetic on one number."""
+    found = F.when(F.length(b) <= 60, _common_by_bits(a, b)).otherwise(_common_by_rows(a, b))
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(found)
 
-    def next_row(row: Column, i: Column) -> Column:
-        letter = F.substring(a, i, F.lit(1))
 
+def _letters(text: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)))
+
+
+def _common_by_bits(a: Column, b: Column) -> Column:
+    """One bit per letter of ``b``; a letter of ``a`` clears the next bit it can extend a subsequence by."""
+    one = F.lit(1).cast("bigint")
+    full = F.call_function("shiftleft", one, F.length(b)) - 1
+
+    def where_in_b(letter: Column) -> Column:
+        def add(bits: Column, j: Column) -> Column:
+            bit = F.call_function("shiftleft", one, j - 1)
+            return F.when(F.substring(b, j, F.lit(1)) == letter, bits.bitwiseOR(bit)).otherwise(bits)
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.lit(0).cast("bigint"), add)
+
+    def step(left: Column, places: Column) -> Column:
+        hit = left.bitwiseAND(places)
+        return (left + hit).bitwiseOR(left - hit).bitwiseAND(full)
+
+    last = F.aggregate(F.transform(_letters(a), where_in_b), full, step)
+    return F.length(b) - F.bit_count(last)
+
+
+def _common_by_rows(a: Column, b: Column) -> Column:
+    """The same as a fold over rows of lengths."""
+
+    def next_row(row: Column, letter: Column) -> Column:
         def cell(done: Column, j: Column) -> Column:
             grown = F.when(
                 letter == F.substring(b, j, F.lit(1)), F.element_at(row, j) + 1
             ).otherwise(F.greatest(F.element_at(done, j), F.element_at(row, j + 1)))
             return F.concat(done, F.array(grown))
 
-        return F.aggregate(F.sequence(F.lit(1), width), F.array(F.lit(0)), cell)
+        return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(F.lit(0)), cell)
 
-    zeros = F.array_repeat(F.lit(0), width + 1)
-    last = F.aggregate(F.sequence(F.lit(1), F.length(a)), zeros, next_row)
-    full = F.element_at(last, -1)
-    return F.when((F.length(a) == 0) | (width == 0), F.lit(0)).otherwise(full)
+    zeros = F.array_repeat(F.lit(0), F.length(b) + 1)
+    return F.element_at(F.aggregate(_letters(a), zeros, next_row), -1)
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -2,9 +2,10 @@ import random
 from datetime import date, datetime, timedelta
 
 import pytest
-from walk import plain, walk
+from walk import closeness, plain, walk
 
 from ledgerloom.config import ReconConfig
+from ledgerloom.functions.text import similarity
 from ledgerloom.operators import reconcile as R
 
 DAY = date(2026, 8, 20)
@@ -139,10 +140,10 @@ def test_crowded_buckets_equal_a_walk(spark):
     def row(kind, i):
         return (f"{kind}{i:04d}", near(rng.choice(base)), 100.0 + rng.choice((0, 0.3, 1.2)), "USD", DAY + timedelta(rng.choice((0, 1))))
 
-    payments = [row("P", i) for i in range(100)]
-    ledger = [row("T", i) for i in range(100)]
+    payments = [row("P", i) for i in range(60)]
+    ledger = [row("T", i) for i in range(60)]
     check(spark, payments, ledger, ReconConfig(fuzzy_threshold=0.85), pairs_per_bucket=0)
-    check(spark, payments[:60], ledger[:60], ReconConfig(fuzzy_threshold=0.7), pairs_per_bucket=0)
+    check(spark, payments[:20], ledger[:20], ReconConfig(fuzzy_threshold=0.7), pairs_per_bucket=0)
 
 
 def test_copies_and_an_intruder(spark):
@@ -177,3 +178,12 @@ def test_normal_form_drops_all_white_space(spark):
     got = {r.i: r.n for r in df.select("i", R.normalize_reference(df.t).alias("n")).collect()}
     assert got[0] == plain(texts[0]) or {c for c in got[0] if c.isspace()} == set()
     assert [got[i] for i in range(1, 6)] == [plain(t) for t in texts[1:]]
+
+
+def test_similarity_equals_a_table(spark):
+    rng = random.Random(3)
+    pairs = [("".join(rng.choice("ABC") for _ in range(rng.randrange(1, n))), "".join(rng.choice("ABC") for _ in range(rng.randrange(1, n))))
+             for n in [12] * 60 + [62] * 20 + [75] * 6]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for r in df.select("a", "b", similarity(df.a, df.b).alias("s")).collect():
+        assert r.s == closeness(r.a, r.b)
