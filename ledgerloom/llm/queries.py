@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_planes, cost_packing, curriculum, host_reputation, prefix_targets
-from .common import table
+from . import bit_planes, cost_packing, curriculum, host_reputation, prefix_targets, suffix_tree
+from .common import fold, table
 
 
 def vocabulary(name: str) -> str:
@@ -32,6 +32,11 @@ def op1_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judge(known, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 1, F.lit(False))
+    return suffix_tree.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def op3_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = bit_planes.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 0)
     return bit_planes.read(spark, files)
@@ -59,7 +64,7 @@ def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_host_reputation, op3_bit_planes, op4_prefix_targets, op9_cost_packing, op10_curriculum)}
+QUERIES = {f.__name__: f for f in (op1_host_reputation, op2_suffix_tree, op3_bit_planes, op4_prefix_targets, op9_cost_packing, op10_curriculum)}
 
 ORACLES = {}
 ORACLES["op1_host_reputation"] = """
