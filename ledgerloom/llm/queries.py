@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_planes, cost_packing, curriculum, host_reputation, multiset_hash, prefix_targets, suffix_tree
+from . import bit_planes, cost_packing, curriculum, hilbert, host_reputation, multiset_hash, prefix_targets, suffix_tree
 from .common import fold, table
 
 
@@ -52,6 +52,10 @@ def op4_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_targets.digest(prefix_targets.expand(turns.unionByName(marked)))
 
 
+def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op8_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.compare(table(spark, sf_dir, "documents"))
 
@@ -68,7 +72,7 @@ def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_host_reputation, op2_suffix_tree, op3_bit_planes, op4_prefix_targets, op8_multiset_hash, op9_cost_packing, op10_curriculum)}
+QUERIES = {f.__name__: f for f in (op1_host_reputation, op2_suffix_tree, op3_bit_planes, op4_prefix_targets, op5_hilbert, op8_multiset_hash, op9_cost_packing, op10_curriculum)}
 
 ORACLES = {}
 ORACLES["op1_host_reputation"] = """
