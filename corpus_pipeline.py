@@ -7,11 +7,27 @@ before; what one returns is written as Parquet and read again as the next one's
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.functions.scratch import materialize
-from ledgerloom.llm import cost_packing, curriculum
+from ledgerloom.llm import cost_packing, curriculum, neighbour_vote, ngram_jaccard
+from ledgerloom.llm.common import fold, table
 from ledgerloom.llm.queries import vocabulary
 
+LEAST_QUALITY = 0.7
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the vote of their labelled neighbours calls good."""
+    usable = F.coalesce(fold(F.col("doc_id"), 4) != 2, F.lit(False))
+    voters = neighbour_vote.fit(docs, table(spark, sf_dir, "labels"), usable)
+    return neighbour_vote.score(docs, voters, name="_score").where(F.col("_score") >= LEAST_QUALITY).select(docs.columns)
+
+
+def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return ngram_jaccard.keep_one(docs)
+
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents in training order, by the curriculum over sources."""
@@ -23,14 +39,14 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cost_packing.pieces(docs, vocabulary("word_bpe_49k.json"), 1)
 
 
-STAGES = [("mix", mixed), ("pack", packed)]
+STAGES = [("quality", good), ("near duplicates", single), ("mix", mixed), ("pack", packed)]
 
 # tokenizer and classifier are beyond SQL
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_planes, cost_packing, curriculum, hilbert, host_reputation, multiset_hash, prefix_targets, suffix_tree
+from . import (
+    bit_planes, cost_packing, curriculum, hilbert, host_reputation, multiset_hash, neighbour_vote, ngram_jaccard, prefix_targets, suffix_tree,
+)
 from .common import fold, table
 
 
@@ -56,6 +58,22 @@ def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def quality_voters(spark: SparkSession, sf_dir: str) -> neighbour_vote.Voters:
+    """Learned from labelled documents of ``sf_dir`` that are not held out."""
+    usable = F.coalesce(fold(F.col("doc_id"), 4) != 2, F.lit(False))
+    return neighbour_vote.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), usable)
+
+
+def op6_neighbour_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = neighbour_vote.score(table(spark, sf_dir, "documents").select("doc_id", "text"), quality_voters(spark, sf_dir))
+    held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op8_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.compare(table(spark, sf_dir, "documents"))
 
@@ -72,7 +90,13 @@ def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_host_reputation, op2_suffix_tree, op3_bit_planes, op4_prefix_targets, op5_hilbert, op8_multiset_hash, op9_cost_packing, op10_curriculum)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_host_reputation, op2_suffix_tree, op3_bit_planes, op4_prefix_targets, op5_hilbert, op6_neighbour_vote, op7_ngram_jaccard,
+        op8_multiset_hash, op9_cost_packing, op10_curriculum,
+    )
+}
 
 ORACLES = {}
 ORACLES["op1_host_reputation"] = """
