@@ -60,7 +60,7 @@ def bands_for(threshold: float, recall: float, most_hashes: int = 256) -> tuple[
     """Bands and rows: the most selective that find a pair at the threshold with the target recall."""
     best = (1, 1)
     for rows in range(1, 65):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
         if bands * rows <= most_hashes:
             best = (bands, rows)
     return best

@@ -2,7 +2,7 @@
 
 A conversation is written turn by turn as ``### role: text</turn>`` and a line end. Inside roles and
 texts a backslash is put before a backslash, between two ``#`` and after ``<`` before ``/``, so no
-mark can occur there and the text can be read back. Every assistant turn makes an example: all turns
+mark can occur there and the text can be read back; in roles one is put before ``:`` as well. Every assistant turn makes an example: all turns
 before it as context, then its own, of which only the reply's text is trainable. Turns after the last
 reply, or a conversation without one, make a last example without a target.
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 # fixed values of the template
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 TRAINED = "assistant"
+TURN = r"(?s)^### ((?:[^\\:]++|\\.)*+): (.*)$"
 
 
 def escape(text: Column) -> Column:
@@ -48,7 +49,7 @@ def expand(
         "ts",
         lambda t: F.struct(
             t["role"].alias("role"), F.length(escape(t["text"])).alias("reply"),
-            F.concat(F.lit(OPEN), escape(t["role"]), F.lit(MIDDLE), escape(t["text"]), F.lit(CLOSE)).alias("text"),
+            F.concat(F.lit(OPEN), F.replace(escape(t["role"]), F.lit(":"), F.lit("\\:")), F.lit(MIDDLE), escape(t["text"]), F.lit(CLOSE)).alias("text"),
         ),
     )
     lines = gathered.select("conv_id", written.alias("ts"))
@@ -89,8 +90,7 @@ def digest(examples: DataFrame) -> DataFrame:
     # the last example holds every turn; the final line end leaves an empty part
     parts = F.filter(F.split("whole", "</turn>\n"), lambda p: p != "")
     parsed = F.transform(parts, lambda p: F.concat(
-        unescape(F.regexp_extract(p, r"(?s)^### (.*?): (.*)$", 1)), F.lit("\n"),
-        unescape(F.regexp_extract(p, r"(?s)^### (.*?): (.*)$", 2)), F.lit("\n"),
+        unescape(F.regexp_extract(p, TURN, 1)), F.lit("\n"), unescape(F.regexp_extract(p, TURN, 2)), F.lit("\n"),
     ))
     return merged.select(
         "conv_id", F.size(parts).cast("bigint").alias("n_turns"),

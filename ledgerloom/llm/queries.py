@@ -160,7 +160,7 @@ WITH turns AS (
   SELECT *, 2 * length(role || text) - length(replace(role || text, '\', ''))
     + length(role) - length(regexp_replace(role, '#+', '#', 'g')) + length(text) - length(regexp_replace(text, '#+', '#', 'g'))
     + (2 * length(role) - length(replace(role, '</', ''))  - length(role)) // 2 + (2 * length(text) - length(replace(text, '</', '')) - length(text)) // 2
-    + 14 AS chars
+    + length(role) - length(replace(role, ':', '')) + 14 AS chars
   FROM turns
 ), run AS (
   SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS upto,
