@@ -22,7 +22,8 @@ class ReconConfig:
 class DQConfig:
     datasets: dict[str, dict[str, Any]] = field(default_factory=dict)
     type_weights: dict[str, float] = field(default_factory=dict)
-    max_exceptions_per_check: int = 25
+    # None routes every failing row; a number keeps the first of each check and counts the rest as withheld
+    max_exceptions_per_check: int | None = None
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,6 @@ class EnrollmentRules:
 # fixed values: the standard quality checks
 DEFAULT_DQ = yaml.safe_load("""
 type_weights: {completeness: 1.0, accuracy: 1.0, consistency: 1.0, timeliness: 1.0, anomaly: 0.0}
-max_exceptions_per_check: 25
 datasets:
   transactions:
     table: transactions
@@ -107,10 +107,11 @@ def recon_config(path: str | Path | None = None) -> ReconConfig:
 def dq_config(path: str | Path | None = None) -> DQConfig:
     """Quality settings. A path that does not exist is an error, not an empty set of checks."""
     raw = _read(path) if path else DEFAULT_DQ
+    cap = raw.get("max_exceptions_per_check")
     return DQConfig(
         datasets=raw.get("datasets", {}),
         type_weights=raw.get("type_weights", {}),
-        max_exceptions_per_check=int(raw.get("max_exceptions_per_check", 25)),
+        max_exceptions_per_check=None if cap is None else int(cap),
     )
 
 

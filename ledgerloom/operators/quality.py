@@ -1,7 +1,8 @@
-"""Typed quality checks over a dataset: one pass gives every check's failing rows.
+"""Typed quality checks over a dataset: one pass gives every check's failing rows and counts.
 
 Each row-level check is a boolean column. Mean, deviation and quartiles are computed first,
-for all checks of a dataset that need them, and enter the pass as plain numbers.
+for all checks of a dataset that need them, and enter the pass as plain numbers. A run stores
+the failing rows of routed checks while it counts; results, exceptions and events come from there.
 """
 
 from __future__ import annotations
@@ -10,14 +11,15 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import DQConfig
 from ..functions.bands import whole_days
-from ..functions.scan import exact_quantiles
+from ..functions.scan import exact_quantiles, with_rank, with_sequence
 from ..functions.scratch import materialize
 
 # fixed values: the rule a check type stands for when none is named
@@ -79,8 +81,16 @@ def _no_number(value: Column) -> Column:
     return value.isNull() | F.isnan(value)
 
 
-def is_blank(value: Column) -> Column:
-    return value.isNull() | (F.regexp_replace(value.cast("string"), r"(?U)\s", "") == "")
+def is_blank(value: Column, kind: str = "string") -> Column:
+    """Null, not a number, or nothing but white space; ``kind`` is the column's type."""
+    blank = value.isNull() | (F.regexp_replace(value.cast("string"), r"(?U)\s", "") == "")
+    return blank | F.isnan(value) if kind in ("double", "float") else blank
+
+
+def _key_text(df: DataFrame, name: str) -> Column:
+    """A column as text, null where it is not a number."""
+    value = F.col(name)
+    return (F.when(~F.isnan(value), value) if dict(df.dtypes)[name] in ("double", "float") else value).cast("string")
 
 
 def range_fails(value: Column, minimum: float | None, maximum: float | None) -> Column:
@@ -94,14 +104,31 @@ def range_fails(value: Column, minimum: float | None, maximum: float | None) ->
 
 def stale_fails(value: Column, as_of: datetime, max_age_days: int) -> Column:
     now = F.lit(as_of.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
-    age = whole_days(now, value.try_cast("timestamp_ntz"))
+    # text with a zone is an instant: it is moved to UTC, where a plain cast would drop the offset
+    zoned = value.cast("string").rlike(r"\d{2}:\d{2}.*(Z|[+-]\d{2}(:?\d{2})?)$")
+    shifted = F.convert_timezone(F.current_timezone(), F.lit("UTC"), value.try_cast("timestamp").cast("timestamp_ntz"))
+    age = whole_days(now, F.when(zoned, shifted).otherwise(value.try_cast("timestamp_ntz")))
     return F.coalesce(age > F.lit(int(max_age_days)), F.lit(False))
 
 
-def zscore_fails(df: DataFrame, name: str, threshold: float) -> Column:
+def _usable(df: DataFrame, name: str) -> Column:
     value = _number(df, name)
-    usable = F.when(~_no_number(value), value)
-    mean, spread = df.agg(F.avg(usable), F.stddev_pop(usable)).first()
+    return F.when(~_no_number(value), value)
+
+
+def moments(df: DataFrame, names: list[str]) -> dict[str, tuple[float | None, float | None]]:
+    """Mean and deviation of several columns, in one aggregate."""
+    if not names:
+        return {}
+    row = df.agg(*[f(_usable(df, n)) for n in names for f in (F.avg, F.stddev_pop)]).first()
+    return {n: (row[2 * i], row[2 * i + 1]) for i, n in enumerate(names)}
+
+
+def zscore_fails(
+    df: DataFrame, name: str, threshold: float, known: dict[str, tuple[float | None, float | None]] | None = None
+) -> Column:
+    usable = _usable(df, name)
+    mean, spread = (known or moments(df, [name]))[name]
     if spread is None or spread == 0 or not math.isfinite(spread):
         return F.lit(False)
     return F.coalesce(F.abs(usable - F.lit(mean)) / F.lit(spread) > F.lit(float(threshold)), F.lit(False))
@@ -120,14 +147,16 @@ def iqr_fails(df: DataFrame, name: str, threshold: float) -> Column:
 
 def missing_parents(child: DataFrame, name: str, parent: DataFrame | None, parent_name: str) -> DataFrame:
     """Distinct child keys without a parent. Keys are reduced before they are shuffled, so hot keys cost nothing."""
-    keys = child.select(F.col(name).cast("string").alias("key")).where("key IS NOT NULL").distinct()
+    keys = child.select(_key_text(child, name).alias("key")).where("key IS NOT NULL").distinct()
     if parent is None:
         return keys
-    known = parent.select(F.col(parent_name).cast("string").alias("key")).where("key IS NOT NULL").distinct()
+    known = parent.select(_key_text(parent, parent_name).alias("key")).where("key IS NOT NULL").distinct()
     return keys.join(known, "key", "left_anti")
 
 
-def _prepare(check: Check, df: DataFrame, cfg: DQConfig, read: TableReader, as_of: datetime) -> None:
+def _prepare(
+    check: Check, df: DataFrame, cfg: DQConfig, read: TableReader, as_of: datetime, known: dict[str, tuple[float | None, float | None]]
+) -> None:
     p, rule = check.params, check.rule
     name = p.get("field")
     if rule == "count":
@@ -150,16 +179,16 @@ def _prepare(check: Check, df: DataFrame, cfg: DQConfig, read: TableReader, as_o
         over = available.isNotNull() & current.isNotNull() & ~F.isnan(available) & ~F.isnan(current) & (available > current)
         check.failing = scope & F.coalesce(over, F.lit(False))
     elif rule == "null":
-        check.failing = is_blank(F.col(name))
+        check.failing = is_blank(F.col(name), dict(df.dtypes)[name])
     elif rule == "range":
         check.failing = range_fails(_number(df, name), p.get("min", p.get("minimum")), p.get("maximum"))
     elif rule == "enum":
-        value = F.col(name).cast("string")
+        value = _key_text(df, name)
         check.failing = value.isNotNull() & ~value.isin([str(v) for v in p["values"]])
     elif rule == "staleness":
         check.failing = stale_fails(F.col(name), as_of, p["max_age_days"])
     elif rule == "zscore":
-        check.failing = zscore_fails(df, name, p.get("threshold", 3.0))
+        check.failing = zscore_fails(df, name, p.get("threshold", 3.0), known)
     elif rule == "iqr":
         check.failing = iqr_fails(df, name, p.get("threshold", 1.5))
     elif rule == "referential":
@@ -189,8 +218,10 @@ def flag_dataset(dataset: str, cfg: DQConfig, read: TableReader, as_of: datetime
     for raw in spec.get("checks", []):
         named.setdefault(raw.get("name"), raw)
     checks = [plan_check(dataset, i, raw, named) for i, raw in enumerate(spec.get("checks", []), start=1)]
+    measured = {c.params["field"] for c in checks if c.rule == "zscore" and c.params.get("field") in df.columns}
+    known = moments(df, sorted(measured))
     for check in checks:
-        _prepare(check, df, cfg, read, as_of)
+        _prepare(check, df, cfg, read, as_of, known)
     id_field = spec.get("id_field")
     has_id = id_field in df.columns
     order = [spec.get("order_field", id_field)] if has_id else []
@@ -198,19 +229,24 @@ def flag_dataset(dataset: str, cfg: DQConfig, read: TableReader, as_of: datetime
     for check in checks:
         if check.missing_keys is not None:
             lost = check.missing_keys.withColumnRenamed("key", f"_lost_{check.seq}")
-            flagged = flagged.join(lost, flagged[check.fields[0]].cast("string") == lost[f"_lost_{check.seq}"], "left")
+            flagged = flagged.join(lost, _key_text(df, check.fields[0]) == lost[f"_lost_{check.seq}"], "left")
             check.failing = F.col(f"_lost_{check.seq}").isNotNull()
     ids = [F.col(id_field).cast("string").alias("_id"), *[F.col(o).alias("_order") for o in order]] if has_id else []
     flags = [c.failing.alias(c.flag) for c in checks if c.failing is not None]
     return DatasetRun(dataset, id_field if has_id else None, order, checks, flagged.select(*ids, *flags))
 
 
+def _counts(run: DatasetRun) -> list[Column]:
+    flags = [F.count_if(F.col(c.flag)).alias(c.flag) for c in run.checks if c.failing is not None]
+    return [F.count(F.lit(1)).alias("checked"), *flags]
+
+
 def check_results(run: DatasetRun, as_of: datetime) -> DataFrame:
     """Rows of ``dq_results`` for one dataset, from a single aggregate over its flagged rows."""
-    counts = [F.count(F.lit(1)).alias("checked")]
-    for c in run.checks:
-        if c.failing is not None:
-            counts.append(F.count_if(F.col(c.flag)).alias(c.flag))
+    return _result_rows(run, run.flagged.agg(*_counts(run)), as_of)
+
+
+def _result_rows(run: DatasetRun, counted: DataFrame, as_of: datetime) -> DataFrame:
     rows = []
     for c in run.checks:
         failing = F.col(c.flag) if c.failing is not None else (
@@ -220,14 +256,15 @@ def check_results(run: DatasetRun, as_of: datetime) -> DataFrame:
             F.lit(f"DQ-{run.dataset}-{c.seq:04d}").alias("dq_check_id"), F.lit(run.dataset).alias("dataset_name"),
             F.lit(c.type).alias("check_type"), F.lit(c.name).alias("check_name"),
             failing.cast("bigint").alias("failing"), F.lit(c.warning).cast("string").alias("warning"),
+            F.lit(c.seq).alias("seq"), F.lit(bool(c.routed and c.failing is not None and run.id_field)).alias("routed"),
         ))
-    listed = run.flagged.agg(*counts).select("checked", F.explode(F.array(*rows)).alias("c")).select("checked", "c.*")
+    listed = counted.select("checked", F.explode(F.array(*rows)).alias("c")).select("checked", "c.*")
     stamp = F.lit(as_of.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
     return listed.select(
         "dq_check_id", "dataset_name", "check_type", "check_name", (F.col("failing") == 0).alias("passed"),
         F.col("failing").cast("int").alias("failing_records"),
         check_score(F.col("checked"), F.col("failing")).alias("quality_score"), stamp.alias("checked_at"),
-        "checked", "warning",
+        "checked", "warning", "seq", "routed",
     )
 
 
@@ -236,24 +273,19 @@ def check_score(checked: Column, failing: Column) -> Column:
     return F.when(checked <= 0, F.lit(100.0)).otherwise(F.round(F.lit(100.0) * kept / checked, 4))
 
 
-def failing_rows(run: DatasetRun, cap: int) -> DataFrame:
-    """Up to ``cap`` failing ids of each routed check, in table order: (seq, name, severity, id, place)."""
-    routed = [c for c in run.checks if c.routed and c.failing is not None]
+def failing_rows(run: DatasetRun) -> DataFrame:
+    """Every failing id of every routed check: (seq, check_name, severity, _order, _id)."""
+    return _hits(run, run.flagged)
+
+
+def _hits(run: DatasetRun, flagged: DataFrame) -> DataFrame:
     entries = [
         F.when(F.col(c.flag), F.struct(F.lit(c.seq).alias("seq"), F.lit(c.name).alias("check_name"), F.lit(c.severity).alias("severity")))
-        for c in routed
+        for c in run.checks if c.routed and c.failing is not None
     ]
-    any_fails = F.lit(False)
-    for c in routed:
-        any_fails = any_fails | F.col(c.flag)
-    hits = (
-        run.flagged.where(any_fails)
-        .select("_id", "_order", F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("c"))
-        .select("_id", "_order", "c.*")
-    )
-    # the rank limit is applied before the shuffle, so each task sends at most ``cap`` rows per check
-    first = Window.partitionBy("seq").orderBy("_order", "_id")
-    return hits.withColumn("place", F.row_number().over(first)).where(F.col("place") <= cap).drop("_order")
+    return flagged.select(
+        "_id", F.col("_order").cast("string").alias("_order"), F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("c")
+    ).select("c.seq", "c.check_name", "c.severity", "_order", "_id")
 
 
 @dataclass
@@ -263,47 +295,60 @@ class QualityRun:
     events: DataFrame
 
 
+def quality_results(cfg: DQConfig, read: TableReader, as_of: datetime, dataset: str | None = None) -> DataFrame:
+    """Result rows alone: one aggregate per dataset, nothing routed or stored."""
+    parts = [check_results(flag_dataset(name, cfg, read, as_of), as_of) for name in _chosen(cfg, dataset)]
+    return reduce(DataFrame.unionByName, parts).drop("seq", "routed")
+
+
+def _chosen(cfg: DQConfig, dataset: str | None) -> list[str]:
+    if dataset is not None and dataset not in cfg.datasets:
+        raise ValueError(f"no checks are configured for dataset '{dataset}'")
+    names = [dataset] if dataset is not None else list(cfg.datasets)
+    if not names:
+        raise ValueError("no datasets are configured")
+    return names
+
+
 def run_quality(
     cfg: DQConfig, read: TableReader, as_of: datetime, batch_id: str, dataset: str | None = None
 ) -> QualityRun:
-    """All configured checks: result rows, routed exceptions and unchained audit events."""
-    names = list(cfg.datasets)
-    if dataset is not None:
-        if dataset not in cfg.datasets:
-            raise ValueError(f"no checks are configured for dataset '{dataset}'")
-        names = [dataset]
-    if not names:
-        raise ValueError("no datasets are configured")
-    results = failing = None
-    for place, name in enumerate(names):
+    """All configured checks: result rows, routed exceptions and unchained audit events.
+
+    A dataset is read once: its failing rows are written while its counts are observed (a number per check
+    reaches the driver). Every failing row is routed. ``max_exceptions_per_check`` is for callers who want a
+    shorter queue: the first rows of each check stay, and ``withheld`` of the results counts the others.
+    """
+    results, failing, cap = [], [], cfg.max_exceptions_per_check
+    for place, name in enumerate(_chosen(cfg, dataset)):
         run = flag_dataset(name, cfg, read, as_of)
-        rows = check_results(run, as_of).withColumn("place", F.lit(place))
-        results = rows if results is None else results.unionByName(rows)
         if run.id_field and any(c.routed and c.failing is not None for c in run.checks):
-            hits = failing_rows(run, cfg.max_exceptions_per_check).select(
-                F.lit(place).alias("set_place"), F.lit(name).alias("dataset_name"), "seq", "check_name", "severity", "_id", "place"
-            )
-            failing = hits if failing is None else failing.unionByName(hits)
-    exceptions = None if failing is None else _exceptions(failing, batch_id, as_of)
-    if exceptions is None:
-        spark = results.sparkSession
-        exceptions = _exceptions(spark.createDataFrame([], _HITS), batch_id, as_of)
-    events = _events(exceptions, results, batch_id)
-    return QualityRun(
-        results.drop("place"), exceptions.drop("check_name", "exc_seq"), events
-    )
-
-
-_HITS = "set_place int, dataset_name string, seq int, check_name string, severity string, _id string, place int"
+            seen = Observation()
+            hits = materialize(_hits(run, run.flagged.observe(seen, *_counts(run))), "failing")
+            counted = hits.sparkSession.createDataFrame([seen.get])
+            failing.append(hits.select(F.lit(place).alias("set_place"), F.lit(name).alias("dataset_name"), *hits.columns))
+        else:
+            counted = run.flagged.agg(*_counts(run))
+        results.append(_result_rows(run, counted, as_of).withColumn("place", F.lit(place)))
+    rows = reduce(DataFrame.unionByName, results)
+    withheld = F.greatest(F.col("failing_records") - F.lit(cap), F.lit(0)) if cap is not None else F.lit(0)
+    rows = rows.withColumn("withheld", F.when(F.col("routed"), withheld).otherwise(0).cast("bigint")).drop("routed", "seq")
+    spark = rows.sparkSession
+    hits = reduce(DataFrame.unionByName, failing) if failing else spark.createDataFrame([], _HITS)
+    if cap is not None:
+        hits = with_rank(hits, ["set_place", "seq"], ["_order", "_id"], "_place").where(F.col("_place") <= cap).drop("_place")
+    exceptions = _exceptions(hits, batch_id, as_of)
+    return QualityRun(rows.drop("place"), exceptions.drop("check_name", "exc_seq"), _events(exceptions, rows, batch_id))
+
+
+_HITS = "set_place int, dataset_name string, seq int, check_name string, severity string, _order string, _id string"
 
 
 def _exceptions(failing: DataFrame, batch_id: str, as_of: datetime) -> DataFrame:
-    # at most cap rows per configured check reach this numbering
-    line = Window.partitionBy(F.lit(0)).orderBy("set_place", "seq", "place")
     stamp = F.lit(as_of.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
     nothing = F.lit(None)
     severity = F.when(F.col("severity").isin("high", "medium", "low"), F.col("severity")).otherwise("low")
-    numbered = failing.withColumn("exc_seq", F.row_number().over(line))
+    numbered = with_sequence(failing, ["set_place", "seq", "_order", "_id"], "exc_seq")
     return numbered.select(
         F.format_string(f"EXC-{batch_id.replace('%', '%%')}-%06d", "exc_seq").alias("exception_id"), F.lit("dq").alias("source"),
         F.concat("dataset_name", F.lit(":"), "_id").alias("reference_id"), severity.alias("priority"),

@@ -90,9 +90,9 @@ dq AS (SELECT place, 'DQ-' || dataset_name || '-' || lpad(CAST(seq AS VARCHAR),
               count(*) FILTER (WHERE fails) = 0 AS passed, count(*) FILTER (WHERE fails) AS failing_records,
               round(100 * CAST(count(*) FILTER (WHERE NOT fails) AS DOUBLE) / count(*), 4) AS quality_score, '1998-07-01 00:00:00' AS checked_at
        FROM flags GROUP BY place, dataset_name, seq, check_type, check_name),
-capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY place, seq ORDER BY id) AS n FROM flags WHERE fails AND check_type <> 'anomaly') WHERE n <= 25),
+listed AS (SELECT *, row_number() OVER (PARTITION BY place, seq ORDER BY id) AS n FROM flags WHERE fails AND check_type <> 'anomaly'),
 routed AS (SELECT 'EXC-DQ-001-' || lpad(CAST(row_number() OVER (ORDER BY place, seq, n) AS VARCHAR), 6, '0') AS exception_id, 'dq' AS source,
-                  dataset_name || ':' || id AS reference_id, severity AS priority, 'open' AS status, check_name FROM capped),
+                  dataset_name || ':' || id AS reference_id, severity AS priority, 'open' AS status, check_name FROM listed),
 typed AS (SELECT dataset_name, check_type, avg(quality_score) AS s, CASE check_type WHEN 'anomaly' THEN 0 ELSE 1 END AS w FROM dq GROUP BY 1, 2)
 """
 
@@ -180,6 +180,8 @@ ORACLES: dict[str, str] = {
     "mart_recon_summary": _RECON + _MART_RECON,
     "dq_results": _DQ + "SELECT * EXCLUDE (place) FROM dq",
     "dq_routed": _DQ + "SELECT * EXCLUDE (check_name) FROM routed",
+    "dq_routed_capped": _DQ + """SELECT dataset_name, coalesce(r, 0) AS routed, coalesce(w, 0) AS withheld FROM (SELECT DISTINCT dataset_name FROM flags) LEFT JOIN (
+      SELECT dataset_name, count(*) FILTER (WHERE n <= 25) AS r, count(*) FILTER (WHERE n > 25) AS w FROM listed GROUP BY 1) USING (dataset_name)""",
     "dq_events": _DQ + """SELECT 'exception_open' AS event_type, 'exception' AS entity_type, exception_id AS entity_id, 'exception_open:' || check_name AS action, 'DQ-001' AS batch_id FROM routed
       UNION ALL SELECT 'dq_check', 'dq_check', dq_check_id, check_name, 'DQ-001' FROM dq""",
     "dq_summary_totals": _DQ + """SELECT count(*) AS checks_run, count(*) FILTER (WHERE passed) AS checks_passed, count(*) FILTER (WHERE NOT passed) AS checks_failed,

@@ -127,11 +127,9 @@ def mart_recon_summary(spark: SparkSession, sf: str) -> DataFrame:
 # -- data quality ---------------------------------------------------------- #
 
 
-def _dq(names: dict[str, str]) -> DQConfig:
+def _dq(names: dict[str, str], cap: int | None = None) -> DQConfig:
     base = dq_config()
-    return DQConfig(
-        {k: {**base.datasets[k], "table": v} for k, v in names.items()}, base.type_weights, base.max_exceptions_per_check
-    )
+    return DQConfig({k: {**base.datasets[k], "table": v} for k, v in names.items()}, base.type_weights, cap)
 
 
 _FX_SETS = {
@@ -140,12 +138,12 @@ _FX_SETS = {
 }
 
 
-def _quality(spark: SparkSession, sf: str) -> quality.QualityRun:
-    return quality.run_quality(_dq(_FX_SETS), lambda t: fx.load(spark, sf, t), fx.ORDERS_AS_OF, "DQ-001")
+def _quality(spark: SparkSession, sf: str, cap: int | None = None) -> quality.QualityRun:
+    return quality.run_quality(_dq(_FX_SETS, cap), lambda t: fx.load(spark, sf, t), fx.ORDERS_AS_OF, "DQ-001")
 
 
 def _dq_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return _quality(spark, sf).results
+    return quality.quality_results(_dq(_FX_SETS), lambda t: fx.load(spark, sf, t), fx.ORDERS_AS_OF)
 
 
 def dq_results(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,6 +154,14 @@ def dq_routed(spark: SparkSession, sf: str) -> DataFrame:
     return _quality(spark, sf).exceptions.select("exception_id", "source", "reference_id", "priority", "status")
 
 
+def dq_routed_capped(spark: SparkSession, sf: str) -> DataFrame:
+    """A queue cut to 25 rows a check, as a caller may ask for, and how many rows each check withheld."""
+    run = _quality(spark, sf, cap=25)
+    kept = run.exceptions.groupBy(F.split("reference_id", ":")[0].alias("dataset_name")).agg(F.count(F.lit(1)).alias("routed"))
+    held = run.results.groupBy("dataset_name").agg(F.sum("withheld").alias("withheld"))
+    return held.join(kept, "dataset_name", "left").select("dataset_name", F.coalesce("routed", F.lit(0)).alias("routed"), "withheld")
+
+
 def dq_events(spark: SparkSession, sf: str) -> DataFrame:
     return _quality(spark, sf).events.select("event_type", "entity_type", "entity_id", "action", "batch_id")
 
@@ -467,7 +473,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         recon_normalize, recon_results, recon_unmatched_ledger, recon_summary, recon_status_update, recon_fuzzy_edges,
         recon_copies, recon_events, recon_breakdown, recon_control_totals, mart_recon_summary,
-        dq_results, dq_routed, dq_events, dq_summary_totals, dq_zscore, dq_iqr, dq_referential, dq_range,
+        dq_results, dq_routed, dq_routed_capped, dq_events, dq_summary_totals, dq_zscore, dq_iqr, dq_referential, dq_range,
         dq_record_count, mart_dq_summary, dq_dataset_scores,
         exc_amount_at_risk, exc_queue, exc_queue_fixed_sla, exc_assign, exc_resolve, mart_exception_aging,
         staging_exception_queue,

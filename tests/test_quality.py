@@ -10,13 +10,13 @@ from ledgerloom.operators import quality as Q
 AS_OF = datetime(2026, 9, 1)
 
 
-def failing(spark, check, rows, schema, tables=None, cap=25):
+def failing(spark, check, rows, schema, tables=None):
     """(failing count, failing ids, warning) of one check."""
     cfg = DQConfig({"d": {"table": "d", "id_field": "id", "checks": [{"type": "accuracy", "name": "c", **check}]}})
     tables = {**(tables or {}), "d": spark.createDataFrame(rows, schema)}
     run = Q.flag_dataset("d", cfg, tables.__getitem__, AS_OF)
     result = Q.check_results(run, AS_OF).first()
-    ids = sorted(r["_id"] for r in Q.failing_rows(run, cap).collect()) if run.checks[0].failing is not None else []
+    ids = sorted(r["_id"] for r in Q.failing_rows(run).collect()) if run.checks[0].failing is not None else []
     return result.failing_records, ids, result.warning
 
 
@@ -46,7 +46,7 @@ def test_referential_ignores_null_keys(spark):
     child = spark.createDataFrame([("1", "A"), ("2", "B"), ("3", None), ("4", "B")], "id string, k string")
     run = Q.flag_dataset("d", cfg, {"parents": parents, "d": child}.__getitem__, AS_OF)
     assert Q.check_results(run, AS_OF).first().failing_records == 2
-    assert sorted(r["_id"] for r in Q.failing_rows(run, 9).collect()) == ["2", "4"]
+    assert sorted(r["_id"] for r in Q.failing_rows(run).collect()) == ["2", "4"]
 
 
 def test_consistency_leaves_loans_out(spark):
@@ -109,7 +109,7 @@ def test_caps_numbers_and_events(spark):
         {"type": "accuracy", "rule": "range", "name": "quiet", "field": "amount", "min": 0, "route_failures": False},
     ]}}, {}, 25)
     run = Q.run_quality(cfg, {"t": tx}.__getitem__, AS_OF, "B")
-    assert [r.failing_records for r in run.results.orderBy("dq_check_id").collect()] == [40, 30, 30]
+    assert [(r.failing_records, r.withheld) for r in run.results.orderBy("dq_check_id").collect()] == [(40, 15), (30, 5), (30, 0)]
     exc = run.exceptions.orderBy("exception_id").collect()
     assert len(exc) == 50 and exc[0].exception_id == "EXC-B-000001" and exc[0].reference_id == "t:T000"
     assert {e.priority for e in exc[:25]} == {"high"} and {e.priority for e in exc[25:]} == {"low"}
@@ -117,6 +117,33 @@ def test_caps_numbers_and_events(spark):
     assert kinds == ["exception_open"] * 50 + ["dq_check"] * 3
 
 
+def test_every_failing_row_is_routed_without_a_cap(spark):
+    tx = spark.range(300).select(F.format_string("T%04d", "id").alias("id"), F.lit(None).cast("string").alias("ref"))
+    cfg = DQConfig({"t": {"table": "t", "id_field": "id", "checks": [{"type": "completeness", "name": "refs", "field": "ref"}]}})
+    run = Q.run_quality(cfg, {"t": tx}.__getitem__, AS_OF, "B")
+    rows = run.exceptions.orderBy("exception_id").collect()
+    assert [r.exception_id for r in rows] == [f"EXC-B-{i:06d}" for i in range(1, 301)] and rows[299].reference_id == "t:T0299"
+    assert run.results.first().withheld == 0
+    plan = run.exceptions._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+
+
+def test_not_a_number_is_missing(spark):
+    rows = [("1", float("nan")), ("2", None), ("3", 1.0)]
+    assert failing(spark, {"type": "completeness", "field": "v"}, rows, "id string, v double")[1] == ["1", "2"]
+    enum = {"rule": "enum", "field": "v", "values": ["1.0"]}
+    assert failing(spark, enum, rows, "id string, v double")[1] == []
+    parents = spark.createDataFrame([(1.0,)], "pid double")
+    lost = Q.missing_parents(spark.createDataFrame(rows, "id string, v double"), "v", parents, "pid")
+    assert lost.count() == 0
+
+
+def test_text_with_an_offset_is_an_instant(spark):
+    rows = [("1", "2026-08-01 00:30:00+05:00"), ("2", "2026-07-31T19:30:00Z"), ("3", "2026-08-02T01:00:00+00:00"), ("4", "2026-08-02")]
+    check = {"type": "timeliness", "field": "v", "max_age_days": 30}
+    assert failing(spark, check, rows, "id string, v string")[1] == ["1", "2"]
+
+
 def test_standard_checks(spark):
     cfg = dq_config()
     assert sum(len(d["checks"]) for d in cfg.datasets.values()) == 17 and len(cfg.datasets) == 4
