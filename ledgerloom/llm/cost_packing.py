@@ -130,7 +130,7 @@ def pieces(
         base = TaskContext.get().partitionId() << 33
         keys, ids, ends, held = [], [], [], 0
         for batch in batches:
-            for piece in slices(batch, "text", 1 << 22):
+            for piece in slices(batch, "text", 1 << 21):
                 own, offsets = ended(*encoder(tokenizer).encode(piece.column("text")), end)
                 keys += piece.column("key").to_pylist()
                 ids.append(own)

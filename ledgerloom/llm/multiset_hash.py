@@ -161,7 +161,7 @@ def compare(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     def run(batches):
         held = None  # the document whose next is still to come
         for batch in batches:
-            for piece in slices(batch, "text", 1 << 22):
+            for piece in slices(batch, "text", 1 << 21):
                 columns = [piece.column(c).to_pylist() for c in ("range", "tail", "key", "text")]
                 rows = list(zip(*columns, fingerprints(columns[3])))
                 pairs = []

@@ -110,16 +110,20 @@ class Voters:
         return out
 
 
-def learn(rows: np.ndarray, labels: np.ndarray, dimensions: int) -> Voters:
-    """Idf weights and the leading singular directions of labelled rows."""
-    seen = (rows > 0).sum(axis=0)
+def learn(rows: np.ndarray, labels: np.ndarray, dimensions: int, block: int = 512) -> Voters:
+    """Idf weights and the leading singular directions of labelled rows, taken some rows at a time."""
+    parts = [slice(i, i + block) for i in range(0, len(rows), block)]
+    seen = sum(((rows[p] > 0).sum(axis=0) for p in parts), np.zeros(TERMS, dtype=np.int64))
     weights = (np.log((1 + len(rows)) / (1 + seen)) + 0.3).astype(np.float32)
-    if not len(rows):
-        return Voters(weights, np.zeros((TERMS, dimensions), np.float32), np.zeros((0, dimensions), np.float32), labels)
-    weighted = rows * weights
-    values, vectors = np.linalg.eigh(weighted.T @ weighted)
-    model = Voters(weights, np.ascontiguousarray(vectors[:, ::-1][:, :dimensions]).astype(np.float32), None, labels)
-    model.vectors = model.project(rows)
+    model = Voters(weights, np.zeros((TERMS, dimensions), np.float32), np.zeros((0, dimensions), np.float32), labels)
+    if not parts:
+        return model
+    products = np.zeros((TERMS, TERMS), dtype=np.float32)
+    for p in parts:
+        weighted = rows[p].astype(np.float32) * weights
+        products += weighted.T @ weighted
+    model.basis = np.ascontiguousarray(np.linalg.eigh(products)[1][:, ::-1][:, :dimensions]).astype(np.float32)
+    model.vectors = np.concatenate([model.project(rows[p].astype(np.float32)) for p in parts])
     return model
 
 
@@ -137,14 +141,14 @@ def fit(
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, "text", 1 << 22):
+            for piece in slices(batch, "text", 1 << 20):
                 made = [r.tobytes() for r in features(piece.column("text")).astype(np.float16)]
                 yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("label"), pa.array(made, pa.binary())], names=["id", "label", "terms"])
 
     kind = known.schema["id"].dataType.simpleString()
-    held = found.mapInArrow(run, f"id {kind}, label int, terms binary").toPandas().sort_values("id")
-    terms = np.frombuffer(b"".join(held["terms"]), dtype=np.float16).reshape(-1, TERMS).astype(np.float32)
-    return learn(terms, held["label"].to_numpy(dtype=np.int64), dimensions)
+    held = found.mapInArrow(run, f"id {kind}, label int, terms binary").toArrow().sort_by("id")
+    terms = text_bytes(held.column("terms"))[0].view(np.float16).reshape(-1, TERMS)
+    return learn(terms, np.asarray(held.column("label")).astype(np.int64), dimensions)
 
 
 def score(docs: DataFrame, voters: Voters, text: str = "text", name: str = "score", neighbours: int = 25, power: float = 8.0) -> DataFrame:
@@ -154,7 +158,7 @@ def score(docs: DataFrame, voters: Voters, text: str = "text", name: str = "scor
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, text, 1 << 22):
+            for piece in slices(batch, text, 1 << 20):
                 votes = shared.value.vote(features(piece.column(text)), neighbours, power)
                 yield pa.RecordBatch.from_arrays([piece.column(c) for c in kept] + [pa.array(votes)], names=[*kept, name])
 

@@ -102,7 +102,7 @@ def prints(docs: DataFrame, threshold: float, recall: float, n: int, key: str, t
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, "text", 1 << 22):
+            for piece in slices(batch, "text", 1 << 21):
                 sets = shingles(piece.column("text"), n)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 made = [[]] * len(sets)
