@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..config import ReconConfig
 
-# amounts past this bucket number share one bucket, which keeps bucket arithmetic in range
-_EDGE = 9.0e15
+# amounts past this bucket number share one bucket, which keeps bucket arithmetic in range; a step between
+# doubles is more than half a tolerance there, for fine buckets
+_EDGE = 9.1e15
 
 
 def within_amount(a: Column, b: Column, cfg: ReconConfig) -> Column:
@@ -30,8 +31,12 @@ def whole_days(later: Column, earlier: Column) -> Column:
     return F.extract(F.lit("DAY"), later.cast("timestamp_ntz") - earlier.cast("timestamp_ntz"))
 
 
+def finite(amount: Column) -> Column:
+    return amount.isNotNull() & ~F.isnan(amount) & (F.abs(amount) != F.lit(float("inf")))
+
+
 def matchable(amount: Column, day: Column) -> Column:
-    return amount.isNotNull() & ~F.isnan(amount) & day.isNotNull()
+    return finite(amount) & day.isNotNull()
 
 
 def _amount_width(cfg: ReconConfig) -> float:
@@ -58,18 +63,36 @@ def amount_buckets(amount: Column, cfg: ReconConfig) -> Column:
     return F.sequence(_slot(amount - reach, width), _slot(amount + reach, width))
 
 
+def _fine_width(cfg: ReconConfig) -> float:
+    return cfg.amount_tolerance / 2.0 if cfg.amount_tolerance > 0 else 0.01
+
+
+def _past_edge(amount: Column, cfg: ReconConfig) -> Column:
+    return F.abs(amount) / F.lit(_fine_width(cfg)) >= F.lit(_EDGE)
+
+
 def fine_bucket(amount: Column, cfg: ReconConfig) -> Column:
-    """A bucket of half the tolerance, so whatever shares it is within tolerance."""
-    if cfg.amount_tolerance <= 0:
-        return amount
-    return _slot(amount, cfg.amount_tolerance / 2.0)
+    """A bucket of half the tolerance, so whatever shares it is within tolerance.
+
+    Past the edge, and without a tolerance, the amount itself is the bucket.
+    """
+    exact = F.lit(True) if cfg.amount_tolerance <= 0 else _past_edge(amount, cfg)
+    slot = F.when(~exact, _slot(amount, _fine_width(cfg)))
+    return F.struct(F.coalesce(slot, F.lit(0)).alias("slot"), F.when(exact, amount).otherwise(0.0).alias("exact"))
 
 
 def fine_buckets(amount: Column, cfg: ReconConfig) -> Column:
+    """All fine buckets that can hold an amount within tolerance; null for a null amount."""
     if cfg.amount_tolerance <= 0:
-        return F.array(amount)
-    reach, width = F.lit(cfg.amount_tolerance) + _slack(amount), cfg.amount_tolerance / 2.0
-    return F.sequence(_slot(amount - reach, width), _slot(amount + reach, width))
+        return F.array(fine_bucket(amount, cfg))
+    reach, width = F.lit(cfg.amount_tolerance) + _slack(amount), _fine_width(cfg)
+    slots = F.sequence(_slot(amount - reach, width), _slot(amount + reach, width))
+    near = F.transform(slots, lambda s: F.struct(s.alias("slot"), F.lit(0.0).alias("exact")))
+    # past the edge these are all the doubles within tolerance
+    steps = [amount + F.lit(cfg.amount_tolerance * k / 2) for k in (-2, -1, 0, 1, 2)]
+    far = F.array(*[F.struct(F.lit(0).cast("bigint").alias("slot"), s.alias("exact")) for s in steps])
+    inside, outside = ~_past_edge(F.abs(amount) - reach, cfg) | (F.abs(amount) < reach), _past_edge(F.abs(amount) + reach, cfg)
+    return F.when(inside & ~outside, near).when(outside & ~inside, F.array_distinct(far)).otherwise(F.concat(near, F.array_distinct(far)))
 
 
 def _day_number(day: Column) -> Column:

@@ -247,13 +247,13 @@ def exception_counts(queue: DataFrame) -> DataFrame:
 
 
 def evidence(
-    log: DataFrame, results: DataFrame, queue: DataFrame, batch_id: str, full: bool = False,
+    log: DataFrame, results: DataFrame, queue: DataFrame, batch_id: str, full: bool = True,
     exported_at: datetime | None = None,
 ) -> dict[str, DataFrame]:
     """The evidence package of one batch, a DataFrame per section.
 
     ``manifest`` is one row: scope, verification and summaries. The row sections stay
-    distributed; reconciliation rows are left out unless ``full``.
+    distributed; ``full=False`` leaves reconciliation rows out and says so in the scope.
     """
     events = of_batch(log, batch_id)
     checked = verify(log, batch_id)

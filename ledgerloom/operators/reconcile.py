@@ -74,12 +74,12 @@ def classified(types: DataFrame, known: DataFrame, edges: DataFrame, cfg: ReconC
     has_edge = types.join(firsts, "pt").select("pt", "n_p", *_TYPE, F.lit("E").alias("kind"), "first")
     refs = known.select("ref").distinct().withColumn("ref_known", F.lit(True))
     spans = (
-        known.where("amount IS NOT NULL AND NOT isnan(amount)")
+        known.where(bands.finite(F.col("amount")))
         .withColumn("fb", bands.fine_bucket(F.col("amount"), cfg))
         .groupBy("ref", "cur", "fb")
         .agg(F.min("amount").alias("low"), F.max("amount").alias("high"))
     )
-    number = F.when(~F.isnan("amount"), F.col("amount"))
+    number = F.when(bands.finite(F.col("amount")), F.col("amount"))
     rest = types.join(firsts, "pt", "left_anti").join(refs, "ref", "left")
     rest = rest.withColumn("fb", F.explode_outer(bands.fine_buckets(number, cfg)))
     # the two ends of a narrow bucket decide whether any amount in it is within tolerance
@@ -227,12 +227,13 @@ def run_summary(matched: DataFrame, ledger: DataFrame, batch_id: str) -> DataFra
 
 
 def payment_status(payments: DataFrame, matched: DataFrame) -> DataFrame:
-    """``payments`` with the status of this run; payments outside it keep theirs."""
+    """``payments`` with the status of this run; payments outside it keep theirs.
+
+    Rows that share an id get the status of the last of them in matching order.
+    """
     status = F.col("match_status")
-    new = matched.select(
-        "payment_id",
-        F.when(status == "matched", "matched").when(status == "exception", "exception").otherwise("unmatched").alias("new_status"),
-    )
+    said = F.when(status == "matched", "matched").when(status == "exception", "exception").otherwise("unmatched")
+    new = matched.groupBy("payment_id").agg(F.max_by(said, "seq").alias("new_status"))
     updated = payments.join(new, "payment_id", "left")
     return updated.select(
         *[F.coalesce("new_status", "status").alias("status") if c == "status" else F.col(c) for c in payments.columns]

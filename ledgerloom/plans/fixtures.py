@@ -38,10 +38,12 @@ FROM orders""", ("orders",)),
     "fx_payment_records": ("""
 WITH b AS (SELECT o_orderkey, o_totalprice, CAST(o_orderdate AS DATE) AS d, o_orderkey % 100 AS k,
                   'REF-T-' || lpad(CAST(o_orderkey AS STRING), 8, '0') AS ref
-           FROM orders WHERE o_orderkey % 10 = 3 OR o_orderkey % 100 IN (1, 2, 4, 5))
-SELECT 'PMT-' || lpad(CAST(o_orderkey AS STRING), 8, '0') || '-1' AS payment_id, 'FILE-0001' AS file_id,
+           FROM orders)
+SELECT 'PMT-' || lpad(CAST(o_orderkey AS STRING), 8, '0') || '-1' AS payment_id,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'FILE-0002' ELSE 'FILE-0001' END AS file_id,
        CASE WHEN k = 1 THEN 'REF-UNMATCHED-' || CAST(o_orderkey AS STRING)
-            WHEN k = 2 THEN substr(ref, 1, length(ref) - 1) || 'X' ELSE lower(ref) END AS reference_id,
+            WHEN k = 2 THEN substr(ref, 1, length(ref) - 1) || 'X' WHEN k = 6 THEN substr(ref, 1, length(ref) - 3) || substr(ref, length(ref) - 1)
+            WHEN k = 7 THEN ref || 'Q' WHEN k = 8 THEN '  ' || replace(ref, '-', '_') ELSE lower(ref) END AS reference_id,
        CASE WHEN k = 4 THEN o_totalprice + 15.0 WHEN k = 2 THEN o_totalprice + 0.5 ELSE o_totalprice END AS amount,
        'USD' AS currency,
        CASE WHEN k = 2 THEN d + 1 WHEN k = 5 THEN d + 5 ELSE d END AS payment_date, 'unmatched' AS status

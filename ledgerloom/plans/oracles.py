@@ -17,11 +17,11 @@ known AS (SELECT p.seq, bool_or(p.currency = l.currency AND coalesce(abs(p.amoun
                  min(l.transaction_id) FILTER (WHERE l.transaction_id NOT IN (SELECT transaction_id FROM ematch)) AS free_link,
                  min(l.transaction_id) AS any_link
           FROM p JOIN l ON p.ref = l.ref GROUP BY 1),
-fz AS (SELECT p.seq, l.transaction_id, (CAST(1 AS DOUBLE) - CAST(2 * levenshtein(p.ref, l.ref) AS DOUBLE) / (length(p.ref) + length(l.ref))) * 100.0 / 100.0 AS score
+fz AS (SELECT p.seq, l.transaction_id, (CAST(1 AS DOUBLE) - CAST(CASE WHEN length(p.ref) = length(l.ref) THEN 2 ELSE 1 END AS DOUBLE) / (length(p.ref) + length(l.ref))) AS score
        FROM p JOIN l ON p.currency = l.currency AND p.d BETWEEN l.d - 1 AND l.d + 1 AND abs(p.amount - l.amount) <= 1.0
        WHERE p.ref <> '' AND p.seq NOT IN (SELECT seq FROM efirst) AND p.seq NOT IN (SELECT seq FROM known WHERE NOT agrees)
          AND l.transaction_id NOT IN (SELECT transaction_id FROM ematch)
-         AND length(p.ref) = length(l.ref) AND levenshtein(p.ref, l.ref) <= 1),
+         AND levenshtein(p.ref, l.ref) = 1),
 fbest AS (SELECT seq, max_by(transaction_id, (score, transaction_id)) AS transaction_id, max(score) AS score FROM fz WHERE score >= 0.85 GROUP BY 1),
 fmatch AS (SELECT transaction_id, min(seq) AS seq FROM fbest GROUP BY 1),
 matched AS (
@@ -158,9 +158,9 @@ ORACLES: dict[str, str] = {
       round(CAST(count(*) FILTER (WHERE match_status = 'matched') AS DOUBLE) / count(*), 4) AS reconciliation_rate FROM matched""",
     "recon_status_update": _RECON + "SELECT payment_id, CASE match_status WHEN 'matched' THEN 'matched' WHEN 'exception' THEN 'exception' ELSE 'unmatched' END AS status FROM matched",
     "recon_fuzzy_edges": _RECON + """SELECT p.payment_id, l.transaction_id,
-      round(CAST(1 AS DOUBLE) - CAST(2 * levenshtein(p.ref, l.ref) AS DOUBLE) / (length(p.ref) + length(l.ref)), 4) AS score
+      round(CAST(1 AS DOUBLE) - CAST(CASE WHEN length(p.ref) = length(l.ref) THEN 2 ELSE 1 END AS DOUBLE) / (length(p.ref) + length(l.ref)), 4) AS score
       FROM p JOIN l ON p.currency = l.currency AND p.d BETWEEN l.d - 1 AND l.d + 1 AND abs(p.amount - l.amount) <= 1.0
-      WHERE p.ref NOT IN (SELECT ref FROM l) AND length(p.ref) = length(l.ref) AND levenshtein(p.ref, l.ref) <= 1""",
+      WHERE p.ref NOT IN (SELECT ref FROM l) AND levenshtein(p.ref, l.ref) = 1""",
     "recon_copies": with_clause("fx_copied_payments", "fx_copied_ledger") + """,
       p AS (SELECT payment_id, split_part(reference_id, '-', 2) AS u, amount, payment_date AS d, row_number() OVER (PARTITION BY reference_id, amount, payment_date ORDER BY payment_id) AS k FROM fx_copied_payments),
       l AS (SELECT transaction_id, split_part(reference_id, '_', 2) AS u, amount, posting_date AS d, row_number() OVER (PARTITION BY reference_id, amount, posting_date ORDER BY transaction_id) AS k FROM fx_copied_ledger),

@@ -75,3 +75,10 @@ def test_assign_and_resolve(spark):
     assert events.first().batch_id == "EXC-RESOLVE-A"
     with pytest.raises(ValueError, match="already resolved"):
         X.resolve(q, done.withColumn("exception_id", F.lit("B")), AS_OF)
+
+
+def test_an_exception_is_named_once(spark):
+
+    queue = spark.createDataFrame([("X1", "open", None)], "exception_id string, status string, assigned_to string")
+    with pytest.raises(ValueError):
+        X.assign(queue, spark.createDataFrame([("X1", "a"), ("X1", "b")], "exception_id string, owner string"))

@@ -187,3 +187,41 @@ def test_similarity_equals_a_table(spark):
     df = spark.createDataFrame(pairs, "a string, b string")
     for r in df.select("a", "b", similarity(df.a, df.b).alias("s")).collect():
         assert r.s == closeness(r.a, r.b)
+
+
+def test_endless_amounts_match_nothing(spark):
+    from ledgerloom.config import ReconConfig
+    from ledgerloom.operators import reconcile
+
+    inf = float("inf")
+    day = AS_OF.date() if hasattr(AS_OF, "date") else AS_OF
+    pay = spark.createDataFrame([("P1", "R1", -inf, "USD", day), ("P2", "R2", 5.0, "USD", day), ("P3", "R3", inf, "USD", day)],
+                                "payment_id string, reference_id string, amount double, currency string, payment_date date")
+    book = spark.createDataFrame([("T1", "R1", -inf, "USD", day), ("T2", "R2", -inf, "USD", day), ("T3", "R9", inf, "USD", day)],
+                                 "transaction_id string, reference_id string, amount double, currency string, posting_date date")
+    got = {r.payment_id: r.exception_reason for r in reconcile.match_payments(pay, book, ReconConfig(), AS_OF).collect()}
+    assert got == {"P1": "amount_mismatch", "P2": "amount_mismatch", "P3": None}
+
+
+def test_vast_amounts_agree_within_tolerance_only(spark):
+    from datetime import timedelta
+
+    from ledgerloom.config import ReconConfig
+    from ledgerloom.operators import reconcile
+
+    day = AS_OF.date()
+    pay = spark.createDataFrame([("P1", "R1", 6.0e15, "USD", day), ("P2", "R2", 6.0e15, "USD", day)],
+                                "payment_id string, reference_id string, amount double, currency string, payment_date date")
+    rows = [(f"T{i}", "R1", a, "USD", day - timedelta(9)) for i, a in enumerate((5.0e15, 6.0e15 + 1, 7.0e15))]
+    rows += [(f"U{i}", "R2", a, "USD", day - timedelta(9)) for i, a in enumerate((5.0e15, 6.0e15 + 2, 7.0e15))]
+    book = spark.createDataFrame(rows, "transaction_id string, reference_id string, amount double, currency string, posting_date date")
+    got = {r.payment_id: r.match_status for r in reconcile.match_payments(pay, book, ReconConfig(), AS_OF).collect()}
+    assert got == {"P1": "unmatched_payment", "P2": "exception"}
+
+
+def test_repeated_payment_ids_keep_their_rows(spark):
+    from ledgerloom.operators import reconcile
+
+    pay = spark.createDataFrame([("P", "a"), ("P", "b"), ("Q", "c")], "payment_id string, status string")
+    matched = spark.createDataFrame([("P", 1, "exception"), ("P", 2, "matched")], "payment_id string, seq long, match_status string")
+    assert sorted(map(tuple, reconcile.payment_status(pay, matched).collect())) == [("P", "matched"), ("P", "matched"), ("Q", "c")]
