@@ -45,6 +45,12 @@ results AS (
          '1998-07-01 00:00:00', 'system' FROM unused)
 """
 
+# no tolerance, no window, no fuzzy step, stale after 60 days
+_STRICT = (
+    _RECON.replace("<= 1.0", "<= 0").replace("abs(date_diff('day', p.d, l.d)) <= 1)", "abs(date_diff('day', p.d, l.d)) <= 0)")
+    .replace("WHERE score >= 0.85", "WHERE score >= 1.0").replace("DATE '1998-07-01') > 30", "DATE '1998-07-01') > 60")
+)
+
 _MART_RECON = """SELECT batch_id, count(*) FILTER (WHERE match_status <> 'unmatched_ledger') AS total,
   count(*) FILTER (WHERE match_status = 'matched') AS matched,
   count(*) FILTER (WHERE match_status NOT IN ('unmatched_ledger', 'matched')) AS exceptions,
@@ -176,7 +182,27 @@ ORACLES: dict[str, str] = {
       CASE match_status WHEN 'matched' THEN 'match' ELSE 'exception_open' END AS action, 'BATCH-001' AS batch_id FROM matched WHERE match_status IN ('matched', 'exception')""",
     "recon_breakdown": _RECON + """SELECT batch_id, 'status' AS kind, match_status AS name, count(*) AS rows FROM results GROUP BY ALL
       UNION ALL SELECT batch_id, 'method', match_method, count(*) FROM results WHERE match_method IS NOT NULL GROUP BY ALL""",
-    "recon_control_totals": with_clause("fx_payment_records") + "SELECT file_id, count(*) AS record_count, round(sum(amount), 2) AS total_amount FROM fx_payment_records GROUP BY 1",
+    "recon_control_totals": with_clause("fx_payment_records") + """, f AS (SELECT file_id, count(*) AS n, round(sum(amount), 2) AS total FROM fx_payment_records GROUP BY 1)
+      SELECT file_id, n + CASE file_id WHEN 'FILE-0002' THEN 1 ELSE 0 END AS record_count, total AS total_amount, n AS found_count, total AS found_amount, file_id <> 'FILE-0002' AS agrees FROM f
+      UNION ALL SELECT 'FILE-0003', 5, CAST(1 AS DOUBLE), 0, CAST(0 AS DOUBLE), false""",
+    "recon_configured": _STRICT + "SELECT payment_id, match_status, match_method, exception_reason FROM matched",
+    "dq_configured": with_clause("fx_accounts") + """, n AS (SELECT count(*) AS n, count(*) FILTER (WHERE current_balance IS NULL OR current_balance < 0 OR current_balance > 5000) AS bad FROM fx_accounts)
+      SELECT 'Balance in range' AS check_name, bad = 0 AS passed, bad AS failing_records, round(100 * CAST(n - bad AS DOUBLE) / n, 4) AS quality_score, NULL AS warning, greatest(bad - 10, 0) AS withheld FROM n
+      UNION ALL SELECT 'Owner named', true, 0, 100, 'no column no_such_column', 0
+      UNION ALL SELECT 'Far too many', n = 7, CASE WHEN n = 7 THEN 0 ELSE n END, CASE WHEN n = 7 THEN 100 ELSE 0 END, NULL, 0 FROM n""",
+    "dq_check_view": _DQ + "SELECT dataset_name, check_name, check_type, passed, failing_records, quality_score FROM dq",
+    "enroll_configured": _ENROLL.replace("WHEN 'STARTER' THEN 5000", "WHEN 'STARTER' THEN 1100").replace("abs(a_cents - b_cents) <= 1", "abs(a_cents - b_cents) <= 5") + "SELECT enrollment_id, outcome, issues FROM o",
+    "enroll_skip": _ENROLL.replace("min(enrollment_id) OVER (PARTITION BY trim(entity_id)) < enrollment_id AS again", "false AS again")
+    + "SELECT enrollment_id, CASE WHEN CAST(substr(enrollment_id, 5) AS INTEGER) % 7 = 0 THEN 'skipped' ELSE outcome END AS outcome FROM o",
+    "enroll_csv": _ENROLL + "SELECT enrollment_id, outcome, issues FROM o",
+    "audit_batch_used": """SELECT b AS batch_id, EXISTS (SELECT 1 FROM events WHERE starts_with('EVT-B1-' || event_id, 'EVT-' || b || '-')
+      AND regexp_full_match(substr('EVT-B1-' || event_id, length(b) + 6), '[0-9]+')) AS used FROM (VALUES ('B1'), ('B'), ('B1-2')) t(b)""",
+    "evidence_files": with_clause("fx_exception_queue") + "SELECT exception_id, reference_id, priority, assigned_to, status FROM fx_exception_queue",
+    "staging_reconciliation_results": _RECON + "SELECT * FROM results",
+    "staging_dq_results": _DQ + "SELECT * EXCLUDE (place) FROM dq",
+    "store_versions": with_clause("fx_accounts", "fx_customers") + """SELECT 'accounts' AS "table", (SELECT count(*) FROM fx_accounts) + (SELECT count(*) FROM fx_accounts WHERE CAST(substr(account_id, 6) AS INTEGER) % 5 = 4) AS n,
+      CAST(3 AS BIGINT) AS limited, '[4, 5]' AS kept UNION ALL SELECT 'customers', (SELECT count(*) FROM fx_customers), 3, NULL UNION ALL SELECT 'transactions', 0, 0, NULL""",
+    "store_utc": "SELECT event_id, CAST(ts AS VARCHAR) AS at FROM events",
     "mart_recon_summary": _RECON + _MART_RECON,
     "dq_results": _DQ + "SELECT * EXCLUDE (place) FROM dq",
     "dq_routed": _DQ + "SELECT * EXCLUDE (check_name) FROM routed",

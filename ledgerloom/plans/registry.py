@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DQConfig, ReconConfig, dq_config, enrollment_rules
+from ..config import DQConfig, ReconConfig, dq_config, enrollment_rules, recon_config
 from ..functions.canonical import event_hash
 from ..functions.text import normalize_reference
 from ..operators import audit, datatests, enrollment, exceptions, quality, reconcile
@@ -22,6 +23,7 @@ from . import fixtures as fx
 from . import marts
 
 BATCH = "BATCH-001"
+_SETTINGS = Path(__file__).resolve().parent.parent / "settings"
 _CFG = ReconConfig()
 
 
@@ -115,9 +117,21 @@ def recon_breakdown(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recon_control_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.load(spark, sf, "fx_payment_records").groupBy("file_id").agg(
-        F.count(F.lit(1)).alias("record_count"), F.round(F.sum("amount"), 2).alias("total_amount")
+    """One file states what it holds, one states a row too many, one has no records."""
+    payments = fx.load(spark, sf, "fx_payment_records")
+    stated = payments.groupBy("file_id").agg(
+        (F.count(F.lit(1)) + F.when(F.col("file_id") == "FILE-0002", 1).otherwise(0)).alias("record_count"),
+        F.round(F.sum("amount"), 2).alias("total_amount"),
     )
+    none = payments.limit(1).select(F.lit("FILE-0003").alias("file_id"), F.lit(5).cast("bigint").alias("record_count"), F.lit(1.0).alias("total_amount"))
+    return datatests.control_totals(stated.unionByName(none), payments)
+
+
+def recon_configured(spark: SparkSession, sf: str) -> DataFrame:
+    """Matching by a settings file: no tolerance, no window, no fuzzy step, stale after 60 days."""
+    payments, ledger = fx.load(spark, sf, "fx_payment_records"), fx.load(spark, sf, "fx_transactions")
+    matched = reconcile.match_payments(payments, ledger, recon_config(_SETTINGS / "strict_recon.yml"), fx.ORDERS_AS_OF)
+    return matched.select("payment_id", "match_status", "match_method", "exception_reason")
 
 
 def mart_recon_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,6 +176,16 @@ def dq_routed_capped(spark: SparkSession, sf: str) -> DataFrame:
     return held.join(kept, "dataset_name", "left").select("dataset_name", F.coalesce("routed", F.lit(0)).alias("routed"), "withheld")
 
 
+def dq_configured(spark: SparkSession, sf: str) -> DataFrame:
+    """Checks of a settings file: a range, a column the table lacks (passes, with a warning), a wrong count."""
+    run = quality.run_quality(dq_config(_SETTINGS / "small_quality.yml"), lambda t: fx.load(spark, sf, t), fx.ORDERS_AS_OF, "DQ-002")
+    return _whole(run.results.select("check_name", "passed", "failing_records", "quality_score", "warning", "withheld"), "failing_records")
+
+
+def dq_check_view(spark: SparkSession, sf: str) -> DataFrame:
+    return _whole(quality.check_view(_dq_rows(spark, sf)), "failing_records")
+
+
 def dq_events(spark: SparkSession, sf: str) -> DataFrame:
     return _quality(spark, sf).events.select("event_type", "entity_type", "entity_id", "action", "batch_id")
 
@@ -280,6 +304,33 @@ def enroll_validate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def enroll_configured(spark: SparkSession, sf: str) -> DataFrame:
+    """Enrollment by a settings file with a lower cap and a wider gate."""
+    run = enrollment.run_enrollment(
+        fx.load(spark, sf, "fx_pending_enrollments"), enrollment_rules(_SETTINGS / "tight_enrollment.yml"), fx.ENROLL_AS_OF
+    )
+    return run.outcomes.select("enrollment_id", "outcome", F.array_join("issues", "; ").alias("issues"))
+
+
+def enroll_skip(spark: SparkSession, sf: str) -> DataFrame:
+    """Every seventh enrollment is in the audit log and is not judged again."""
+    pending = fx.load(spark, sf, "fx_pending_enrollments")
+    log = pending.where("CAST(substr(enrollment_id, 5) AS INT) % 7 = 0").select(
+        F.concat(F.lit("EVT-"), "enrollment_id", F.lit("-000001")).alias("event_id")
+    )
+    run = enrollment.run_enrollment(pending, enrollment_rules(), fx.ENROLL_AS_OF, log, within_batch=False)
+    return run.outcomes.select("enrollment_id", "outcome")
+
+
+def enroll_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Enrollments read from CSV, judged in the order of the files."""
+    path = new_path(spark, "csv")
+    files.write_csv(fx.load(spark, sf, "fx_pending_enrollments").select(*ENROLLMENT_COLUMNS).orderBy("enrollment_id").coalesce(1), path)
+    rows = files.read_enrollments(spark, path)
+    run = enrollment.run_enrollment(rows, enrollment_rules(), fx.ENROLL_AS_OF, order="file_order")
+    return run.outcomes.select("enrollment_id", "outcome", F.array_join("issues", "; ").alias("issues"))
+
+
 def enroll_dual_source(spark: SparkSession, sf: str) -> DataFrame:
     return _enrolled(spark, sf).evaluations.drop("evaluated_at")
 
@@ -366,6 +417,18 @@ def audit_verify_removed(spark: SparkSession, sf: str) -> DataFrame:
     return audit.verify(_chained(spark, sf).where("entity_id <> 'E0'"))
 
 
+def audit_batch_used(spark: SparkSession, sf: str) -> DataFrame:
+    """Batch ids that a log holds are refused; a beginning of one is another id."""
+    log, asked = _loose_log(spark, sf), []
+    for batch in ("B1", "B", "B1-2"):
+        try:
+            audit.require_unused(log, batch)
+            asked.append((batch, False))
+        except audit.BatchIdInUse:
+            asked.append((batch, True))
+    return spark.createDataFrame(asked, "batch_id string, used boolean")
+
+
 def audit_recent(spark: SparkSession, sf: str) -> DataFrame:
     return _text(audit.recent(_loose_log(spark, sf), 100))
 
@@ -379,6 +442,15 @@ def evidence_exceptions(spark: SparkSession, sf: str) -> DataFrame:
     return audit.exception_counts(audit.of_batch(queue, "DQ", "exception_id", "EXC"))
 
 
+def evidence_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The exceptions of an evidence package, through JSON files and back."""
+    queue, path = fx.load(spark, sf, "fx_exception_queue"), new_path(spark, "evidence")
+    opened = audit.of_batch(queue, "DQ", "exception_id", "EXC")
+    audit.write_evidence({"exceptions": opened, "exception_summary": audit.exception_counts(opened)}, path)
+    back = spark.read.schema("exception_id string, reference_id string, priority string, assigned_to string, status string").json(f"{path}/exceptions")
+    return back
+
+
 def evidence_manifest(spark: SparkSession, sf: str) -> DataFrame:
     package = audit.evidence(
         _chained(spark, sf), _results(spark, sf), fx.load(spark, sf, "fx_exception_queue"), "B1", exported_at=fx.EVENTS_AS_OF
@@ -412,6 +484,14 @@ def staging_pending_enrollments(spark: SparkSession, sf: str) -> DataFrame:
     return _text(staged.drop("created_at"))
 
 
+def staging_reconciliation_results(spark: SparkSession, sf: str) -> DataFrame:
+    return _text(stage("reconciliation_results", conform(_results(spark, sf), "reconciliation_results")))
+
+
+def staging_dq_results(spark: SparkSession, sf: str) -> DataFrame:
+    return _whole(_text(stage("dq_results", conform(_dq_rows(spark, sf), "dq_results"))), "failing_records")
+
+
 def source_file_filter(spark: SparkSession, sf: str) -> DataFrame:
     return files.payments_of_file(fx.load(spark, sf, "fx_payment_records"), "FILE-0001").select("payment_id", "amount")
 
@@ -425,6 +505,25 @@ def store_replace_and_append(spark: SparkSession, sf: str) -> DataFrame:
     return store.read("accounts").select("account_id", "account_type", "current_balance", "status")
 
 
+def store_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Replaced five times with two versions kept; several tables at once; counts and a limit."""
+    store, accounts = TableStore(spark, new_path(spark, "store"), keep=2), fx.load(spark, sf, "fx_accounts")
+    for part in range(5):
+        store.write("accounts", accounts.where(F.expr(f"CAST(substr(account_id, 6) AS INT) % 5 = {part}")), "replace")
+    store.write_many({"accounts": accounts, "customers": fx.load(spark, sf, "fx_customers")}, "append")
+    kept = [n for n, finished in store.versions("accounts") if finished]
+    rows = [(t, store.count(t), store.read(t, limit=3).count()) for t in ("accounts", "customers", "transactions")]
+    return spark.createDataFrame([(*r, str(kept) if r[0] == "accounts" else None) for r in rows], "table string, n bigint, limited bigint, kept string")
+
+
+def store_utc(spark: SparkSession, sf: str) -> DataFrame:
+    """Instants are stored as UTC without a zone."""
+    store = TableStore(spark, new_path(spark, "store"))
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("at"))
+    store.write("instants", events.where("event_id IS NOT NULL"), "replace")
+    return _text(store.read("instants"))
+
+
 def store_query(spark: SparkSession, sf: str) -> DataFrame:
     store = TableStore(spark, new_path(spark, "store"))
     store.write("transactions", fx.load(spark, sf, "fx_transactions"), "replace")
@@ -472,17 +571,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         recon_normalize, recon_results, recon_unmatched_ledger, recon_summary, recon_status_update, recon_fuzzy_edges,
-        recon_copies, recon_events, recon_breakdown, recon_control_totals, mart_recon_summary,
-        dq_results, dq_routed, dq_routed_capped, dq_events, dq_summary_totals, dq_zscore, dq_iqr, dq_referential, dq_range,
+        recon_copies, recon_configured, recon_events, recon_breakdown, recon_control_totals, mart_recon_summary,
+        dq_results, dq_routed, dq_routed_capped, dq_configured, dq_check_view, dq_events, dq_summary_totals, dq_zscore, dq_iqr, dq_referential, dq_range,
         dq_record_count, mart_dq_summary, dq_dataset_scores,
         exc_amount_at_risk, exc_queue, exc_queue_fixed_sla, exc_assign, exc_resolve, mart_exception_aging,
         staging_exception_queue,
-        enroll_validate, enroll_dual_source, enroll_accepted, enroll_mismatch, enroll_events, enroll_status_update,
+        enroll_validate, enroll_configured, enroll_skip, enroll_csv, enroll_dual_source, enroll_accepted, enroll_mismatch, enroll_events, enroll_status_update,
         enroll_summary, enroll_mismatch_view, enroll_decide,
         audit_event_hash, audit_append, audit_tip, audit_verify, audit_verify_altered, audit_verify_removed,
-        audit_recent, audit_time_range, evidence_summary, evidence_exceptions, evidence_manifest,
-        staging_transactions, staging_payment_records, staging_pending_enrollments, source_file_filter,
-        store_replace_and_append, store_query, csv_payments, enroll_stream,
+        audit_recent, audit_time_range, audit_batch_used, evidence_summary, evidence_exceptions, evidence_files, evidence_manifest,
+        staging_transactions, staging_reconciliation_results, staging_dq_results, staging_payment_records, staging_pending_enrollments, source_file_filter,
+        store_replace_and_append, store_versions, store_utc, store_query, csv_payments, enroll_stream,
         data_tests, data_tests_marts,
     )
 }

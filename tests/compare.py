@@ -1,6 +1,7 @@
 """Run registered queries against their SQL twins: ``python tests/compare.py [folder] [name ...]``."""
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -59,7 +60,7 @@ def main():
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
-    spark, con, sqls = build_session("compare", "local[8]"), connect(sf), oracle_sql()
+    spark, con, sqls = build_session("compare", f"local[{os.environ.get('COMPARE_CPUS', '8')}]"), connect(sf), oracle_sql()
     bad = 0
     for name, query in queries().items():
         if wanted and name not in wanted and not any(w.endswith("*") and name.startswith(w[:-1]) for w in wanted):
