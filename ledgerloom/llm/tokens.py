@@ -43,11 +43,12 @@ class Encoder:
     def _unit(self, unit: bytes) -> bytes:
         """The ids of one unit as 32-bit integers."""
         if _SIMPLE.fullmatch(unit):
-            model, text = self.whole.model, unit.decode()
-            if self.drops_space:
-                ids = [t.id for piece in self.pieces.findall(text.lower()) for t in model.tokenize(piece)]
-            else:
-                ids = [t.id for piece in self.pieces.findall(text) for t in model.tokenize(piece.replace(" ", "Ġ"))]
+            text = unit.decode()
+            text = text.lower() if self.drops_space else text
+            pieces = self.pieces.findall(text)
+            if pieces != [text] or text.encode() != unit:  # its pieces may be known as units of their own
+                return b"".join(self._known(p.encode()) for p in pieces)
+            ids = [t.id for t in self.whole.model.tokenize(text.replace(" ", "Ġ"))]
         else:
             ids = self.whole.encode(unit.decode(errors="replace"), add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
