@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scratch import materialize
-from .common import mixed, slices
+from .common import mixed, sized, slices
 
 LANES, SIGNS = 8, 256
 _LANE_SEEDS = mixed(np.arange(1, LANES + 1, dtype=np.uint64))
@@ -126,15 +126,20 @@ def edited(own: str, following: str) -> str:
     return own[: len(own) - half] + following[:half]
 
 
+# letters of text in a range, and the most ranges, which bounds what the driver holds; ranges are streamed
+RANGE_LETTERS, MOST_RANGES = 1 << 23, 20_000
+
+
 def _bounds(docs: DataFrame, key: str, text: str) -> list[tuple[bool, int, int]]:
-    """Where each range partition of the documents' order begins: one small row per partition."""
+    """Where each range of the documents' order begins: one small row per range."""
     narrow = docs.select(
         F.col(key).isNull().alias("missing"), F.coalesce(F.bitwise_not(F.col(key).cast("bigint")), F.lit(0)).alias("back"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("print"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("print"), F.coalesce(F.length(text), F.lit(0)).alias("letters"),
     )
     held = materialize(narrow, "order")
+    ranges = min(MOST_RANGES, sized(held.agg(F.sum("letters")).first()[0] or 0, RANGE_LETTERS))
     first = F.min(F.struct("missing", "back", "print")).alias("first")
-    found = held.repartitionByRange("missing", "back", "print").groupBy(F.spark_partition_id().alias("p")).agg(first).collect()
+    found = held.drop("letters").repartitionByRange(ranges, "missing", "back", "print").groupBy(F.spark_partition_id().alias("p")).agg(first).collect()
     return sorted({tuple(r["first"]) for r in found})
 
 
