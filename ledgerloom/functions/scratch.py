@@ -34,9 +34,9 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/ledgerloom/{app}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` once and return a DataFrame that reads it back."""
+def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None, **options: str) -> DataFrame:
+    """Write ``df`` once and return a DataFrame that reads it back; ``options`` go to the Parquet writer."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path, partitionBy=partition_by)
+    df.write.options(**options).parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)

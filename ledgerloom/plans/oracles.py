@@ -149,6 +149,23 @@ body AS (SELECT *, '{"action": ' || CAST(to_json(action) AS VARCHAR) || ', "acto
               '", "timestamp": "' || iso || '"}' AS tail FROM ev)
 """
 
+# two appends; three levels of blocks of 100 hashes
+_SEALED = _AUDIT + """, s AS (SELECT *, CASE WHEN ord % 3 = 0 THEN 2 ELSE 1 END AS append FROM body),
+t AS (SELECT *, row_number() OVER (PARTITION BY append ORDER BY ord) AS k FROM s),
+named AS (SELECT *, 'EVT-B' || append || '-' || lpad(CAST(k AS VARCHAR), 6, '0') AS event_id, replace(head1, 'EVT-B1-', 'EVT-B' || append || '-') || lpad(CAST(k AS VARCHAR), 6, '0') || head2 AS head FROM t),
+f AS (SELECT CAST(append AS BIGINT) AS append, entity_id, event_id, '' AS previous_hash, sha256(head || tail) AS event_hash FROM named WHERE append = 1),
+fa AS (SELECT CAST(floor((pos - 1) / 100) AS BIGINT) AS b, sha256(string_agg(event_hash, '' ORDER BY pos)) AS h FROM (SELECT event_hash, row_number() OVER (ORDER BY event_id) AS pos FROM f) GROUP BY 1),
+fb AS (SELECT CAST(floor(b / 100) AS BIGINT) AS b, CASE WHEN (SELECT count(*) FROM fa) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY b)) END AS h FROM fa GROUP BY 1),
+fr AS (SELECT CASE WHEN (SELECT count(*) FROM fb) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY b)) END AS root, (SELECT count(*) FROM f) AS events FROM fb),
+g AS (SELECT CAST(append AS BIGINT) AS append, entity_id, event_id, p AS previous_hash, sha256(head || p || tail) AS event_hash FROM named, (SELECT sha256(root) AS p FROM fr) WHERE append = 2),
+ga AS (SELECT CAST(floor((pos - 1) / 100) AS BIGINT) AS b, sha256(string_agg(event_hash, '' ORDER BY pos)) AS h FROM (SELECT event_hash, row_number() OVER (ORDER BY event_id) AS pos FROM g) GROUP BY 1),
+gb AS (SELECT CAST(floor(b / 100) AS BIGINT) AS b, CASE WHEN (SELECT count(*) FROM ga) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY b)) END AS h FROM ga GROUP BY 1),
+gr AS (SELECT CASE WHEN (SELECT count(*) FROM gb) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY b)) END AS root, (SELECT count(*) FROM g) AS events FROM gb),
+e2 AS (SELECT * FROM f UNION ALL SELECT * FROM g),
+seals AS (SELECT CAST(1 AS BIGINT) AS append, '' AS previous_seal, root, events, sha256(root) AS seal FROM fr
+  UNION ALL SELECT 2, p, root, events, sha256(p || root) FROM gr, (SELECT sha256(root) AS p FROM fr))
+"""
+
 _REPORT = "CAST(NULL AS VARCHAR) AS event_id, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS BIGINT) AS position"
 
 ORACLES: dict[str, str] = {
@@ -195,6 +212,13 @@ ORACLES: dict[str, str] = {
     "enroll_skip": _ENROLL.replace("min(enrollment_id) OVER (PARTITION BY trim(entity_id)) < enrollment_id AS again", "false AS again")
     + "SELECT enrollment_id, CASE WHEN CAST(substr(enrollment_id, 5) AS INTEGER) % 7 = 0 THEN 'skipped' ELSE outcome END AS outcome FROM o",
     "enroll_csv": _ENROLL + "SELECT enrollment_id, outcome, issues FROM o",
+    "seal_append": _SEALED + "SELECT event_id, previous_hash, event_hash FROM e2",
+    "seal_chain": _SEALED + "SELECT append, previous_seal, root, events, seal FROM seals",
+    "seal_verify": _SEALED + """SELECT 'sound' AS "case", true AS verified, (SELECT count(*) FROM e2) AS event_count, CAST(2 AS BIGINT) AS appends, CAST(NULL AS BIGINT) AS append, CAST(NULL AS VARCHAR) AS event_id, CAST(NULL AS VARCHAR) AS reason
+      UNION ALL SELECT 'altered', false, (SELECT count(*) FROM e2), 2, a.append, a.event_id, 'content_hash_mismatch' FROM (SELECT append, event_id FROM e2 WHERE entity_id LIKE '%77' ORDER BY append, event_id LIMIT 1) a
+      UNION ALL SELECT 'rehashed', false, (SELECT count(*) FROM e2), 2, min(append), NULL, 'events_differ' FROM e2 WHERE entity_id LIKE '%77'
+      UNION ALL SELECT 'removed', false, (SELECT count(*) - 1 FROM e2), 2, 2, NULL, 'events_differ'
+      UNION ALL SELECT 'resealed', false, (SELECT count(*) FROM e2), 2, 1, NULL, 'seal_broken'""",
     "audit_batch_used": """SELECT b AS batch_id, EXISTS (SELECT 1 FROM events WHERE starts_with('EVT-B1-' || event_id, 'EVT-' || b || '-')
       AND regexp_full_match(substr('EVT-B1-' || event_id, length(b) + 6), '[0-9]+')) AS used FROM (VALUES ('B1'), ('B'), ('B1-2')) t(b)""",
     "evidence_files": with_clause("fx_exception_queue") + "SELECT exception_id, reference_id, priority, assigned_to, status FROM fx_exception_queue",

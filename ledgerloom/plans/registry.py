@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import DQConfig, ReconConfig, dq_config, enrollment_rules, recon_config
 from ..functions.canonical import event_hash
 from ..functions.text import normalize_reference
-from ..operators import audit, datatests, enrollment, exceptions, quality, reconcile
+from ..operators import audit, datatests, enrollment, exceptions, quality, reconcile, sealed
 from ..operators.fuzzy import fuzzy_edges
 from ..functions.scratch import new_path
 from ..schemas import ENROLLMENT_COLUMNS
@@ -417,6 +418,40 @@ def audit_verify_removed(spark: SparkSession, sf: str) -> DataFrame:
     return audit.verify(_chained(spark, sf).where("entity_id <> 'E0'"))
 
 
+def _sealed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The events in two appends, with blocks of 100 hashes."""
+    events, seals = fx.load(spark, sf, "fx_audit_events"), sealed.no_seals(spark)
+    parts = []
+    for batch, keep in (("B1", "ord % 3 <> 0"), ("B2", "ord % 3 = 0")):
+        rows, seal = sealed.append(events.where(keep).withColumn("batch_id", F.lit(batch)), seals, fx.EVENTS_AS_OF, width=100)
+        parts.append(rows)
+        seals = seals.unionByName(seal)
+    return parts[0].unionByName(parts[1]), seals
+
+
+def seal_append(spark: SparkSession, sf: str) -> DataFrame:
+    return _sealed(spark, sf)[0].select("event_id", "previous_hash", "event_hash")
+
+
+def seal_chain(spark: SparkSession, sf: str) -> DataFrame:
+    return _sealed(spark, sf)[1]
+
+
+def seal_verify(spark: SparkSession, sf: str) -> DataFrame:
+    """The sound log, and logs with an event altered, rehashed, removed, and a seal changed."""
+    log, seals = _sealed(spark, sf)
+    changed = F.when(F.col("entity_id").endswith("77"), F.lit("changed")).otherwise(F.col("action"))
+    rehashed = log.withColumn("action", changed).withColumn("event_hash", event_hash())
+    cases = {
+        "sound": (log, seals), "altered": (log.withColumn("action", changed), seals), "rehashed": (rehashed, seals),
+        "removed": (log.where("event_id <> 'EVT-B2-000001'"), seals),
+        "resealed": (log, seals.withColumn("root", F.when(F.col("append") == 1, F.sha2(F.lit("x"), 256)).otherwise(F.col("root")))),
+    }
+    return reduce(DataFrame.unionByName, [
+        sealed.verify(*case, width=100).select(F.lit(name).alias("case"), "*") for name, case in cases.items()
+    ])
+
+
 def audit_batch_used(spark: SparkSession, sf: str) -> DataFrame:
     """Batch ids that a log holds are refused; a beginning of one is another id."""
     log, asked = _loose_log(spark, sf), []
@@ -579,7 +614,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         enroll_validate, enroll_configured, enroll_skip, enroll_csv, enroll_dual_source, enroll_accepted, enroll_mismatch, enroll_events, enroll_status_update,
         enroll_summary, enroll_mismatch_view, enroll_decide,
         audit_event_hash, audit_append, audit_tip, audit_verify, audit_verify_altered, audit_verify_removed,
-        audit_recent, audit_time_range, audit_batch_used, evidence_summary, evidence_exceptions, evidence_files, evidence_manifest,
+        audit_recent, audit_time_range, audit_batch_used, seal_append, seal_chain, seal_verify, evidence_summary, evidence_exceptions, evidence_files, evidence_manifest,
         staging_transactions, staging_reconciliation_results, staging_dq_results, staging_payment_records, staging_pending_enrollments, source_file_filter,
         store_replace_and_append, store_versions, store_utc, store_query, csv_payments, enroll_stream,
         data_tests, data_tests_marts,

@@ -4,9 +4,9 @@ from datetime import UTC, date, datetime
 import pytest
 
 from ledgerloom.config import ReconConfig, dq_config, enrollment_rules, recon_config
-from ledgerloom.operators import audit, datatests
+from ledgerloom.operators import audit, datatests, sealed
 from ledgerloom.plans import marts
-from ledgerloom.plans.run_all import assign_store, decide_store, enroll_store, reconcile_store, resolve_store, run_all
+from ledgerloom.plans.run_all import assign_store, decide_store, enroll_store, reconcile_store, resolve_store, run_all, seals_of
 from ledgerloom.schemas import ENROLLMENT_COLUMNS, schema_of
 from ledgerloom.sources import files, staging
 from ledgerloom.sources.tables import TableStore
@@ -77,7 +77,7 @@ def test_whole_job(spark, tmp_path):
     left = {r.exception_id: (r.status, r.assigned_to) for r in store.read("exception_queue").collect()}
     assert left[dq_ids[0]] == ("resolved", "kim") and left["EXC-ENR-2-000001"][0] == "resolved"
     assert store.read("accepted_enrollments").where("enrollment_id = 'ENR-2'").first().expected_payout == 1000.02
-    assert audit.verify(store.read("audit_event_log")).first()["verified"]
+    assert sealed.verify(store.read("audit_event_log"), seals_of(store)).first()["verified"]
 
 
 def test_store_modes_time_zone_and_sql(spark, tmp_path):
@@ -151,7 +151,7 @@ def test_streaming_intake(spark, tmp_path):
     drain()
     assert sorted(r.enrollment_id for r in store.read("accepted_enrollments").collect()) == ["S1", "S3"]
     assert store.count("audit_event_log") == 3
-    assert audit.verify(store.read("audit_event_log")).first()["verified"]
+    assert sealed.verify(store.read("audit_event_log"), seals_of(store)).first()["verified"]
 
 
 def test_settings(tmp_path):
