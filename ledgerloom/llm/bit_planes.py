@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import new_path
-from .common import slices
+from .common import give_back, slices
 from .tokens import encoder, ended
 
 MAGIC = b"IDPLANE1"
@@ -167,6 +167,7 @@ def write(
             store.move(temporary, f"{base}/{part:06d}.ids")
             row = [part], [f"{base}/{part:06d}.ids"], [len(writer.keys)], [sum(writer.lengths)]
             yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *map(pa.array, row[1:])], names=["part", "name", "docs", "ids"])
+        give_back()
 
     read = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = [F.col("key").asc_nulls_first(), F.xxhash64("text")]

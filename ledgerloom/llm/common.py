@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 from pathlib import Path
@@ -115,6 +116,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def give_back() -> None:
+    """Return free memory to the system at the end of a task, as a reused worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def sized(n: int, per_part: int) -> int:
     """Partitions for ``n`` units of work at ``per_part`` each."""
     return max(1, -(-n // per_part))

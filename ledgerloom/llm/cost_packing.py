@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import give_back, slices
 from .tokens import encoder, ended
 
 CAPACITY = 2048
@@ -143,6 +143,7 @@ def pieces(
                     keys, ids, ends, held = [], [], [], 0
         if held:
             yield packed(keys, np.concatenate(ids), np.concatenate(ends), base)[0]
+        give_back()
 
     read = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return read.mapInArrow(run, schema + ", ids binary" * with_ids)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scratch import materialize
-from .common import mixed, sized, slices
+from .common import give_back, mixed, sized, slices
 
 LANES, SIGNS = 8, 256
 _LANE_SEEDS = mixed(np.arange(1, LANES + 1, dtype=np.uint64))
@@ -176,6 +176,7 @@ def compare(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                     held = row
                 if pairs:
                     yield _compared(pairs)
+        give_back()
 
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     read = docs.select(

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, words
+from .common import give_back, slices, text_bytes, words
 
 # letter classes: white space, line end, lower case and letters beyond ASCII, upper case, digits, kinds of punctuation
 _CLASSES = (b" \t\r\x0b\x0c", b"\n", b"", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".", b",", b";:?'\"()-", b"!", b"|", b"$#%&*@")
@@ -144,6 +144,7 @@ def fit(
             for piece in slices(batch, "text", 1 << 20):
                 made = [r.tobytes() for r in features(piece.column("text")).astype(np.float16)]
                 yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("label"), pa.array(made, pa.binary())], names=["id", "label", "terms"])
+        give_back()
 
     kind = known.schema["id"].dataType.simpleString()
     held = found.mapInArrow(run, f"id {kind}, label int, terms binary").toArrow().sort_by("id")
@@ -161,6 +162,7 @@ def score(docs: DataFrame, voters: Voters, text: str = "text", name: str = "scor
             for piece in slices(batch, text, 1 << 20):
                 votes = shared.value.vote(features(piece.column(text)), neighbours, power)
                 yield pa.RecordBatch.from_arrays([piece.column(c) for c in kept] + [pa.array(votes)], names=[*kept, name])
+        give_back()
 
     rows = docs.select(kept)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scratch import materialize
-from .common import mixed, slices, text_bytes, words
+from .common import give_back, mixed, slices, text_bytes, words
 from .components import components
 
 _STEPS = mixed(np.arange(11, 75, dtype=np.uint64)) | np.uint64(1)
@@ -113,6 +113,7 @@ def prints(docs: DataFrame, threshold: float, recall: float, n: int, key: str, t
                     pa.array([len(s) for s in sets], pa.int64()), pa.array(made, pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "print", "size", "bands"])
+        give_back()
 
     read = docs.select(
         F.col(key).cast("bigint").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"),
