@@ -176,7 +176,8 @@ def test_evidence_package(spark, tmp_path):
     assert (m.reconciliation_summary.matched, m.reconciliation_summary.exceptions) == (1, 1)
     assert m.exception_summary.open == 1 and list(m.scope.event_timestamp_range) == ["2026-09-01 00:00:00"] * 2
     assert pack["reconciliation_results"].count() == 2
-    assert audit.evidence(log, results, queue, "B1")["reconciliation_results"].count() == 0
+    assert audit.evidence(log, results, queue, "B1")["reconciliation_results"].count() == 2
+    assert audit.evidence(log, results, queue, "B1", full=False)["reconciliation_results"].count() == 0
     audit.write_evidence(pack, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out/audit_events")).count() == 3
     with pytest.raises(audit.UnknownBatchId):
