@@ -7,6 +7,7 @@ disk. The folder is the session's ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if context.applicationId not in _LOCAL:
         _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="ledgerloom-")
@@ -34,6 +35,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/ledgerloom/{app}/{label}-{uuid.uuid4().hex}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove every table this application has put into the shared folder, once nothing reads them any more."""
+    folder = f"{shared_dir(spark).rstrip('/')}/ledgerloom/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None, **options: str) -> DataFrame:
     """Write ``df`` once and return a DataFrame that reads it back; ``options`` go to the Parquet writer."""
     spark = df.sparkSession

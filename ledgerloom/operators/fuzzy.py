@@ -8,7 +8,7 @@ for that meet on pieces one of which must survive the allowed edits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ReconConfig
@@ -27,6 +27,9 @@ from ..functions.text import (
 # pairs one bucket may hold before its texts are compared through shared keys
 PAIRS_PER_BUCKET = 1 << 20
 
+# pieces of a payment's text beyond those that edits can touch; as many of its most frequent are left out
+SPARE_PIECES = 4
+
 _CELL = ["cur", "db", "ab"]
 
 
@@ -94,9 +97,36 @@ def _scored(pairs: DataFrame, cfg: ReconConfig) -> DataFrame:
     )
 
 
+def _shared_ends(asking: DataFrame, offered: DataFrame) -> DataFrame:
+    """Per bucket, the letters all its texts begin with and end with: those of the first and last in order."""
+    texts = asking.select(*_CELL, F.col("p_ref").alias("t")).unionByName(offered.select(*_CELL, F.col("l_ref").alias("t")))
+    back = F.reverse("t")
+    ends = texts.groupBy(*_CELL).agg(
+        F.min("t").alias("a"), F.max("t").alias("b"), F.min(back).alias("ra"), F.max(back).alias("rb"), F.min(F.length("t")).alias("least")
+    )
+
+    def common(a: str, b: str) -> Column:
+        same = lambda i: F.substring(F.col(a), F.lit(1), i) == F.substring(F.col(b), F.lit(1), i)
+        return F.size(F.filter(F.sequence(F.lit(1), F.col("least")), same))
+
+    head = ends.withColumn("head", common("a", "b")).withColumn("tail", common("ra", "rb"))
+    return head.select(*_CELL, "head", F.least("tail", F.col("least") - F.col("head")).alias("tail"))
+
+
 def _by_shared_text(asking: DataFrame, offered: DataFrame, cfg: ReconConfig) -> DataFrame:
-    asking = asking.withColumn("la", F.length("p_ref"))
-    offered = offered.withColumn("lb", F.length("l_ref"))
+    """Pairs that can reach the threshold and meet on a shared key.
+
+    What a whole bucket begins or ends with is cut off first: it adds the same letters to every pair's
+    common subsequence. Texts too long to list meet on pieces. A payment's text is cut into more pieces
+    than edits can touch, and its most frequent ones are left out while enough stay for one to survive.
+    """
+    ends = materialize(_shared_ends(asking, offered), "ends")
+
+    def bare(side: DataFrame, text: str, name: str, length: str) -> DataFrame:
+        cut = side.join(ends, _CELL).withColumn(length, F.length(text)).withColumn("cut", F.col("head") + F.col("tail"))
+        return cut.withColumn(name, F.substring(F.col(text), F.col("head") + 1, F.col(length) - F.col("cut")))
+
+    asking, offered = bare(asking, "p_ref", "p_bare", "la"), bare(offered, "l_ref", "l_bare", "lb")
     lengths_l = offered.groupBy(*_CELL).agg(F.collect_set("lb").alias("others"))
     lengths_p = asking.groupBy(*_CELL).agg(F.collect_set("la").alias("others"))
     asking = _with_plan(asking.join(lengths_l, _CELL).withColumn("lb", F.explode("others")), cfg)
@@ -108,13 +138,17 @@ def _by_shared_text(asking: DataFrame, offered: DataFrame, cfg: ReconConfig) ->
     def cut(side: DataFrame, parts: Column) -> DataFrame:
         return side.where("NOT listed").withColumn("key", F.explode(parts))
 
-    count = F.col("ka") + F.col("kb") + 1
+    own, needed = F.col("la") - F.col("cut"), F.col("ka") + F.col("kb") + 1
+    spare = F.least(F.lit(SPARE_PIECES), F.greatest(F.floor(own / 3).cast("int") - needed, F.lit(0)))
     left, right = [*_CELL, "la", "lb", "key"], ["lt", "l_ref", "l_amount", "l_day", "n_l", "l_first", "l_last"]
-    listed = keyed(asking, "p_ref", "ka").join(keyed(offered, "l_ref", "kb").select(*left, *right), left)
-    cuts = cut(asking, pieces(F.col("p_ref"), count)).join(
-        cut(offered, shifted_pieces(F.col("l_ref"), F.col("la"), count, F.col("ka"), F.col("kb"))).select(*left, *right),
-        left,
-    )
+    listed = keyed(asking, "p_bare", "ka").join(keyed(offered, "l_bare", "kb").select(*left, *right), left)
+    there = cut(offered, shifted_pieces(F.col("l_bare"), own, needed + spare, F.col("ka"), F.col("kb"))).select(*left, *right)
+    often = there.groupBy(*left).agg(F.count(F.lit(1)).alias("often"))
+    here = cut(asking, pieces(F.col("p_bare"), needed + spare)).withColumn("spare", spare).join(often, left, "left")
+    # a text's pieces are few; its most frequent ones come first
+    place = F.row_number().over(Window.partitionBy("pt", *_CELL, "la", "lb").orderBy(F.coalesce("often", F.lit(0)).desc(), "key"))
+    here = here.withColumn("place", place).where((F.col("place") > F.col("spare")) & F.col("often").isNotNull())
+    cuts = here.join(there, left)
     wanted = ["pt", "n_p", "p_ref", "p_amount", "p_day", *right]
     return listed.select(*wanted).unionByName(cuts.select(*wanted)).dropDuplicates(["pt", "lt"])
 
@@ -125,8 +159,9 @@ def _with_plan(side: DataFrame, cfg: ReconConfig) -> DataFrame:
     need = shared_needed(la, lb, cfg.fuzzy_threshold)
     return (
         side.where(can_reach(la, lb, cfg.fuzzy_threshold))
-        .withColumn("ka", la - need)
-        .withColumn("kb", lb - need)
-        .withColumn("listed", listable(la, F.col("ka")) & listable(lb, F.col("kb")))
+        .withColumn("ka", F.least(la - need, la - F.col("cut")))
+        .withColumn("kb", F.least(lb - need, lb - F.col("cut")))
+        .withColumn("listed", listable(la - F.col("cut"), F.col("ka")) & listable(lb - F.col("cut"), F.col("kb"))
+                    & (la - F.col("ka") == lb - F.col("kb")))
         .drop("others")
     )

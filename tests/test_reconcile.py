@@ -225,3 +225,30 @@ def test_repeated_payment_ids_keep_their_rows(spark):
     pay = spark.createDataFrame([("P", "a"), ("P", "b"), ("Q", "c")], "payment_id string, status string")
     matched = spark.createDataFrame([("P", 1, "exception"), ("P", 2, "matched")], "payment_id string, seq long, match_status string")
     assert sorted(map(tuple, reconcile.payment_status(pay, matched).collect())) == [("P", "matched"), ("P", "matched"), ("Q", "c")]
+
+
+def test_a_shared_beginning_brings_few_pairs_together(spark):
+    """One hot bucket, long references of one beginning: candidates stay near the wanted pairs."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.config import ReconConfig
+    from ledgerloom.functions.text import similarity
+    from ledgerloom.operators import fuzzy
+
+    rng = random.Random(11)
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZ0123456789"
+    books = ["INVOICE2026PAY" + "".join(rng.choice(letters) for _ in range(26)) for _ in range(300)]
+    asked = []
+    for text in books:
+        for _ in range(2):
+            at = rng.randrange(14, 38)
+            text = text[:at] + rng.choice(("", "Z", "QQ")) + text[at + rng.choice((0, 1)):]
+        asked.append(text)
+    cell = "cur string, db int, ab bigint"
+    pay = spark.createDataFrame([(f"P{i}", 1, t, 1.0, DAY, "USD", 0, 0) for i, t in enumerate(asked)], f"pt string, n_p int, p_ref string, p_amount double, p_day date, {cell}")
+    led = spark.createDataFrame([(f"T{i}", t, 1.0, DAY, 1, i, i, "USD", 0, 0) for i, t in enumerate(books)],
+                                f"lt string, l_ref string, l_amount double, l_day date, n_l int, l_first int, l_last int, {cell}")
+    met = fuzzy._by_shared_text(pay, led, ReconConfig(fuzzy_threshold=0.9)).select("pt", "lt").collect()
+    wanted = pay.crossJoin(led.select("lt", "l_ref")).where(similarity(F.col("p_ref"), F.col("l_ref")) >= 0.9).select("pt", "lt").collect()
+    assert len(wanted) >= 290 and set(map(tuple, wanted)) <= set(map(tuple, met))
+    assert len(met) < 20 * len(wanted) < 0.1 * 300 * 300
