@@ -214,6 +214,7 @@ def classes(
             out += [(names[own[a]], names[own[b]], 0) for a, b in forest]
         columns = zip(*out) if out else ([], [], [])
         kinds = (pa.binary(), pa.binary(), pa.int64())
+        give_back()
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["a", "b", "links"])
 
     found = materialize(tasks.groupBy("bin", "low", "high").applyInArrow(run, "a binary, b binary, links bigint"), "links")
