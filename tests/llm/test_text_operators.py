@@ -75,6 +75,61 @@ def test_distributions_sum_to_one():
         assert abs(sum(own.values()) + rest - 1) < 1e-9
 
 
+def tree_scores(docs, held, least=5, test=6.0, prior=4.0):
+    """The tree's score of each document, by dictionaries over runs of every length."""
+    train = [d for d, h in zip(docs, held) if not h]
+    total, distinct = sum(map(len, train)), len({w for d in train for w in d})
+
+    def often(n):
+        counts = Counter(d[i : i + n] for d in train for i in range(len(d) - n + 1))
+        return {r: c for r, c in counts.items() if c >= least}
+
+    singles = Counter(w for d in train for w in d)
+    log_p = [[math.log((singles[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in d] for d in docs]
+    before = often(1)
+    likely = {r: (c + 0.5) / (total + 0.5 * (distinct + 1)) for r, c in before.items()}
+    length = 0
+    while True:
+        runs, groups, rests, own = often(length + 2), {}, {}, {}
+        for r in runs:
+            groups.setdefault(r[:-1], []).append(r)
+        for c, group in groups.items():
+            seen, parents = before[c], {r: likely[r[1:]] for r in group}
+            left, other = max(seen - sum(runs[r] for r in group), 0), max(1 - sum(parents.values()), 1e-12)
+            gain = sum(runs[r] * math.log(runs[r] / seen / parents[r]) for r in group) + (left * math.log(left / seen / other) if left else 0)
+            if 2 * gain >= test * (len(group) + 1):
+                rests[c] = math.log((left + prior * other) / (seen + prior) / other)
+                own.update({r: (runs[r] + prior * parents[r]) / (seen + prior) for r in group})
+        if not rests:
+            return length, [sum(p) / math.log(10) for p in log_p]
+        length += 1
+        for d, p in zip(docs, log_p):
+            for i in range(length, len(d)):
+                if d[i - length : i] in rests:
+                    p[i] = math.log(own[r]) if (r := d[i - length : i + 1]) in own else p[i] + rests[d[i - length : i]]
+        before, likely = runs, {r: own.get(r, likely[r[1:]]) for r in runs}
+
+
+def test_contexts_are_as_long_as_they_diverge(spark):
+    """What follows "a a a" depends on the word before it, so four symbols of context are needed."""
+    random_ = random.Random(6)
+    pick = lambda: random_.choice(("x a a a b", "y a a a c", "z z", "q"))
+    rows = [(i, " ".join(pick() for _ in range(random_.randint(0, 60)))) for i in range(60)]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = suffix_tree.score(made, F.col("doc_id") % 5 == 1, chunk_bytes=1500).collect()
+    length, expected = tree_scores([(*t.split(), "\0") for _, t in rows], [i % 5 == 1 for i, _ in rows])
+    assert length >= 4 and len(found) == len(rows)
+    assert all(abs(r.score - expected[r.doc_id]) < 1e-6 for r in found)
+
+
+def test_a_run_counts_the_same_in_a_large_corpus(spark):
+    """Six occurrences are enough beside nine million words."""
+    rare = spark.range(6).select("id", F.lit("p q").alias("text"))
+    made = rare.union(spark.range(6, 36).select("id", F.repeat(F.lit("w "), 300000))).withColumnRenamed("id", "doc_id")
+    found = suffix_tree.score(made, F.lit(False)).where("doc_id < 6").collect()
+    assert len(found) == 6 and all(r.train_tokens > 9000000 and r.score > r.base_score + 5 for r in found)
+
+
 def test_fingerprints_are_homomorphic():
     a, b, c = prose(1), prose(2), prose(3)
     one, two = multiset_hash.fingerprints([f"{a}\n{b}\n{c}\n{a}", f"{c}\n\n{a}\n{a}\n{b}"])
