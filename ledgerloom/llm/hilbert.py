@@ -2,8 +2,11 @@
 
 Vectors are projected to a few dimensions by several random rotations, each with a random shift, and
 ordered along a Hilbert curve in each. Every ordering is range-partitioned by Spark and cut into
-windows of ``window`` consecutive vectors. A query looks into its own window and both neighbours in
-every ordering; what it meets is ranked by exact Euclidean distance, and the orderings' lists merge.
+windows of ``window`` consecutive vectors. A query looks into its own window and its neighbours on both
+sides in every ordering; what it meets is ranked by exact Euclidean distance, and the orderings' lists merge.
+
+How many neighbours a side is measured, so that ``recall`` holds at every size: for ``probes`` queries the
+true neighbours are found among all points, and the windows between them and the query are counted.
 
 Equal vectors are one point of the curves, kept with their ``k + 1`` smallest ids: no list of ``k``
 can need more, so a vector with a third of all rows is exact and costs one point.
@@ -19,6 +22,8 @@ indexed. A task holds one window and the queries that look into it.
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,6 +117,40 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.size("vec") == (lengths[0]["n"] if lengths else 0))
 
 
+NAME = "struct<point bigint, print bigint>"
+
+
+def reach(points: DataFrame, ranked: DataFrame, asked: DataFrame, k: int, recall: float, probes: int) -> int:
+    """Windows to look into on each side, so that ``recall`` of the probes' true neighbours are met in some ordering."""
+    own = asked.select("name").distinct().orderBy(F.xxhash64("name"), "name").limit(probes)
+    rows = own.join(points.select("name", "vec"), "name").collect()
+    if not rows:
+        return 1
+    names, queries = [tuple(r["name"]) for r in rows], np.array([r["vec"] for r in rows])
+
+    def near(batches):
+        best = [[] for _ in names]
+        for batch in batches:
+            there = [(n["point"], n["print"]) for n in batch.column("name").to_pylist()]
+            ids = np.array([n for n, _ in there])
+            for q, (at, score) in enumerate(nearest(queries, _matrix(batch.column("vec")), ids, k + 1) if there else []):
+                others = [(s, there[i]) for i, s in zip(at.tolist(), score.tolist()) if there[i] != names[q]]
+                best[q] = heapq.nsmallest(k, best[q] + others)
+        out = [(q, {"point": n[0], "print": n[1]}, s) for q, found in enumerate(best) for s, n in found]
+        types = (pa.int32(), pa.struct([("point", pa.int64()), ("print", pa.int64())]), pa.float64())
+        columns = zip(*out) if out else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["probe", "name", "score"])
+
+    true = points.select("vec", "name").mapInArrow(near, f"probe int, name {NAME}, score double")
+    place = F.row_number().over(Window.partitionBy("probe").orderBy("score", "name"))
+    true = materialize(true.withColumn("n", place).where(F.col("n") <= k).select("probe", "name"), "true")
+    probe = points.sparkSession.createDataFrame(list(enumerate(names)), f"probe int, name {NAME}")
+    here = ranked.join(probe, "name").select("probe", "t", F.col("block").alias("own"))
+    gaps = true.join(ranked, "name").join(here, ["probe", "t"]).groupBy("probe", "name").agg(F.min(F.abs(F.col("block") - F.col("own"))).alias("gap"))
+    found = sorted(r["gap"] for r in gaps.select("gap").collect())  # k for each probe
+    return max(1, found[math.ceil(recall * len(found)) - 1]) if found else 1
+
+
 def search(
     vectors: DataFrame,
     queries: Column,
@@ -122,6 +161,8 @@ def search(
     window: int = 4096,
     fit_rows: int = 4096,
     seed: int = 0,
+    recall: float = 0.95,
+    probes: int = 100,
 ) -> DataFrame:
     """A row per query and rank: query_id, rank, vec_id, score. ``queries`` is a condition on ``id``."""
     rows = usable(vectors, key, vector).select("id", F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec"))
@@ -142,12 +183,14 @@ def search(
                 columns = [pa.array([t] * len(keys), pa.int32()), pa.array(keys), batch.column("name")]
                 yield pa.RecordBatch.from_arrays(columns, names=["t", "place", "name"])
 
-    placed = points.select("vec", "name").mapInArrow(keyed, "t int, place bigint, name struct<point bigint, print bigint>")
+    placed = points.select("vec", "name").mapInArrow(keyed, f"t int, place bigint, name {NAME}")
     ranked = with_rank(placed, ["t"], ["place", "name"], "rank").select("t", F.floor((F.col("rank") - 1) / window).cast("int").alias("block"), "name")
     ranked = materialize(ranked, "windows")
     members = ranked.join(points.select("name", "vec"), "name")
     looking = ranked.join(asked.select("name").distinct(), "name").join(points.select("name", "vec"), "name")
-    around = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))
+    sides = reach(points, ranked, asked, k, recall, probes)
+    last = ranked.agg(F.max("block")).first()[0]
+    around = F.explode(F.sequence(F.greatest(F.col("block") - sides, F.lit(0)), F.least(F.col("block") + sides, F.lit(last))))
     looking = looking.select(F.col("t").alias("query_t"), around.alias("query_block"), F.col("name").alias("query"), F.col("vec").alias("query_vec"))
 
     def meet(there: pa.Table, here: pa.Table) -> pa.Table:
@@ -155,15 +198,15 @@ def search(
         found = []
         if len(there) and names:
             ids = np.array([n["point"] for n in there.column("name").to_pylist()])
-            candidates = _matrix(there.column("vec"))
-            for query, (at, score) in zip(names, nearest(_matrix(here.column("query_vec")), candidates, ids, k + 1)):
-                found += [(query, there.column("name")[i].as_py(), s) for i, s in zip(at.tolist(), score)]
+            candidates, asking = _matrix(there.column("vec")), _matrix(here.column("query_vec"))
+            for start in range(0, len(names), 512):  # bounds the matrix of distances
+                for query, (at, score) in zip(names[start:], nearest(asking[start : start + 512], candidates, ids, k + 1)):
+                    found += [(query, there.column("name")[i].as_py(), s) for i, s in zip(at.tolist(), score)]
         kind = pa.struct([("point", pa.int64()), ("print", pa.int64())])
         columns = zip(*found) if found else ([], [], [])
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, kind, pa.float64()))], names=schema)
 
-    name = "struct<point bigint, print bigint>"
-    met = members.groupBy("t", "block").cogroup(looking.groupBy("query_t", "query_block")).applyInArrow(meet, f"query {name}, name {name}, score double")
+    met = members.groupBy("t", "block").cogroup(looking.groupBy("query_t", "query_block")).applyInArrow(meet, f"query {NAME}, name {NAME}, score double")
     merged = met.groupBy("query", "name").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query").orderBy("score", "name")
     merged = merged.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)

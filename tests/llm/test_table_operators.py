@@ -137,6 +137,18 @@ def test_recall(spark):
     assert hits >= 0.9 * total
 
 
+def test_recall_where_windows_are_few(spark):
+    """Three windows in each of four orderings hold a twentieth of the points; true neighbours are met all the same."""
+    vectors = np.random.default_rng(2).standard_normal((4000, 16))
+    made = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    found = {(r.query_id, r.vec_id) for r in hilbert.search(made, F.col("id") % 40 == 0, orderings=4, window=16).collect()}
+    hits = 0
+    for q in range(0, 4000, 40):
+        near = [i for i in np.argsort(((vectors - vectors[q]) ** 2).sum(axis=1)) if i != q][:10]
+        hits += sum((q, int(i)) in found for i in near)
+    assert hits >= 0.9 * 1000
+
+
 def test_schedules_invert(spark):
     for schedule in (curriculum.RISING, curriculum.LEVEL, curriculum.FALLING, ((0.0, 0.0), (0.3, 2.0), (1.0, 0.0))):
         made = spark.range(0, 101).select((F.col("id") / 100).alias("share"))
