@@ -83,18 +83,26 @@ def op9_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is taken of each document, in the order in which training meets them first; untaken ones last."""
     taken = F.aggregate("_taken", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return curriculum.plan(table(spark, sf_dir, "documents")).select(
+    first = [F.array_min("_at").asc_nulls_last(), F.col("_id").asc_nulls_last()]
+    ordered = curriculum.plan(table(spark, sf_dir, "documents")).repartitionByRange(*first).sortWithinPartitions(*first)
+    return ordered.select(
         F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_supply").alias("source_size"),
         F.col("_target").alias("target"), taken.alias("taken"),
     )
 
 
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies themselves with their training positions, range-sorted by them."""
+    return curriculum.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "position")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_host_reputation, op2_suffix_tree, op3_bit_planes, op4_prefix_targets, op5_hilbert, op6_neighbour_vote, op7_ngram_jaccard,
-        op8_multiset_hash, op9_cost_packing, op10_curriculum,
+        op8_multiset_hash, op9_cost_packing, op10_curriculum, op10_training_order,
     )
 }
 
@@ -199,3 +207,23 @@ SELECT doc_id, size, supply AS source_size, target,
   least(greatest(want - before, 0), size) + least(greatest(want - supply - before, 0), size) AS taken
 FROM placed
 """
+ORACLES["op10_training_order"] = ORACLES["op10_curriculum"].rsplit("\nSELECT doc_id, size, supply", 1)[0] + r""", kinds AS (
+  SELECT source, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS kind FROM targets
+), knots(kind, a, width, before, u, v) AS (
+  VALUES (0, 0.0::DOUBLE, 0.5::DOUBLE, 0.0::DOUBLE, 0.6::DOUBLE, 1.0::DOUBLE), (0, 0.5, 0.5, 0.4, 1.0, 1.4),
+    (1, 0.0, 0.5, 0.0, 1.0, 1.0), (1, 0.5, 0.5, 0.5, 1.0, 1.0), (2, 0.0, 0.5, 0.0, 1.4, 1.0), (2, 0.5, 0.5, 0.6, 1.0, 0.6)
+), copies AS (
+  SELECT doc_id, size, i, before + supply * i AS start, target, least(greatest(want - supply * i - before, 0), size) AS part
+  FROM placed, (VALUES (0), (1)) passes(i)
+), asked AS (
+  SELECT doc_id, d.source, text, kind, i, (start + part / 2::DOUBLE) / greatest(target, 1.0::DOUBLE) AS share
+  FROM copies JOIN documents d USING (doc_id) JOIN kinds ON d.source IS NOT DISTINCT FROM kinds.source WHERE part > 0 AND 2 * part >= size
+), timed AS (
+  SELECT doc_id, source, text, i, a, u + sqrt(greatest(u * u + 2 * greatest(share - before, 0) * ((v - u) / width), 0)) AS root,
+    2 * greatest(share - before, 0) AS twice, row_number() OVER (PARTITION BY doc_id, i ORDER BY a) AS n, share < before + width * (u + v) / 2 AS inside
+  FROM asked JOIN knots USING (kind)
+)
+SELECT doc_id, any_value(source) AS source, any_value(text) AS text,
+  least(greatest(coalesce(arg_min(CASE WHEN root > 0 THEN a + twice / root ELSE a END, n) FILTER (inside), 1), 0), 1)::DOUBLE AS position
+FROM timed GROUP BY doc_id, i
+"""

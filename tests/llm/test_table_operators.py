@@ -187,6 +187,15 @@ def test_mix_meets_its_targets(spark, docs, empty):
     assert curriculum.plan(empty).count() == 0 and curriculum.mix(empty).count() == 0
 
 
+def test_op10_follows_training_time(spark):
+    """Rows come in the order of the schedules' inverted demand, as the copies do."""
+    copies = QUERIES["op10_training_order"](spark, SF).collect()
+    assert copies and [r.position for r in copies] == sorted(r.position for r in copies)
+    planned = {r._id: min((a for a in r._at if a is not None), default=2.0) for r in curriculum.plan(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    order = [planned[r.doc_id] for r in QUERIES["op10_curriculum"](spark, SF).collect()]
+    assert order == sorted(order) and len(set(order)) > 10
+
+
 def test_weights_move_over_time(spark):
     made = spark.createDataFrame([(i, "w " * 10, s) for s in "abc" for i in range(500)], "doc_id bigint, text string, source string")
     rows = curriculum.mix(made, weights=(1, 1, 1), share=0.9).collect()
