@@ -1,7 +1,8 @@
 """A corpus prepared for training, stage by stage: quality, near duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. Stages work on all rows of the stage
-before; what one returns is written as Parquet and read again as the next one's ``docs``.
+before; what one returns is written as Parquet and read again as the next one's ``docs``. The training
+order of the mix is that of its part files by name and of the rows in each, and packing keeps it.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of training sequences."""
-    return cost_packing.pieces(docs, vocabulary("word_bpe_49k.json"), 1)
+    """The pieces of training sequences; ``sequence_id`` follows the order in which ``docs`` were written."""
+    place = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    return cost_packing.pieces(docs, vocabulary("word_bpe_49k.json"), 1, order=place)
 
 
 STAGES = [("quality", good), ("near duplicates", single), ("mix", mixed), ("pack", packed)]

@@ -10,17 +10,20 @@ padding. So nothing is padded.
 Defined results: a null text is empty and has the end id alone. Repeated rows are packed each. Equal
 costs go to the earlier sequence, equal lengths by place in the input. An empty table gives no rows.
 Other columns are ignored. A pool holds ``pool_tokens`` tokens and one document more, which bounds a
-task's memory. No rows are shuffled, so a large source or group of copies has no effect.
+task's memory. Without ``order`` no rows are shuffled, so a large source or group of copies has no effect.
+With it, rows are range-partitioned and sorted by it: pools are cut from that order and ``sequence_id`` rises
+with it from pool to pool (inside a pool documents go by length).
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, slices
@@ -107,6 +110,7 @@ def pieces(
     capacity: int = CAPACITY,
     pool_tokens: int = POOL_TOKENS,
     with_ids: bool = False,
+    order: Sequence[Column] = (),
 ) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and its ids if asked for."""
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -145,5 +149,9 @@ def pieces(
             yield packed(keys, np.concatenate(ids), np.concatenate(ends), base)[0]
         give_back()
 
-    read = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    names = [f"_o{i}" for i in range(len(order))]
+    places = [c.alias(n) for c, n in zip(order, names)]
+    read = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *places)
+    if names:
+        read = read.repartitionByRange(*names).sortWithinPartitions(*names).select("key", "text")
     return read.mapInArrow(run, schema + ", ids binary" * with_ids)

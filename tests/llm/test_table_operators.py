@@ -11,7 +11,7 @@ from compare import compare, connect
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import curriculum, hilbert, host_reputation, prefix_targets
+from ledgerloom.llm import cost_packing, curriculum, hilbert, host_reputation, prefix_targets
 from ledgerloom.llm.queries import ORACLES, QUERIES, RULES
 
 SF = "/root/testdata/sf0.001"
@@ -214,3 +214,14 @@ def test_pipeline(spark):
     judged = kept.join(labels, "doc_id").groupBy("quality").count().collect()
     assert {r.quality: r["count"] for r in judged}.get(0, 0) <= 0.2 * labels.where("quality = 0").count()
     assert re.match("quality", corpus_pipeline.STAGES[0][0])
+
+
+def test_packed_sequences_follow_training_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cost_packing.pieces, "__defaults__", tuple(20000 if d == cost_packing.POOL_TOKENS else d for d in cost_packing.pieces.__defaults__))
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("repeat('some words of it ', 1000 + 10 * cast(id / 10 as int))").alias("text"))
+    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "mixed"))
+    rows = corpus_pipeline.packed(spark, spark.read.parquet(str(tmp_path / "mixed")), SF).collect()
+    first = {d: min(r.sequence_id for r in rows if r.doc_id == d) for d in range(400)}
+    last = {d: max(r.sequence_id for r in rows if r.doc_id == d) for d in range(400)}
+    # a pool is at most a slice of 2 MB, some 120 of these documents
+    assert all(last[d] < first[e] for d in range(400) for e in range(d + 130, 400))
