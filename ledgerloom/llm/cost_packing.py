@@ -3,7 +3,7 @@
 A piece of n tokens costs ``linear * n + quadratic * n * n``, as attention stays inside a document.
 Each task encodes its documents and packs them pool by pool. Documents longer than a sequence give
 full sequences first. The rest go, dearest first, to the lowest-cost sequence that has room for them;
-where none has, the document is cut and fills the lowest-cost open sequences. Sequences of a pool are
+where none has, the document is cut and fills the cheapest of those with most room (by powers of two). Sequences of a pool are
 all full: as many of ``capacity`` as the tokens fill, the remainder as powers of two, which need no
 padding. So nothing is padded.
 
@@ -57,50 +57,55 @@ def pack(lengths: list[int], capacity: int = CAPACITY, linear: float = 1.0, quad
             first += 1
         if length % capacity:
             rest.append((length % capacity, doc, whole * capacity))
-    # open sequences by room left in powers of two; each class is a heap by cost
-    classes: list[list[tuple[float, int]]] = [[] for _ in range(capacity.bit_length())]
-
-    def open_(s: int) -> None:
-        left = room[s] - used[s]
-        if left:
-            heapq.heappush(classes[left.bit_length() - 1], (cost[s], s))
+    # open sequences by exact room: a heap by cost for each, under a tree of minima
+    none = (float("inf"), -1)
+    open_: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+    width = 1 << capacity.bit_length()
+    least = [none] * (2 * width)
+
+    def renew(left: int) -> None:
+        at, top = left + width, open_[left][0] if open_[left] else none
+        while at and least[at] != top:
+            least[at] = top
+            at >>= 1
+            top = min(least[2 * at], least[2 * at + 1])
+
+    def cheapest(low: int, high: int) -> tuple[float, int]:
+        """The open sequence of lowest cost with a room of ``low`` to ``high``."""
+        best, low, high = none, low + width, high + width + 1
+        while low < high:
+            if low & 1:
+                best, low = min(best, least[low]), low + 1
+            if high & 1:
+                high -= 1
+                best = min(best, least[high])
+            low, high = low >> 1, high >> 1
+        return best
 
     for s in range(first, len(room)):
-        open_(s)
+        heapq.heappush(open_[room[s]], (0.0, s))
+    for left in range(1, capacity + 1):
+        renew(left)
     for length, doc, start in sorted(rest, key=lambda r: (-r[0], r[1])):
         while length:
-            best = None
-            for c in range(length.bit_length(), len(classes)):  # any of these has room
-                if classes[c] and (best is None or classes[c][0] < best[0]):
-                    best = (classes[c][0], c)
-            if best is None:  # of the same power of two, some have room
-                c, passed = length.bit_length() - 1, []
-                while classes[c] and room[classes[c][0][1]] - used[classes[c][0][1]] < length and len(passed) < 8:
-                    passed.append(heapq.heappop(classes[c]))
-                if classes[c] and room[classes[c][0][1]] - used[classes[c][0][1]] >= length:
-                    best = (classes[c][0], c)
-                for entry in passed:
-                    heapq.heappush(classes[c], entry)
-                if best:
-                    _take(classes[c], best[0])
-                else:  # cut: fill the cheapest of the largest class
-                    c = max(i for i in range(len(classes)) if classes[i])
-                    best = (heapq.heappop(classes[c]), c)
-            else:
-                heapq.heappop(classes[best[1]])
-            s = best[0][1]
-            n = min(length, room[s] - used[s])
+            best = cheapest(length, capacity)
+            bit = capacity.bit_length()
+            while best == none:  # cut: fill the cheapest of those with most room, by powers of two
+                bit -= 1
+                best = cheapest(1 << bit, min((2 << bit) - 1, capacity))
+            s = best[1]
+            left = room[s] - used[s]
+            heapq.heappop(open_[left])
+            renew(left)
+            n = min(length, left)
             place(doc, start, n, s)
-            open_(s)
+            if left > n:
+                heapq.heappush(open_[left - n], (cost[s], s))
+                renew(left - n)
             start, length = start + n, length - n
     return pieces
 
 
-def _take(heap: list, entry: tuple) -> None:
-    heap.remove(entry)
-    heapq.heapify(heap)
-
-
 def pieces(
     docs: DataFrame,
     tokenizer: str,

@@ -2,6 +2,7 @@
 
 import io
 import random
+from collections import Counter
 import zlib
 
 import numpy as np
@@ -137,3 +138,19 @@ def test_pieces_hold_the_ids(docs, empty):
 def test_end_ids():
     ids, offsets = ended(np.array([5, 6, 7], "<u4"), np.array([0, 2, 2, 3]), 9)
     assert ids.tolist() == [5, 6, 9, 9, 7, 9] and offsets.tolist() == [0, 3, 4, 6]
+
+
+def test_packing_takes_the_cheapest_with_room():
+    """Against a look at every open sequence; a document is cut only where none holds it whole."""
+    for seed in range(6):
+        random_ = random.Random(seed)
+        lengths = [random_.choice((random_.randint(1, 2047), random_.randint(500, 1100))) for _ in range(500)]
+        room, used, cost, of = cost_packing.capacities(sum(lengths)), Counter(), Counter(), {}
+        for piece in cost_packing.pack(lengths):
+            of.setdefault(piece[0], []).append(piece)
+        for doc in sorted(range(len(lengths)), key=lambda d: (-lengths[d], d)):
+            left = lengths[doc]
+            for _, _, n, s, _ in of[doc]:
+                fits = [(cost[t], t) for t in range(len(room)) if room[t] - used[t] >= left]
+                assert not fits or (n == left and (cost[s], s) == min(fits))
+                used[s], cost[s], left = used[s] + n, cost[s] + n + n * n / 1024, left - n
