@@ -107,7 +107,8 @@ def _shared_ends(asking: DataFrame, offered: DataFrame) -> DataFrame:
 
     def common(a: str, b: str) -> Column:
         same = lambda i: F.substring(F.col(a), F.lit(1), i) == F.substring(F.col(b), F.lit(1), i)
-        return F.size(F.filter(F.sequence(F.lit(1), F.col("least")), same))
+        # a sequence from 1 to 0 would run downwards
+        return F.when(F.col("least") > 0, F.size(F.filter(F.sequence(F.lit(1), F.greatest("least", F.lit(1))), same))).otherwise(F.lit(0))
 
     head = ends.withColumn("head", common("a", "b")).withColumn("tail", common("ra", "rb"))
     return head.select(*_CELL, "head", F.least("tail", F.col("least") - F.col("head")).alias("tail"))

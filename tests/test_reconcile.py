@@ -7,6 +7,7 @@ from walk import closeness, plain, walk
 from ledgerloom.config import ReconConfig
 from ledgerloom.functions.text import similarity
 from ledgerloom.operators import reconcile as R
+from ledgerloom.operators.fuzzy import _shared_ends
 
 DAY = date(2026, 8, 20)
 AS_OF = datetime(2026, 9, 1)
@@ -146,6 +147,15 @@ def test_crowded_buckets_equal_a_walk(spark):
     check(spark, payments[:60], ledger[:60], ReconConfig(fuzzy_threshold=0.7), pairs_per_bucket=0)
 
 
+def test_a_blank_reference_shares_no_ends(spark):
+    """One blank ledger reference in a crowded bucket: nothing may be cut off the others."""
+    cell = ("USD", 1, 1)
+    asking = spark.createDataFrame([(*cell, "ABCD"), (*cell, "ABXD")], "cur string, db int, ab int, p_ref string")
+    for refs, ends in ((["", "ABCD"], (0, 0)), (["ABCD"], (2, 1))):
+        offered = spark.createDataFrame([(*cell, r) for r in refs], "cur string, db int, ab int, l_ref string")
+        assert [(r.head, r.tail) for r in _shared_ends(asking, offered).collect()] == [ends]
+
+
 def test_copies_and_an_intruder(spark):
     """A large group of copies on both sides, disturbed by a payment that also fits elsewhere."""
     payments = [(f"P{i:05d}", "HOT", 100.0, "USD", DAY) for i in range(600)]
