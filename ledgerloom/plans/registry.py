@@ -326,7 +326,7 @@ def enroll_skip(spark: SparkSession, sf: str) -> DataFrame:
 def enroll_csv(spark: SparkSession, sf: str) -> DataFrame:
     """Enrollments read from CSV, judged in the order of the files."""
     path = new_path(spark, "csv")
-    files.write_csv(fx.load(spark, sf, "fx_pending_enrollments").select(*ENROLLMENT_COLUMNS).orderBy("enrollment_id").coalesce(1), path)
+    files.write_csv(fx.load(spark, sf, "fx_pending_enrollments").select(*ENROLLMENT_COLUMNS).orderBy("enrollment_id"), path)
     rows = files.read_enrollments(spark, path)
     run = enrollment.run_enrollment(rows, enrollment_rules(), fx.ENROLL_AS_OF, order="file_order")
     return run.outcomes.select("enrollment_id", "outcome", F.array_join("issues", "; ").alias("issues"))
