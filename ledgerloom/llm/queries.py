@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, over whole tables, and their SQL twins."""
+"""Registered queries of the operators, over whole tables, and their SQL twins."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bit_planes, cost_packing, curriculum, hilbert, host_reputation, multiset_hash, neighbour_vote, ngram_jaccard, prefix_targets, suffix_tree,
+    bit_planes, cost_packing, covering_simhash, curriculum, hilbert, host_reputation, multiset_hash, neighbour_vote, ngram_jaccard, prefix_targets,
+    spelling_gram, suffix_tree, viterbi_repair,
 )
 from .common import fold, table
 
@@ -98,11 +99,23 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "position")
 
 
+def op11_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_gram.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covering_simhash.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_host_reputation, op2_suffix_tree, op3_bit_planes, op4_prefix_targets, op5_hilbert, op6_neighbour_vote, op7_ngram_jaccard,
-        op8_multiset_hash, op9_cost_packing, op10_curriculum, op10_training_order,
+        op8_multiset_hash, op9_cost_packing, op10_curriculum, op10_training_order, op11_viterbi_repair, op12_spelling_gram, op13_covering_simhash,
     )
 }
 
@@ -227,3 +240,102 @@ SELECT doc_id, any_value(source) AS source, any_value(text) AS text,
   least(greatest(coalesce(arg_min(CASE WHEN root > 0 THEN a + twice / root ELSE a END, n) FILTER (inside), 1), 0), 1)::DOUBLE AS position
 FROM timed GROUP BY doc_id, i
 """
+
+
+def _crc32(octets: str) -> str:
+    """SQL of the crc32 of a list of lists of octets, bit by bit."""
+    step = "CASE WHEN xor(c, x) & 1 = 1 THEN xor(xor(c, x) >> 1, 3988292384) ELSE xor(c, x) >> 1 END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, flatten({octets})), lambda c, x: {step}), 4294967295)"
+
+
+def _edit(way: str, cost: str, letter: str) -> str:
+    """A way (nine digits of cost, then the audit) with one edit more."""
+    return f"lpad((substr({way}, 1, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({way}, 10) || '{letter}'"
+
+
+_EMPTY = "unicode(x)::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT"
+_KEPT = {q: f"CASE WHEN NOT gone AND initial = '{i}' THEN {{}} END" for q, i in ((1, "s"), (2, "u"), (3, "a"))}
+ORACLES["op11_viterbi_repair"] = rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), hashes AS (
+  SELECT k, {_crc32(f"list_transform(string_split(k, ''), lambda x: [{_EMPTY}])")} % 20 AS h FROM (SELECT DISTINCT k FROM keyed)
+), damaged AS (
+  SELECT coalesce(conv_id::VARCHAR, ' ') AS key, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM keyed JOIN hashes USING (k), (VALUES (0), (1)) copies(c) WHERE h <> 0 AND (c = 0 OR h = 3)
+), placed AS (
+  SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, md5(text)) AS n FROM damaged
+), judged AS (
+  SELECT *, lag(initial) OVER (PARTITION BY key ORDER BY n) || initial AS pair,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY n) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault
+  FROM placed
+), edge AS (
+  SELECT *, coalesce(fault IN ('blank', 'duplicate'), FALSE) AS gone, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS worse FROM judged
+), ways(key, n, q0, q1, q2, q3) AS (
+  SELECT DISTINCT key, 0::BIGINT, '000000000', NULL::VARCHAR, {_edit("'000000000'", "2", "I")}, {_edit("'000000000'", "4", "II")} FROM damaged
+  UNION ALL
+  SELECT key, n, q0, q1, i2, least(q3, {_edit("i2", "2", "I")}) FROM (
+    SELECT key, n, q0, q1, q3, least(q2, {_edit("q0", "2", "I")}, {_edit("q1", "2", "I")}, {_edit("q3", "2", "I")}) AS i2 FROM (
+      SELECT w.key, e.n, {_edit("q0", "3", "D")} AS q0,
+        least({_edit("q1", "3", "D")}, {_KEPT[1].format(_edit("q0", "worse", "K"))}) AS q1,
+        least({_edit("q2", "3", "D")}, {", ".join(_KEPT[2].format(_edit(q, "worse", "K")) for q in ("q0", "q1", "q3"))},
+          {", ".join(f"CASE WHEN NOT gone THEN {_edit(q, '2 + worse', 'R')} END" for q in ("q0", "q1", "q3"))}) AS q2,
+        least({_edit("q3", "3", "D")}, {_KEPT[3].format(_edit("q2", "worse", "K"))}, CASE WHEN NOT gone THEN {_edit("q2", "2 + worse", "R")} END) AS q3
+      FROM ways w JOIN edge e ON w.key = e.key AND e.n = w.n + 1))
+), best AS (
+  SELECT key, substr(way, 1, 9)::BIGINT AS cost, substr(way, 10) AS audit
+  FROM (SELECT key, arg_max(least(q0, q3), n) AS way FROM ways GROUP BY key)
+), letters AS (
+  SELECT key, unnest(string_split(audit, '')) AS letter, unnest(range(1, length(audit) + 1)) AS place FROM best
+), steps AS (
+  SELECT key, letter, place, sum((letter <> 'I')::INT) OVER w AS n, sum((letter <> 'D')::INT) OVER w AS o
+  FROM letters WINDOW w AS (PARTITION BY key ORDER BY place ROWS UNBOUNDED PRECEDING)
+), named AS (
+  SELECT s.*, e.role, e.text, first_value(s.letter = 'K' AND e.initial = 's') OVER (PARTITION BY s.key ORDER BY s.place) AS led
+  FROM steps s LEFT JOIN edge e ON s.key = e.key AND s.n = e.n WHERE letter <> 'D'
+), fixed AS (
+  SELECT key, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - led::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY place)) AS sha FROM named GROUP BY key
+), faults AS (
+  SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY key
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, ' ') AS key FROM conversations)
+LEFT JOIN faults USING (key) LEFT JOIN best USING (key) LEFT JOIN fixed USING (key)
+"""
+_LETTERS = "".join(chr(c) for c in range(ord("A"), ord("Z") + 1))
+ORACLES["op12_spelling_gram"] = rf"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS k, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_LETTERS}', '{_LETTERS.lower()}'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
+  ) WHERE length(run) >= 7 GROUP BY ALL
+), hashed AS (
+  SELECT run, n, {_crc32(f"list_transform(string_split(k, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [{_EMPTY}] ELSE [195::BIGINT, 0, 0, 0, 0, 0, 0, 0, unicode(x)::BIGINT - 64, 0, 0, 0, 0, 0, 0, 0] END)")} AS h FROM runs
+), cut AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), without AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), pairs AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n FROM without a JOIN without b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM without a JOIN words b ON a.less = b.word
+  UNION SELECT b.word, a.word, a.n FROM without a JOIN words b ON a.less = b.word
+), near AS (
+  SELECT word, count(*) AS n_near, max(n) AS best_n, arg_min(other, (-n, other)) AS best FROM pairs GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n
+  FROM words w LEFT JOIN near USING (word)
+), chain(word, root) AS (
+  SELECT word, word FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON c.root = f.word WHERE f.form IS NOT NULL
+), roots AS (SELECT c.word, c.root FROM chain c JOIN formed f ON c.root = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
+"""
