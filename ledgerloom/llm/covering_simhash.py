@@ -8,8 +8,8 @@ and the two fingerprints meet there. Tables keep about half of the bits.
 Fingerprints are made in one pass over the texts; equal ones are one row from there on. A bucket is the table's
 bits and their values. Buckets of two are settled by an aggregate. Larger ones up to ``bucket`` share tasks by
 a hash, which compare all members and return a spanning forest of the links. A bucket beyond that is covered
-again by tables over its free bits; half of these are fixed each time, so after a few levels no bucket can be
-large, whatever the fingerprints. Components of the links follow by alternating stars.
+again by tables over its free bits; half of these are fixed each time, and with twelve free bits left a bucket
+has at most 4,096 members, whatever the fingerprints. Components of the links follow by alternating stars.
 
 Defined results: null and empty texts have no words and fingerprint zero, linked like any other. A text of
 fewer words than a shingle is one shingle. Repeated rows and ids are documents of their own. component_id is
@@ -31,7 +31,7 @@ from .components import components
 
 BITS = 64
 SHINGLE, SEED = 4, 42
-BUCKET, TASK_ROWS = 2048, 1 << 16
+BUCKET, FEW_FREE, TASK_ROWS = 2048, 12, 1 << 16
 
 
 def _hashes(units: pa.Array, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +145,8 @@ def links(prints: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame
         met = materialize(met.where("n > 1"), "buckets")
         pairs = met.where("n = 2").select("a", "b").where(near)
         more = materialize(rows.join(met.where("n > 2").select("used", "value", "n"), ["used", "value"]), "members")
-        fits = more.where(F.col("n") <= bucket)
+        small = (F.col("n") <= bucket) | (F.bit_count("used") >= BITS - FEW_FREE)
+        fits = more.where(small)
         bins = max(1, -(-fits.count() // TASK_ROWS))
 
         def run(table: pa.Table) -> pa.Table:
@@ -173,7 +174,7 @@ def links(prints: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame
         placed = fits.select("used", "value", "print", F.expr(f"pmod(xxhash64(used, value, 3), {bins})").alias("bin"))
         pairs = pairs.unionByName(placed.groupBy("bin").applyInArrow(run, "a bigint, b bigint"))
         found = pairs if found is None else found.unionByName(pairs)
-        open_ = more.where(F.col("n") > bucket).select("print", "used")
+        open_ = more.where(~small).select("print", "used")
         if open_.isEmpty():
             return materialize(found.distinct(), "links")
         level += 1
