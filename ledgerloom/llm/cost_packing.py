@@ -57,51 +57,40 @@ def pack(lengths: list[int], capacity: int = CAPACITY, linear: float = 1.0, quad
             first += 1
         if length % capacity:
             rest.append((length % capacity, doc, whole * capacity))
-    # open sequences by exact room: a heap by cost for each, under a tree of minima
-    none = (float("inf"), -1)
+    # open sequences by exact room: a heap by cost for each room, the least cost of each, and a bit for each room in use
     open_: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
-    width = 1 << capacity.bit_length()
-    least = [none] * (2 * width)
-
-    def renew(left: int) -> None:
-        at, top = left + width, open_[left][0] if open_[left] else none
-        while at and least[at] != top:
-            least[at] = top
-            at >>= 1
-            top = min(least[2 * at], least[2 * at + 1])
-
-    def cheapest(low: int, high: int) -> tuple[float, int]:
-        """The open sequence of lowest cost with a room of ``low`` to ``high``."""
-        best, low, high = none, low + width, high + width + 1
-        while low < high:
-            if low & 1:
-                best, low = min(best, least[low]), low + 1
-            if high & 1:
-                high -= 1
-                best = min(best, least[high])
-            low, high = low >> 1, high >> 1
-        return best
+    least, rooms = np.full(capacity + 1, np.inf), 0
+
+    def cheapest(low: int, high: int) -> int:
+        """The room, from ``low`` to ``high``, of the open sequence of lowest cost; the earlier sequence where costs are equal."""
+        part = least[low : high + 1]
+        at = int(part.argmin())
+        same = np.flatnonzero(part == part[at])
+        if len(same) > 1:
+            return min((open_[low + i][0][1], low + i) for i in same.tolist())[1]
+        return low + at
 
     for s in range(first, len(room)):
         heapq.heappush(open_[room[s]], (0.0, s))
-    for left in range(1, capacity + 1):
-        renew(left)
+        least[room[s]], rooms = 0.0, rooms | 1 << room[s]
     for length, doc, start in sorted(rest, key=lambda r: (-r[0], r[1])):
         while length:
-            best = cheapest(length, capacity)
-            bit = capacity.bit_length()
-            while best == none:  # cut: fill the cheapest of those with most room, by powers of two
-                bit -= 1
-                best = cheapest(1 << bit, min((2 << bit) - 1, capacity))
-            s = best[1]
-            left = room[s] - used[s]
-            heapq.heappop(open_[left])
-            renew(left)
+            if rooms >> length:
+                left = cheapest(length, capacity)
+            else:  # cut: fill the cheapest of those with most room, by powers of two
+                bit = (rooms.bit_length() - 1).bit_length() - 1
+                left = cheapest(1 << bit, min((2 << bit) - 1, capacity))
+            s = heapq.heappop(open_[left])[1]
             n = min(length, left)
             place(doc, start, n, s)
-            if left > n:
-                heapq.heappush(open_[left - n], (cost[s], s))
-                renew(left - n)
+            for r in (left, left - n):
+                if r and r == left - n:
+                    heapq.heappush(open_[r], (cost[s], s))
+                    rooms |= 1 << r
+                if open_[r]:
+                    least[r] = open_[r][0][0]
+                elif r:
+                    least[r], rooms = np.inf, rooms & ~(1 << r)
             start, length = start + n, length - n
     return pieces
 

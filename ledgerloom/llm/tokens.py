@@ -8,6 +8,7 @@ in a bounded memory of the worker.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ class Encoder:
             ids = [t.id for t in self.whole.model.tokenize(text.replace(" ", "Ġ"))]
         else:
             ids = self.whole.encode(unit.decode(errors="replace"), add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def _known(self, unit: bytes) -> bytes:
         found = self.new.get(unit)
@@ -74,7 +75,8 @@ class Encoder:
         distinct = coded.dictionary.to_pylist()
         if self.drops_space:
             distinct = [u.strip(b" \t\n\r\x0b\x0c") for u in distinct]
-        ids = [self._known(u) for u in distinct]
+        met = self.new.get
+        ids = [met(u) or self._known(u) for u in distinct]
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), dtype="<u4")
         codes = np.asarray(coded.indices)
