@@ -1,15 +1,16 @@
 """Text quality by a vote of the nearest labelled texts in a latent-semantic space.
 
-A text becomes frequencies of runs of three letter classes (lower, upper, digit, white space, kinds of
-punctuation), of word kinds (length, case, same as the word before), and of repeated lines, as square
-roots, weighted by inverse document frequency. A truncated singular value decomposition of labelled
+A text becomes frequencies of words (lower-cased, hashed to a fixed width), of runs of three letter classes
+(white space, line end, lower, upper, digit, ends of sentences, separators, quotes and brackets, other signs), of
+word kinds (length, case, same as the word before), and of repeated lines, as square roots, weighted by
+inverse document frequency. A truncated singular value decomposition of labelled
 texts gives the latent space. Labelled vectors are broadcast; every document's cosines with all of
 them are computed in blocks, and the labels of its ``neighbours`` nearest vote, weighted by a power of
 the cosine.
 
 The fit takes labelled rows only, at most ``fit_rows`` (those of smallest hash of their id), which
-bounds the broadcast and the driver's share: fit_rows x (terms + dimensions) numbers. The rest covers all
-rows. Labels, languages, sources and ids are not part of the features.
+bounds the broadcast and the one task that fits: fit_rows x (terms + dimensions) numbers. The driver gets
+weights, basis and vectors only. The rest covers all rows. Labels, languages, sources and ids are not part of the features.
 
 Defined results: a text without letters (null, empty) has no direction and gets the labelled rows'
 mean. Without any labelled row every score is one half. Repeated labels of an id count once, as the
@@ -24,13 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, slices, text_bytes, words
 
-# letter classes: white space, line end, lower case and letters beyond ASCII, upper case, digits, kinds of punctuation
-_CLASSES = (b" \t\r\x0b\x0c", b"\n", b"", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".", b",", b";:?'\"()-", b"!", b"|", b"$#%&*@")
+# letter classes: white space, line end, lower case and letters beyond ASCII, upper case, digits, sentence ends, separators, quotes and brackets
+_CLASSES = (b" \t\r\x0b\x0c", b"\n", b"", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".!?", b",;:", b"'\"`()[]{}<>-")
 _OTHER = len(_CLASSES)
 _CLASS = np.full(256, _OTHER, dtype=np.int64)
 _CLASS[97:123] = _CLASS[128:] = 2
@@ -40,7 +42,8 @@ _KINDS = _OTHER + 1
 RUNS = _KINDS**3
 _LENGTHS = np.array([3, 6, 10, 15, 24])
 WORD_KINDS = (len(_LENGTHS) + 1) * 3 * 2
-TERMS = RUNS + WORD_KINDS + 2
+HASHED = 1024
+TERMS = RUNS + WORD_KINDS + HASHED + 2
 
 
 def _shares(owner: np.ndarray, code: np.ndarray, n: int, width: int) -> np.ndarray:
@@ -61,7 +64,9 @@ def features(texts: pa.Array) -> np.ndarray:
     out[:, :RUNS] = _shares(owner[:-2][same], runs[same], n, RUNS)
     units, at = words(held, offsets)
     if len(units):
-        codes = np.asarray(units.dictionary_encode().indices).astype(np.int64)
+        coded = units.dictionary_encode()
+        codes = np.asarray(coded.indices).astype(np.int64)
+        named = np.array([xxhash.xxh64_intdigest(w.lower()) % HASHED for w in coded.dictionary.to_pylist()], dtype=np.int64)
         edges = np.frombuffer(units.buffers()[1], dtype=np.int64)[units.offset : units.offset + len(units) + 1]
         data = np.frombuffer(units.buffers()[2], dtype=np.uint8)
         first, second = _CLASS[data[edges[:-1]]], _CLASS[data[np.minimum(edges[:-1] + 1, edges[1:] - 1)]]
@@ -70,7 +75,8 @@ def features(texts: pa.Array) -> np.ndarray:
         whose = np.repeat(np.arange(n), np.diff(at))
         again = np.zeros(len(codes), dtype=np.int64)
         again[1:] = (codes[1:] == codes[:-1]) & (whose[1:] == whose[:-1])
-        out[:, RUNS:-2] = _shares(whose, (length * 3 + shape) * 2 + again, n, WORD_KINDS)
+        out[:, RUNS : RUNS + WORD_KINDS] = _shares(whose, (length * 3 + shape) * 2 + again, n, WORD_KINDS)
+        out[:, RUNS + WORD_KINDS : -2] = _shares(whose, named[codes], n, HASHED)
     for i, text in enumerate(texts.to_pylist()):
         lines = [x for x in (text or "").split("\n") if x.strip()]
         if lines:
@@ -101,7 +107,10 @@ class Voters:
         for start in range(0, len(latent), block):
             part = latent[start : start + block]
             cosines = part @ self.vectors.T
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+            last = np.partition(cosines, -k, axis=1)[:, -k, None]
+            tied = cosines == last
+            chosen = tied & (np.cumsum(tied, axis=1) <= k - (cosines > last).sum(axis=1, keepdims=True))
+            near = np.nonzero(chosen | (cosines > last))[1].reshape(len(part), k)
             weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64) ** power
             total = weight.sum(axis=1)
             share = (weight * self.labels[near]).sum(axis=1)
@@ -143,13 +152,29 @@ def fit(
         for batch in batches:
             for piece in slices(batch, "text", 1 << 20):
                 made = [r.tobytes() for r in features(piece.column("text")).astype(np.float16)]
-                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("label"), pa.array(made, pa.binary())], names=["id", "label", "terms"])
+                columns = [piece.column("id"), piece.column("label"), pa.array(made, pa.binary()), pa.array(np.zeros(len(made), np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "terms", "one"])
         give_back()
 
+    def one(table: pa.Table) -> pa.Table:
+        held = table.sort_by("id")
+        terms = text_bytes(held.column("terms"))[0].view(np.float16).reshape(-1, TERMS)
+        model = learn(terms, np.asarray(held.column("label")).astype(np.int64), dimensions)
+        parts = [x.tobytes() for x in (model.weights, model.basis, model.vectors, model.labels)]
+        give_back()
+        return pa.table({n: pa.array([p], pa.binary()) for n, p in zip(_PARTS, parts)})
+
     kind = known.schema["id"].dataType.simpleString()
-    held = found.mapInArrow(run, f"id {kind}, label int, terms binary").toArrow().sort_by("id")
-    terms = text_bytes(held.column("terms"))[0].view(np.float16).reshape(-1, TERMS)
-    return learn(terms, np.asarray(held.column("label")).astype(np.int64), dimensions)
+    rows = found.mapInArrow(run, f"id {kind}, label int, terms binary, one int")
+    # at most fit_rows rows meet in one task
+    made = rows.groupBy("one").applyInArrow(one, ", ".join(f"{n} binary" for n in _PARTS)).first()
+    if made is None:
+        return learn(np.zeros((0, TERMS), np.float16), np.zeros(0, np.int64), dimensions)
+    weights, basis, vectors = (np.frombuffer(made[n], np.float32) for n in _PARTS[:3])
+    return Voters(weights, basis.reshape(TERMS, -1), vectors.reshape(-1, dimensions), np.frombuffer(made["labels"], np.int64))
+
+
+_PARTS = ("weights", "basis", "vectors", "labels")
 
 
 def score(docs: DataFrame, voters: Voters, text: str = "text", name: str = "score", neighbours: int = 25, power: float = 8.0) -> DataFrame:
