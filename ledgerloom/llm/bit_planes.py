@@ -144,13 +144,13 @@ def write(
 ) -> list[tuple[str, int, int]]:
     """Write files below ``folder`` (default: a new one of the shared folder); path, documents and ids of each, in order."""
     spark = docs.sparkSession
-    folder = folder or new_path(spark, "planes")
+    folder = qualified(spark, folder or new_path(spark, "planes"))
 
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store, base = fs.FileSystem.from_uri(folder)
         writer = stream = temporary = None
         for batch in batches:
             for piece in slices(batch, "text", 1 << 23):
@@ -173,7 +173,7 @@ def write(
     order = [F.col("key").asc_nulls_first(), F.xxhash64("text")]
     placed = read.repartitionByRange(*order).sortWithinPartitions(*order)
     made = placed.mapInArrow(run, "part int, name string, docs bigint, ids bigint").collect()  # one row per file
-    scheme = folder.partition("://")[0] + "://" if "://" in folder else ""
+    scheme = folder.partition("://")[0] + "://"
     return [(scheme + r["name"], r["docs"], r["ids"]) for r in sorted(made)]
 
 
@@ -181,13 +181,13 @@ def read(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataFrame:
     """A row per document from the files alone: doc_id, start, n_tokens, ids_crc32. A task reads a file."""
     starts, upto = [], 0
     for name, _, ids in files:
-        starts.append((name, upto))
+        starts.append((qualified(spark, name), upto))
         upto += ids
 
     def run(batches):
         for batch in batches:
             for name, start in zip(*(batch.column(c).to_pylist() for c in ("name", "start"))):
-                store, path = fs.FileSystem.from_uri(name) if "://" in name else (fs.LocalFileSystem(), name)
+                store, path = fs.FileSystem.from_uri(name)
                 size, rows = store.get_file_info(path).size, []
                 with store.open_input_file(path) as stream:
                     for key, ids in documents(stream, size):

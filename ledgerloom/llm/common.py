@@ -124,6 +124,14 @@ def give_back() -> None:
         trim(0)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its file system, so that every executor finds the same folder."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    named = store.makeQualified(location).toString()
+    return f"file://{named[5:]}" if named.startswith("file:/") and not named.startswith("file://") else named
+
+
 def sized(n: int, per_part: int) -> int:
     """Partitions for ``n`` units of work at ``per_part`` each."""
     return max(1, -(-n // per_part))
