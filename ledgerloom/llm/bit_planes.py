@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import new_path
-from .common import give_back, slices
+from .common import give_back, qualified, slices
 from .tokens import encoder, ended
 
 MAGIC = b"IDPLANE1"
