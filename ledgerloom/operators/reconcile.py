@@ -240,6 +240,12 @@ def payment_status(payments: DataFrame, matched: DataFrame) -> DataFrame:
     )
 
 
+def moved_payments(payments: DataFrame, matched: DataFrame) -> DataFrame:
+    """Ids of payments whose status this run changes."""
+    after = payment_status(payments.withColumn("_was", F.col("status")), matched)
+    return after.where(~F.col("status").eqNullSafe(F.col("_was"))).select("payment_id").distinct()
+
+
 def audit_rows(matched: DataFrame, batch_id: str) -> DataFrame:
     """Events of a run, unchained: one per match or exception, in payment order."""
     recon_id = F.format_string(f"RECON-{_plain(batch_id)}-%06d", "seq")

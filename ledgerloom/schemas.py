@@ -40,6 +40,11 @@ _TABLES = {
     "method_a_amount double, method_b_amount double, delta double, tolerance double, "
     "agreed boolean, evaluated_at timestamp_ntz",
 }
+# tables of the library's own: ids of enrollments that were processed, and the stages of a whole job
+_OWN = {
+    "processed_enrollments": "enrollment_id string",
+    "job_stages": "run_id string, stage string, ok boolean, items bigint, passed bigint, exceptions bigint, top_score double",
+}
 
 # fixed values: the columns an enrollment file carries, all read as text
 ENROLLMENT_COLUMNS = (
@@ -50,17 +55,17 @@ ENROLLMENT_COLUMNS = (
 
 _TYPES = {
     "string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "boolean": T.BooleanType(),
-    "date": T.DateType(), "timestamp_ntz": T.TimestampNTZType(),
+    "bigint": T.LongType(), "date": T.DateType(), "timestamp_ntz": T.TimestampNTZType(),
 }
 
 
 def schema_of(table: str) -> T.StructType:
-    columns = (c.split() for c in _TABLES[table].split(","))
+    columns = (c.split() for c in (_TABLES.get(table) or _OWN[table]).split(","))
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in columns])
 
 
 def known(table: str) -> bool:
-    return table in _TABLES
+    return table in _TABLES or table in _OWN
 
 
 def table_names() -> list[str]:

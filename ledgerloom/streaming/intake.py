@@ -1,10 +1,13 @@
 """Enrollment files picked up as they land: each micro-batch goes through the batch job.
 
-Skipping ids already in the audit log makes a replayed micro-batch harmless.
+A micro-batch is one job, named by its stream and number, so all its tables change together or not at all, and a
+replayed one does nothing. It reads the processed ids of the parts that its own ids fall in, and of the audit log
+the last seal alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -22,9 +25,12 @@ def start_intake(
 ) -> StreamingQuery:
     """Submissions are single: entities are not compared with others in the same file."""
 
-    def take(rows: DataFrame, _epoch: int) -> None:
-        if not rows.isEmpty():
-            enroll_store(store, as_of, rules, rows, actor, within_batch=False)
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()
+
+    def take(rows: DataFrame, epoch: int) -> None:
+        run_id = f"intake:{stream}:{epoch}"
+        if not store.done(run_id) and not rows.isEmpty():
+            enroll_store(store, as_of, rules, rows, actor, within_batch=False, run_id=run_id)
 
     return (
         stream_enrollments(store.spark, folder)
