@@ -335,3 +335,46 @@ ORACLES: dict[str, str] = {
       ('mart_dq_summary', 'dataset_name', 'unique'), ('mart_exception_aging', 'exception_id', 'not_null'), ('mart_exception_aging', 'exception_id', 'unique'),
       ('mart_exception_aging', 'amount_basis', 'accepted_values'), ('mart_exception_aging', 'priority_score', 'not_null')) t(table_name, column_name, test), (SELECT CAST(0 AS BIGINT) AS failing_rows)""",
 }
+
+# the blocks above chosen events, from the hashes of the twin of the seals
+_PROOF = _SEALED + """, leaves AS (SELECT append, entity_id, event_hash AS h, row_number() OVER (PARTITION BY append ORDER BY event_id) - 1 AS k FROM e2),
+n0 AS (SELECT append, 0 AS level, CAST(k // 100 AS BIGINT) AS block, count(*) AS hashes, sha256(string_agg(h, '' ORDER BY k)) AS node, bool_or(entity_id LIKE '%7') AS kept FROM leaves GROUP BY 1, 3),
+n1 AS (SELECT append, 1 AS level, CAST(block // 100 AS BIGINT) AS block, count(*) AS hashes, sha256(string_agg(node, '' ORDER BY block)) AS node, bool_or(kept) AS kept FROM n0 GROUP BY 1, 3 HAVING (SELECT count(*) FROM n0 z WHERE z.append = n0.append) > 1),
+n2 AS (SELECT append, 2 AS level, CAST(block // 100 AS BIGINT) AS block, count(*) AS hashes, sha256(string_agg(node, '' ORDER BY block)) AS node, bool_or(kept) AS kept FROM n1 GROUP BY 1, 3 HAVING (SELECT count(*) FROM n1 z WHERE z.append = n1.append) > 1),
+nodes AS (SELECT * FROM n0 UNION ALL SELECT * FROM n1 UNION ALL SELECT * FROM n2)
+"""
+_LATER = {k: v.replace("1998-07-01", "2026-09-01") for k, v in (("recon", _RECON), ("dq", _DQ))}
+ORACLES |= {
+    "seal_proof": _PROOF + """SELECT append, level, block, hashes, node,
+      level < (SELECT max(level) FROM nodes m WHERE m.append = nodes.append) OR node = (SELECT root FROM seals WHERE seals.append = nodes.append) AS sound FROM nodes WHERE kept""",
+    "seal_proof_altered": _PROOF + """, c AS (SELECT count(*) AS events, count(*) FILTER (WHERE append = 1) AS first, count(*) FILTER (WHERE entity_id LIKE '%77') AS changed FROM leaves WHERE entity_id LIKE '%7'),
+      b AS (SELECT count(*) FILTER (WHERE append = 1 AND level = 0) AS bottom FROM nodes WHERE kept)
+      SELECT 'sound' AS "case", true AS verified, events, CAST(0 AS BIGINT) AS unproven, CAST(0 AS BIGINT) AS broken FROM c
+      UNION ALL SELECT 'altered', changed = 0, events, changed, 0 FROM c
+      UNION ALL SELECT 'exchanged', first = 0, events, first, bottom FROM c, b
+      UNION ALL SELECT 'resealed', false, events, 0, 1 FROM c""",
+    "seal_recovered": _SEALED + """SELECT append, previous_seal, root, events, seal, (SELECT sum(events) FROM seals) = (SELECT count(*) FROM e2) AS verified,
+      (SELECT count(*) FROM e2) AS event_count FROM seals""",
+    "enroll_replayed": _ENROLL + """, n AS (SELECT 'accepted_enrollments' AS "table", count(*) FILTER (WHERE outcome = 'accepted') AS rows FROM o
+      UNION ALL SELECT 'enrollment_dual_source_results', count(*) FILTER (WHERE outcome <> 'rejected') FROM o
+      UNION ALL SELECT 'exception_queue', count(*) FILTER (WHERE outcome = 'mismatch') FROM o
+      UNION ALL SELECT t, count(*) FROM o, (VALUES ('audit_event_log'), ('processed_enrollments')) v(t) GROUP BY t
+      UNION ALL SELECT 'pending_enrollments:' || outcome, count(*) FROM o GROUP BY outcome)
+      SELECT stopped_after, "table", rows FROM n, (VALUES (4), (7)) s(stopped_after)""",
+    "job_replayed": _RECON + """SELECT payment_id, match_status, match_method, exception_reason,
+      CASE match_status WHEN 'matched' THEN 'matched' WHEN 'exception' THEN 'exception' ELSE 'unmatched' END AS status FROM matched""",
+    "run_all_stages": f"""WITH r AS ({_LATER["recon"]} SELECT count(*) AS n, count(*) FILTER (WHERE match_status = 'matched') AS m, count(*) FILTER (WHERE match_status = 'exception') AS x FROM matched),
+      q AS ({_LATER["dq"]} SELECT count(*) AS n, count(*) FILTER (WHERE passed) AS m, (SELECT count(*) FROM routed) AS x FROM dq),
+      e AS ({_ENROLL} SELECT count(*) AS n, count(*) FILTER (WHERE outcome = 'accepted') AS m, count(*) FILTER (WHERE outcome = 'mismatch') AS x FROM o)
+      SELECT 'reconcile' AS stage, true AS ok, n AS items, m AS passed, x AS exceptions FROM r
+      UNION ALL SELECT 'quality', n = m, n, m, x FROM q UNION ALL SELECT 'enroll', true, n, m, x FROM e
+      UNION ALL SELECT 'queue', true, q.x + e.x, NULL, NULL FROM q, e
+      UNION ALL SELECT 'audit', true, r.m + r.x + q.n + q.x + e.n, NULL, NULL FROM r, q, e""",
+    "audit_verify_forked": """SELECT false AS verified, count(*) + 1 AS event_count, CAST(NULL AS VARCHAR) AS batch_id,
+      'EVT-B1-' || lpad(CAST(min(n) FILTER (WHERE event_id % 100 = 77) AS VARCHAR), 6, '0') AS event_id, 'chain_fork' AS reason,
+      min(n) FILTER (WHERE event_id % 100 = 77) - 1 AS position FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM events)""",
+    "audit_verify_orphaned": """SELECT false AS verified, count(*) + 2 AS event_count, CAST(NULL AS VARCHAR) AS batch_id, CAST(NULL AS VARCHAR) AS event_id,
+      'orphaned_events' AS reason, count(*) AS position FROM events""",
+    "audit_verify_batch": with_clause("fx_audit_events") + f"""SELECT true AS verified, count(*) AS event_count, 'B2' AS batch_id, {_REPORT} FROM fx_audit_events WHERE ord % 2 = 1
+      UNION ALL SELECT true, 0, 'B9', NULL, NULL, NULL""",
+}

@@ -14,7 +14,7 @@ from ..functions.canonical import event_hash
 from ..functions.text import normalize_reference
 from ..operators import audit, datatests, enrollment, exceptions, quality, reconcile, sealed
 from ..operators.fuzzy import fuzzy_edges
-from ..functions.scratch import new_path
+from ..functions.scratch import materialize, new_path
 from ..schemas import ENROLLMENT_COLUMNS
 from ..sources import files
 from ..sources.staging import stage
@@ -22,6 +22,7 @@ from ..sources.tables import TableStore, conform
 from ..streaming.intake import start_intake
 from . import fixtures as fx
 from . import marts
+from .run_all import enroll_store, reconcile_store, run_all
 
 BATCH = "BATCH-001"
 _SETTINGS = Path(__file__).resolve().parent.parent / "settings"
@@ -452,6 +453,138 @@ def seal_verify(spark: SparkSession, sf: str) -> DataFrame:
     ])
 
 
+def _chosen(log: DataFrame) -> DataFrame:
+    return log.where("entity_id LIKE '%7'")
+
+
+def seal_proof(spark: SparkSession, sf: str) -> DataFrame:
+    """The blocks that lead from some events to their seals."""
+    log, seals = _sealed(spark, sf)
+    return sealed.proof_nodes(sealed.proof(log, seals, _chosen(log), width=100), seals, width=100)
+
+
+def seal_proof_altered(spark: SparkSession, sf: str) -> DataFrame:
+    """Proofs of sound and of altered events, of a proof with an exchanged hash, and against another seal."""
+    log, seals = _sealed(spark, sf)
+    own, rows = _chosen(log), materialize(sealed.proof(log, seals, _chosen(log), width=100), "proof")
+    changed = own.withColumn("action", F.when(F.col("entity_id").endswith("77"), F.lit("changed")).otherwise(F.col("action")))
+    exchanged = rows.withColumn("h", F.when((F.col("level") == 0) & (F.col("append") == 1), F.sha2("h", 256)).otherwise(F.col("h")))
+    other = seals.withColumn("root", F.when(F.col("append") == 2, F.sha2("root", 256)).otherwise(F.col("root")))
+    cases = {"sound": (own, rows, seals), "altered": (changed, rows, seals), "exchanged": (own, exchanged, seals), "resealed": (own, rows, other)}
+    return reduce(DataFrame.unionByName, [
+        sealed.verify_proof(*case, width=100).select(F.lit(name).alias("case"), "*") for name, case in cases.items()
+    ])
+
+
+class _Stopping(TableStore):
+    """A store whose writer stops before its ``after``-th write."""
+
+    def __init__(self, spark: SparkSession, root: str, after: int) -> None:
+        super().__init__(spark, root)
+        self.after = after
+
+    def _put(self, *args) -> None:
+        self.after -= 1
+        if self.after < 0:
+            raise InterruptedError("stopped")
+        super()._put(*args)
+
+
+def _rerun(spark: SparkSession, root: str, after: int, work: Callable[[TableStore], object]) -> TableStore:
+    """``work`` stopped after so many writes, then run again."""
+    try:
+        work(_Stopping(spark, root, after))
+    except InterruptedError:
+        pass
+    store = TableStore(spark, root)
+    work(store)
+    return store
+
+
+def seal_recovered(spark: SparkSession, sf: str) -> DataFrame:
+    """Two appends to a stored log, each stopped between events and seal and run again: the seals, and whether all verifies."""
+    events, root = fx.load(spark, sf, "fx_audit_events"), new_path(spark, "store")
+
+    def grow(store: TableStore, batch: str, keep: str) -> None:
+        seals = store.read("audit_seals") if store.exists("audit_seals") else sealed.no_seals(spark)
+        with store.job(batch):
+            rows, seal = sealed.append(events.where(keep).withColumn("batch_id", F.lit(batch)), seals, fx.EVENTS_AS_OF, width=100)
+            store.write("audit_event_log", rows)
+            store.write("audit_seals", seal)
+
+    for batch, keep in (("B1", "ord % 3 <> 0"), ("B2", "ord % 3 = 0")):
+        store = _rerun(spark, root, 1, lambda s, b=batch, k=keep: grow(s, b, k))
+    checked = sealed.verify(store.read("audit_event_log"), store.read("audit_seals"), width=100).first()
+    return store.read("audit_seals").withColumns({"verified": F.lit(checked["verified"]), "event_count": F.lit(checked["event_count"])})
+
+
+def enroll_replayed(spark: SparkSession, sf: str) -> DataFrame:
+    """Enrollment stopped half way and before its last write, and run again: rows of every table, once each."""
+    pending, kept = fx.load(spark, sf, "fx_pending_enrollments"), []
+    for after in (4, 7):
+        root = new_path(spark, "store")
+        TableStore(spark, root).write("pending_enrollments", pending.withColumn("status", F.lit("pending")), "replace")
+        store = _rerun(spark, root, after, lambda s: enroll_store(s, fx.ENROLL_AS_OF))
+        tables = ("accepted_enrollments", "enrollment_dual_source_results", "exception_queue", "audit_event_log", "processed_enrollments")
+        kept += [store.read(t).agg(F.lit(after).alias("stopped_after"), F.lit(t).alias("table"), F.count(F.lit(1)).alias("rows")) for t in tables]
+        states = store.read("pending_enrollments").groupBy("status").agg(F.count(F.lit(1)).alias("rows"))
+        kept.append(states.select(F.lit(after).alias("stopped_after"), F.concat(F.lit("pending_enrollments:"), "status").alias("table"), "rows"))
+    return reduce(DataFrame.unionByName, kept)
+
+
+def job_replayed(spark: SparkSession, sf: str) -> DataFrame:
+    """Reconciliation stopped after its results were written, and run again: results and payment status."""
+    root = new_path(spark, "store")
+    tables = {t: fx.load(spark, sf, f"fx_{t}") for t in ("transactions", "payment_records")}
+    TableStore(spark, root).write_many(tables, "replace")
+    store = _rerun(spark, root, 1, lambda s: reconcile_store(s, BATCH, fx.ORDERS_AS_OF, _CFG))
+    results = store.read("reconciliation_results").where("payment_id IS NOT NULL").select("payment_id", "match_status", "match_method", "exception_reason")
+    return results.join(store.read("payment_records").select("payment_id", "status"), "payment_id")
+
+
+def run_all_stages(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole job over the given tables, stopped in its quality stage and called again."""
+    root = new_path(spark, "store")
+    names = ("transactions", "payment_records", "accounts", "customers", "pending_enrollments")
+    TableStore(spark, root).write_many({t: fx.load(spark, sf, f"fx_{t}") for t in names}, "replace")
+    try:
+        run_all(_Stopping(spark, root, 6), fx.ENROLL_AS_OF, "R1")
+    except InterruptedError:
+        pass
+    return run_all(TableStore(spark, root), fx.ENROLL_AS_OF, "R1").select("stage", "ok", "items", "passed", "exceptions")
+
+
+def _forked(log: DataFrame) -> DataFrame:
+    """The log and an event that follows the first one of an entity ``...77`` beside its true successor."""
+    at = log.where("entity_id LIKE '%77'").orderBy("event_id").limit(1)
+    return log.unionByName(at.withColumns({"previous_hash": F.col("event_hash"), "event_id": F.lit("EVT-B1-900000")}).withColumn("event_hash", event_hash()))
+
+
+def audit_verify_forked(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.verify(_forked(_chained(spark, sf)))
+
+
+def audit_verify_orphaned(spark: SparkSession, sf: str) -> DataFrame:
+    """Two events that follow each other and no event of the chain."""
+    log = _chained(spark, sf)
+    pair = log.where("event_id IN ('EVT-B1-000001', 'EVT-B1-000002')")
+    first = F.col("event_id") == "EVT-B1-000001"
+    ring = pair.withColumns({
+        "event_id": F.concat(F.lit("EVT-R1-"), F.right("event_id", F.lit(6))),
+        "previous_hash": F.when(first, "ring-2").otherwise("ring-1"), "event_hash": F.when(first, "ring-1").otherwise("ring-2"),
+    })
+    return audit.verify(log.unionByName(ring))
+
+
+def audit_verify_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The second batch of a chain alone, which begins after an event outside it; and a batch without events."""
+    events = fx.load(spark, sf, "fx_audit_events")
+    first = audit.append(events.where("ord % 2 = 0"), None, fx.EVENTS_AS_OF)
+    second = audit.append(events.where("ord % 2 = 1").withColumn("batch_id", F.lit("B2")), first, fx.EVENTS_AS_OF)
+    log = first.unionByName(second)
+    return audit.verify(log, "B2").unionByName(audit.verify(log, "B9"))
+
+
 def audit_batch_used(spark: SparkSession, sf: str) -> DataFrame:
     """Batch ids that a log holds are refused; a beginning of one is another id."""
     log, asked = _loose_log(spark, sf), []
@@ -615,6 +748,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         enroll_summary, enroll_mismatch_view, enroll_decide,
         audit_event_hash, audit_append, audit_tip, audit_verify, audit_verify_altered, audit_verify_removed,
         audit_recent, audit_time_range, audit_batch_used, seal_append, seal_chain, seal_verify, evidence_summary, evidence_exceptions, evidence_files, evidence_manifest,
+        seal_proof, seal_proof_altered, seal_recovered, enroll_replayed, job_replayed, run_all_stages,
+        audit_verify_forked, audit_verify_orphaned, audit_verify_batch,
         staging_transactions, staging_reconciliation_results, staging_dq_results, staging_payment_records, staging_pending_enrollments, source_file_filter,
         store_replace_and_append, store_versions, store_utc, store_query, csv_payments, enroll_stream,
         data_tests, data_tests_marts,
