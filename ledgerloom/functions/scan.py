@@ -1,6 +1,6 @@
 """Numbering, ranks, running values and exact quantiles without a single-task sort.
 
-Every function range-partitions the rows, sorts inside the partitions and stores the
+Every function but the last range-partitions the rows, sorts inside the partitions and stores the
 result with ``monotonically_increasing_id`` (partition in the high bits, position in the
 low 33). One aggregate per partition then gives each partition its starting value. A key
 holding a third of all rows simply spans many partitions.
@@ -91,21 +91,76 @@ def running(df: DataFrame, keys: list[str], order: list, value: str, name: str,
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: list[float]) -> tuple[int, list[float]]:
-    """Exact quantiles with linear interpolation: value counts, then a running sum over them."""
-    numbers = df.select(F.col(column).alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    counts = numbers.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    cumulated = materialize(running(counts, [], ["v"], "n", "upto", "sum"), "quantiles")
-    total = cumulated.agg(F.max("upto")).first()[0] or 0
+def exact_quantiles(
+    df: DataFrame, column: str, probabilities: list[float], bins: int = 1024, few: int = 4096
+) -> tuple[int, list[float]]:
+    """Exact quantiles with linear interpolation, by selection: histograms close in on the wanted ranks.
+
+    A round counts the values in up to ``bins`` parts of every open interval, by one aggregate, and goes on with the
+    parts that hold a wanted rank, from their least to their greatest value. An interval ends as one value, or
+    as at most ``few`` values, which are fetched. Values are neither sorted nor shuffled.
+    """
+    numbers = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    endless = F.abs("v") == float("inf")
+    total, below, finite, low, high = numbers.agg(
+        F.count(F.lit(1)), F.count_if(endless & (F.col("v") < 0)), F.count_if(~endless), F.min(F.when(~endless, F.col("v"))), F.max(F.when(~endless, F.col("v"))),
+    ).first()
     if total == 0:
         return 0, []
     spots = [p * (total - 1) for p in probabilities]
     wanted = sorted({math.floor(s) for s in spots} | {math.ceil(s) for s in spots})
-    # at most two rows per probability come back
-    found = {}
-    for rank in wanted:
-        hit = cumulated.where((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)).first()
-        found[rank] = hit["v"]
-    low = [found[math.floor(s)] for s in spots]
-    high = [found[math.ceil(s)] for s in spots]
-    return total, [a + (b - a) * (s - math.floor(s)) for a, b, s in zip(low, high, spots, strict=True)]
+    found = {r: -math.inf if r < below else math.inf for r in wanted if not below <= r < below + finite}
+    # intervals: least and greatest value, values before them, values in them, ranks asked for
+    open_ = [(low, high, below, finite, [r for r in wanted if r not in found])]
+    while open_ := _settled(numbers, open_, found, few):
+        which, place = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for i, (a, b, _, _, _) in enumerate(open_):
+            inside = F.col("v").between(a, b)
+            which = F.when(inside, F.lit(i)).otherwise(which)
+            place = F.when(inside, _part(a, b, bins)).otherwise(place)
+        counted = numbers.select("v", which.alias("i"), place.alias("bin")).where("i IS NOT NULL").groupBy("i", "bin")
+        # at most bins rows for each interval reach the driver
+        rows = counted.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
+        closer = []
+        for i, (_, _, before, _, ranks) in enumerate(open_):
+            for r in sorted((r for r in rows if r["i"] == i), key=lambda r: r["a"]):
+                own = [k for k in ranks if before <= k < before + r["n"]]
+                if own:
+                    closer.append((r["a"], r["b"], before, r["n"], own))
+                before += r["n"]
+        open_ = closer
+    low_, high_ = [found[math.floor(s)] for s in spots], [found[math.ceil(s)] for s in spots]
+    between = [a if a == b else a + (b - a) * (s - math.floor(s)) for a, b, s in zip(low_, high_, spots, strict=True)]
+    return total, between
+
+
+def _part(a: float, b: float, bins: int) -> Column:
+    """The part of [a, b] that a value falls in: by sign where zero is inside, by magnitude where that varies much, else evenly."""
+    v = F.col("v")
+    if a <= 0 <= b:
+        return F.signum(v).cast("int")
+    if max(abs(a), abs(b)) / 1e6 > min(abs(a), abs(b)):
+        share = (F.log(F.abs(v)) - math.log(abs(a))) / (math.log(abs(b)) - math.log(abs(a)))
+    else:
+        share = (v / 2 - a / 2) / (b / 2 - a / 2)
+    return F.greatest(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
+
+
+def _settled(numbers: DataFrame, intervals: list[tuple], found: dict[int, float], few: int) -> list[tuple]:
+    """Note the ranks of intervals of one value or few values; the other intervals."""
+    left = []
+    for a, b, before, n, ranks in intervals:
+        if not ranks:
+            continue
+        if a == b:
+            found.update({r: a for r in ranks})
+        elif n <= few or b / 2 - a / 2 == 0:
+            # no more than few, or neighbouring numbers, whose counts are few different values
+            same = numbers.where(F.col("v").between(a, b)).groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()
+            at = before
+            for r in same:
+                found.update({k: r["v"] for k in ranks if at <= k < at + r["n"]})
+                at += r["n"]
+        else:
+            left.append((a, b, before, n, ranks))
+    return left
