@@ -4,15 +4,20 @@ import hashlib
 import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import compare, connect
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ledgerloom.llm import cost_packing, curriculum, hilbert, host_reputation, prefix_targets
-from ledgerloom.llm.queries import ORACLES, QUERIES, RULES
+from ledgerloom.llm import cost_packing, curriculum, hilbert, host_reputation, neighbour_vote, prefix_targets
+from ledgerloom.llm.common import fold
+from ledgerloom.llm.queries import ORACLES, QUERIES, RULES, vocabulary
 
 SF = "/root/testdata/sf0.001"
 
@@ -216,6 +221,54 @@ def test_pipeline(spark):
     assert re.match("quality", corpus_pipeline.STAGES[0][0])
 
 
+def test_pipeline_rows_equal_plain_stages(spark):
+    """run()'s pieces against a plain version: votes, all pairs, the mix in SQL, whole-text encoding."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    frame = corpus_pipeline.table(spark, SF, "documents")
+    voters = neighbour_vote.fit(frame, corpus_pipeline.table(spark, SF, "labels"), F.coalesce(fold(F.col("doc_id"), 4) != 2, F.lit(False)))
+    ids = sorted(docs)
+    votes = voters.vote(neighbour_vote.features(pa.array([docs[i].text or "" for i in ids])), 25, 8.0)
+    good = [i for i, v in zip(ids, votes) if v >= 0.7]
+    sets = {}
+    for i in good:
+        w = re.findall(r"[^\x20\x09-\x0D]+", docs[i].text or "")
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in good}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in good:
+        for b in good:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    single = [i for i in good if find(i) == i]
+    con = connect(SF)
+    con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{SF}/documents.parquet' WHERE doc_id IN ({', '.join(map(str, single))})")
+    copies = Counter(r[0] for r in con.execute(f"SELECT doc_id FROM ({ORACLES['op10_training_order']})").fetchall())
+    whole = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    tokens = {i: np.array(whole.encode(docs[i].text or "", add_special_tokens=False).ids + [1], "<u4") for i in copies}
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert Counter(r.doc_id for r in rows if r.start == 0) == copies and len(single) < len(good) < len(docs)
+    covered, used = Counter(), {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        own = tokens[r.doc_id][r.start : r.start + r.length]
+        assert (len(own), zlib.crc32(own.tobytes()), len(tokens[r.doc_id]), used.get(r.sequence_id, 0)) == (r.length, r.ids_crc32, r.doc_tokens, r.offset)
+        used[r.sequence_id] = r.offset + r.length
+        covered.update((r.doc_id, k) for k in range(r.start, r.start + r.length))
+    assert covered == {(i, k): n for i, n in copies.items() for k in range(len(tokens[i]))}
+    assert all(n == 2048 or n & (n - 1) == 0 for n in used.values())
+
+
+def test_packing_of_an_empty_table(spark, tmp_path):
+    frame = corpus_pipeline.table(spark, SF, "documents").limit(0)
+    frame.write.parquet(str(tmp_path / "none"))
+    assert corpus_pipeline.packed(spark, spark.read.parquet(str(tmp_path / "none")), SF).count() == 0
+
+
 def test_packed_sequences_follow_training_time(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(cost_packing.pieces, "__defaults__", tuple(20000 if d == cost_packing.POOL_TOKENS else d for d in cost_packing.pieces.__defaults__))
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("repeat('some words of it ', 1000 + 10 * cast(id / 10 as int))").alias("text"))

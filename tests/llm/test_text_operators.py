@@ -183,6 +183,46 @@ def test_votes(spark, docs, empty):
     assert {r.score for r in neighbour_vote.score(docs, none).collect()} == {0.5}
 
 
+def plain_vote(voters, row, neighbours=25, power=8.0):
+    """The vote of one text, cosine by cosine."""
+    latent = [sum(float(r) * float(w) * float(b) for r, w, b in zip(row, voters.weights, column)) for column in voters.basis.T]
+    size = math.sqrt(sum(x * x for x in latent))
+    if size <= 1e-9:
+        return float(voters.labels.mean())
+    cosines = [sum(a * float(b) for a, b in zip(latent, v)) / size for v in voters.vectors]
+    near = sorted(range(len(cosines)), key=lambda i: (-cosines[i], i))[:neighbours]
+    weights = [max(cosines[i], 0) ** power for i in near]
+    return sum(w * voters.labels[i] for w, i in zip(weights, near)) / sum(weights)
+
+
+def test_scores_equal_plain_votes(spark):
+    rows = [(i, prose(i, 25) + (" !!! ### " * (i % 3)), int(i % 3 == 0)) for i in range(90)]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    voters = neighbour_vote.fit(made.drop("quality"), made.select("doc_id", "quality").where("doc_id < 60"), F.lit(True), dimensions=8)
+    terms = neighbour_vote.features(pa.array([t for _, t, _ in rows]))
+    found = {r.doc_id: r.score for r in neighbour_vote.score(made.select("doc_id", "text"), voters, neighbours=7).collect()}
+    for i in (0, 1, 2, 61, 74, 89):
+        assert abs(found[i] - plain_vote(voters, terms[i], 7)) < 1e-3
+
+
+def test_ties_go_to_the_earlier_labelled_row():
+    eye = np.eye(neighbour_vote.TERMS, 4, dtype=np.float32)
+    vectors = np.array([[0, 1, 0, 0], [1, 0, 0, 0], [1, 0, 0, 0], [1, 0, 0, 0], [0, 0, 1, 0]], dtype=np.float32)
+    voters = neighbour_vote.Voters(np.ones(neighbour_vote.TERMS, np.float32), eye, vectors, np.array([0, 1, 0, 0, 1]))
+    row = np.zeros((1, neighbour_vote.TERMS), dtype=np.float32)
+    row[0, 0] = 3.0
+    assert [voters.vote(row, k, 8.0)[0] for k in (1, 2, 3, 5)] == [1.0, 0.5, 1 / 3, 1 / 3]
+
+
+def test_words_move_votes(spark):
+    """Two texts of the same letter pattern, told apart by their words alone."""
+    good, bad = "madi polu teka".split(), "nodi raku fema".split()
+    rows = [(i, " ".join(random.Random(i).choices(good if i % 2 else bad, k=20)), i % 2) for i in range(60)]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    voters = neighbour_vote.fit(made.drop("quality"), made.select("doc_id", "quality").where("doc_id < 40"), F.lit(True))
+    assert all((r.score >= 0.7) == (r.quality == 1) for r in neighbour_vote.score(made.where("doc_id >= 40"), voters, neighbours=5).collect())
+
+
 def brute(rows, threshold=0.8):
     sets = []
     for _, text in rows:
