@@ -13,12 +13,17 @@ Edges: ``pt`` payment type (its smallest ``seq``), ``lt`` ledger type (its small
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scan import running, with_rank, with_sequence
 from ..functions.scratch import materialize
 
+# rounds after which the logs of places and bounds are folded into one table each
+LOG_LENGTH = 12
+
 _NEVER = (1 << 62) - 1
 _TYPE = ["ref", "cur", "amount", "day"]
 
@@ -67,36 +72,73 @@ def assign(edges: DataFrame, payments: DataFrame, ledger: DataFrame) -> DataFram
 
 
 def rounds(edges: DataFrame, payments: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Propose and refuse, many payments at a time.
+    """Propose and refuse, many payments at a time; a round touches only the types that lost a row.
 
     ``lb`` is a place in the payment's list that it cannot do better than. The k-th payment
-    of a type starts at place k. Whoever loses a row moves past all rows held by earlier
-    payments, and payments of one type keep distinct, rising places. When nobody loses, the
-    places are the result. Payments past the end of their list stay without a row.
+    of a type starts at place k. ``bounds`` holds the earliest payment that ever asked for a row: the
+    row goes to it or to an earlier one, so whoever comes later has lost it and moves past all rows that
+    are bound to earlier payments. Payments of one type keep distinct, rising places. When nobody
+    loses, the places are the result. Payments past the end of their list stay without a row.
+
+    Places and bounds are logs: a round adds the places that changed, and reads the lists of the losing types.
     """
     lists = _preference_lists(edges, ledger)
     sizes = lists.groupBy("pt").agg(F.max("pos").alias("size"))
     queue = payments.join(edges.select("pt").distinct(), "pt", "left_semi")
-    state = with_rank(queue, ["pt"], ["seq"], "k").withColumn("lb", F.col("k"))
-    state = materialize(state.join(sizes, "pt"), "round")
+    moved = with_rank(queue, ["pt"], ["seq"], "k").withColumn("lb", F.col("k")).join(sizes, "pt")
+    places, bounds, number = [], [], 0
     while True:
-        asked = state.where("lb <= size").join(
-            lists.select("pt", F.col("pos").alias("lb"), "id", "score"), ["pt", "lb"]
+        number += 1
+        row = lists.select("pt", F.col("pos").alias("lb"), "id", "score")
+        asked = moved.select("pt", "seq", "k", "lb", "size").join(row, ["pt", "lb"], "left")
+        asked = materialize(asked.withColumn("round", F.lit(number)), "round")
+        places.append(asked)
+        bids = asked.where("id IS NOT NULL")
+        now = bids.groupBy("id").agg(F.min_by(F.struct("seq", "pt"), "seq").alias("best"))
+        if bounds:
+            now = now.join(_bound(bounds).select("id", F.col("holder").alias("was")), "id", "left")
+        else:
+            now = now.withColumn("was", F.lit(None).cast(now.schema["best"].dataType))
+        earlier = F.col("was").isNotNull() & (F.col("was.seq") < F.col("best.seq"))
+        now = materialize(
+            now.select("id", F.when(earlier, F.col("was")).otherwise(F.col("best")).alias("holder"), F.when(~earlier, F.col("was")).alias("was")),
+            "bounds",
         )
-        holders = asked.groupBy("id").agg(F.min("seq").alias("holder"))
-        held = materialize(asked.join(holders, "id"), "held")
-        losers = held.where("seq <> holder").select("pt", "seq")
-        if losers.isEmpty():
-            return held.select("seq", "id", "score")
-        state = materialize(_moved(state, lists, held, losers), "round")
-
-
-def _moved(state: DataFrame, lists: DataFrame, held: DataFrame, losers: DataFrame) -> DataFrame:
-    taken = held.where("seq = holder").select("id", "holder")
-    until = lists.select("pt", "pos", "id").join(taken, "id", "left")
-    until = until.select("pt", "pos", F.coalesce("holder", F.lit(_NEVER)).alias("h"))
+        bounds.append(now.select("id", "holder"))
+        refused = bids.join(now, "id").where(F.col("seq") > F.col("holder.seq")).select("pt")
+        ousted = now.where("was.seq > holder.seq").select(F.col("was.pt").alias("pt"))
+        hit = materialize(refused.unionByName(ousted).distinct(), "hit")
+        if hit.isEmpty():
+            return _standing(places).where("id IS NOT NULL").select("seq", "id", "score")
+        if number % LOG_LENGTH == 0:
+            places, bounds = [materialize(_standing(places), "places")], [materialize(_bound(bounds), "bound")]
+        moved = _moved(_standing(places).join(hit, "pt", "left_semi"), lists.join(hit, "pt", "left_semi"), _bound(bounds))
+
+
+def _union(log: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, log)
+
+
+def _bound(bounds: list[DataFrame]) -> DataFrame:
+    """Who asked first for a row (``id``, ``holder`` as a struct of ``seq`` and ``pt``)."""
+    return _union(bounds).groupBy("id").agg(F.min_by("holder", "holder.seq").alias("holder"))
+
+
+def _standing(places: list[DataFrame]) -> DataFrame:
+    """The last place of every payment."""
+    last = F.max_by(F.struct("k", "lb", "size", "id", "score", "round"), "round")
+    return _union(places).groupBy("pt", "seq").agg(last.alias("p")).select("pt", "seq", "p.*")
+
+
+def _moved(standing: DataFrame, lists: DataFrame, bound: DataFrame) -> DataFrame:
+    """The payments of the losing types whose place changes, with their new ``lb``."""
+    holder = bound.select("id", F.col("holder.seq").alias("h"))
+    until = lists.select("pt", "pos", "id").join(holder, "id", "left")
+    until = until.select("pt", "pos", F.coalesce("h", F.lit(_NEVER)).alias("h"))
     # h now rises along the list: up to which payment every row so far is gone
     risen = running(until, ["pt"], ["pos"], "h", "gone", "max")
+    state = materialize(standing.join(holder, "id", "left"), "standing")
+    losers = state.where("h < seq")
     events = risen.select("pt", F.col("gone").alias("at"), "pos", F.lit(0).alias("side")).unionByName(
         losers.select("pt", F.col("seq").alias("at"), F.lit(0).cast("bigint").alias("pos"), F.lit(1).alias("side"))
     )
@@ -105,8 +147,9 @@ def _moved(state: DataFrame, lists: DataFrame, held: DataFrame, losers: DataFram
     pushed = state.join(jump, ["pt", "seq"], "left").withColumn(
         "spare", F.greatest(F.col("lb") + F.when(F.col("to").isNotNull(), 1).otherwise(0), F.col("to")) - F.col("k")
     )
-    spread = running(pushed.select("pt", "seq", "k", "size", "spare"), ["pt"], ["seq"], "spare", "ahead", "max")
-    return spread.select("pt", "seq", "k", (F.col("ahead") + F.col("k")).alias("lb"), "size")
+    spread = running(pushed.select("pt", "seq", "k", "lb", "size", "spare"), ["pt"], ["seq"], "spare", "ahead", "max")
+    new = F.col("ahead") + F.col("k")
+    return spread.where(new != F.col("lb")).select("pt", "seq", "k", new.alias("lb"), "size")
 
 
 def _preference_lists(edges: DataFrame, ledger: DataFrame) -> DataFrame:
