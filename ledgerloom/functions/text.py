@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,14 +16,17 @@ SEPARATORS = (
 # fixed value: subsequences listed per text before the keys switch to text pieces
 MAX_SUBSEQUENCES = 5000
 
+# letters one number holds when common subsequences are counted
+_WORD = 60
+
 
 def normalize_reference(ref: Column) -> Column:
     return F.upper(F.translate(F.coalesce(ref.cast("string"), F.lit("")), SEPARATORS, ""))
 
 
 def common_subsequence_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence; up to 60 letters as bit arithmetic on one number."""
-    found = F.when(F.length(b) <= 60, _common_by_bits(a, b)).otherwise(_common_by_rows(a, b))
+    """Length of the longest common subsequence, as bit arithmetic on one number or on several."""
+    found = F.when(F.length(b) <= _WORD, _common_by_bits(a, b)).otherwise(_common_by_words(a, b))
     return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(found)
 
 
@@ -49,20 +54,60 @@ def _common_by_bits(a: Column, b: Column) -> Column:
     return F.length(b) - F.bit_count(last)
 
 
-def _common_by_rows(a: Column, b: Column) -> Column:
-    """The same as a fold over rows of lengths."""
+def _bound_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` names it inside its own lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _common_by_words(a: Column, b: Column) -> Column:
+    """The same over words of 60 bits: the sum of a word carries into the next one.
+
+    The bits of a letter of ``b`` are made once and looked up for each letter of ``a``. Bits past the
+    end of ``b`` are never hit and stay set, so cleared bits count the common letters.
+    """
+    zero, full = F.lit(0).cast("bigint"), F.lit((1 << _WORD) - 1)
+
+    def bits_of(letter: Column, words: Column) -> Column:
+        def word(part: Column) -> Column:
+            bits = F.transform(
+                part, lambda x, i: F.when(x == letter, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(zero)
+            )
+            return F.aggregate(bits, zero, lambda all_, bit: all_.bitwiseOR(bit))
+
+        return F.transform(words, word)
+
+    def fold(places_of: Column, count: Column) -> Column:
+        def step(left: Column, letter: Column) -> Column:
+            def all_words(places: Column) -> Column:
+                def next_word(done: Column, i: Column) -> Column:
+                    word = F.element_at(left, i)
+                    hit = word.bitwiseAND(F.element_at(places, i))
+                    total = word + hit + done["carry"]
+                    return F.struct(
+                        F.concat(done["words"], F.array(total.bitwiseOR(word - hit).bitwiseAND(full))).alias("words"),
+                        F.shiftright(total, _WORD).alias("carry"),
+                    )
+
+                start = F.struct(F.array().cast("array<bigint>").alias("words"), zero.alias("carry"))
+                return F.aggregate(F.sequence(F.lit(1), count), start, next_word, lambda done: done["words"])
+
+            # a letter that b does not have changes nothing
+            return _bound_once(F.try_element_at(places_of, letter), lambda p: F.when(p.isNull(), left).otherwise(all_words(p)))
+
+        last = F.aggregate(F.split(a, ""), F.array_repeat(full, count), step)
+        return F.aggregate(last, F.lit(0), lambda n, word: n + F.lit(_WORD) - F.bit_count(word))
+
+    def over(letters: Column) -> Column:
+        count = F.ceil(F.size(letters) / F.lit(_WORD)).cast("int")
+        words = F.transform(F.sequence(F.lit(0), count - 1), lambda w: F.slice(letters, w * _WORD + 1, F.lit(_WORD)))
 
-    def next_row(row: Column, letter: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            grown = F.when(
-                letter == F.substring(b, j, F.lit(1)), F.element_at(row, j) + 1
-            ).otherwise(F.greatest(F.element_at(done, j), F.element_at(row, j + 1)))
-            return F.concat(done, F.array(grown))
+        def places(parts: Column) -> Column:
+            own = F.array_distinct(letters)
+            return F.map_from_arrays(own, F.transform(own, lambda letter: bits_of(letter, parts)))
 
-        return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(F.lit(0)), cell)
+        return _bound_once(_bound_once(words, places), lambda found: fold(found, count))
 
-    zeros = F.array_repeat(F.lit(0), F.length(b) + 1)
-    return F.element_at(F.aggregate(_letters(a), zeros, next_row), -1)
+    return _bound_once(F.split(b, ""), over)
 
 
 def similarity(a: Column, b: Column) -> Column:

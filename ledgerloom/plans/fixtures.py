@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 ORDERS_AS_OF = datetime(1998, 7, 1)
 EVENTS_AS_OF = datetime(2024, 2, 1)
+# days on which the queue is asked for its most urgent items: early, at midnight, at noon, late
+QUEUE_DATES = (datetime(2024, 1, 9), datetime(2024, 1, 20), EVENTS_AS_OF, datetime(2024, 3, 5, 13, 30))
 ENROLL_AS_OF = datetime(2026, 9, 1)
 
 # each view's SQL and the tables it reads
@@ -35,6 +37,14 @@ SELECT 'TXN-' || lpad(CAST(o_orderkey AS STRING), 8, '0') AS transaction_id,
        o_orderdate AS created_at,
        CASE o_orderstatus WHEN 'F' THEN 'posted' WHEN 'O' THEN 'pending' ELSE 'reversed' END AS status
 FROM orders""", ("orders",)),
+    # two texts of more than 60 letters: b lacks one to three letters of a and has up to two marks that a never holds
+    "fx_long_references": ("""
+WITH t AS (SELECT o_orderkey AS n, 'TXN-' || lpad(CAST(o_orderkey AS STRING), 8, '0') AS transaction_id FROM orders),
+     u AS (SELECT n, transaction_id, repeat(transaction_id, 7) AS a FROM t)
+SELECT n, transaction_id, a,
+       substr(a, 1, 9) || '~' || substr(a, 11, 20) || CASE WHEN n % 3 = 0 THEN '~' ELSE substr(a, 31, 1) END || substr(a, 32, 30)
+       || CASE WHEN n % 2 = 0 THEN '' ELSE substr(a, 62, 1) END || substr(a, 63) AS b
+FROM u""", ("orders",)),
     "fx_payment_records": ("""
 WITH b AS (SELECT o_orderkey, o_totalprice, CAST(o_orderdate AS DATE) AS d, o_orderkey % 100 AS k,
                   'REF-T-' || lpad(CAST(o_orderkey AS STRING), 8, '0') AS ref

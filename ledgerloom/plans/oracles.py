@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .fixtures import with_clause
+from .fixtures import QUEUE_DATES, with_clause
 
 _RECON = with_clause("fx_transactions", "fx_payment_records") + """,
 p AS (SELECT payment_id, upper(regexp_replace(coalesce(reference_id, ''), '[\\s\\-_]+', '', 'g')) AS ref, amount, currency,
@@ -169,6 +169,9 @@ seals AS (SELECT CAST(1 AS BIGINT) AS append, '' AS previous_seal, root, events,
 _REPORT = "CAST(NULL AS VARCHAR) AS event_id, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS BIGINT) AS position"
 
 ORACLES: dict[str, str] = {
+    "recon_long_references": with_clause("fx_long_references") + """, s AS (SELECT transaction_id, length(a) + length(b) AS total,
+      length(a) - 1 - CASE WHEN n % 3 = 0 THEN 1 ELSE 0 END - CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END AS shared FROM fx_long_references)
+      SELECT transaction_id, (CAST(1 AS DOUBLE) - CAST(total - 2 * shared AS DOUBLE) / total) * CAST(100 AS DOUBLE) / CAST(100 AS DOUBLE) AS similarity FROM s""",
     "recon_normalize": with_clause("fx_payment_records") + "SELECT payment_id, upper(regexp_replace(reference_id, '[\\s\\-_]+', '', 'g')) AS normalized FROM fx_payment_records",
     "recon_results": _RECON + "SELECT * FROM results",
     "recon_unmatched_ledger": _RECON + "SELECT transaction_id, seq FROM unused",
@@ -253,6 +256,11 @@ ORACLES: dict[str, str] = {
     "exc_queue": _EXC + """SELECT exception_id, source, reference_id, priority, status, age AS age_days, CAST(sla AS BIGINT) AS sla_days, round(risk, 2) AS amount_at_risk,
       CASE WHEN risk IS NULL THEN 'n/a' ELSE 'amount' END AS amount_basis, factor AS amount_at_risk_factor, late AS age_factor, round(weight * factor * late, 4) AS priority_score,
       CAST(created_at AS VARCHAR) AS created_at FROM g WHERE status = 'open'""",
+    "exc_queue_top": " UNION ALL ".join(
+        "SELECT * FROM (" + _EXC.replace("2024-02-01 00:00:00", str(at)) + f"""SELECT '{at}' AS as_of, exception_id, age AS age_days, late AS age_factor,
+      round(weight * factor * late, 4) AS priority_score FROM g WHERE status = 'open' ORDER BY priority_score DESC, exception_id LIMIT 100)"""
+        for at in QUEUE_DATES
+    ),
     "exc_queue_fixed_sla": _EXC + """SELECT exception_id, CAST(CASE WHEN age <= 5 THEN 1 ELSE round(1 + 0.5 * (age - 5), 4) END AS DOUBLE) AS age_factor,
       round(weight * factor * CAST(CASE WHEN age <= 5 THEN 1 ELSE round(1 + 0.5 * (age - 5), 4) END AS DOUBLE), 4) AS priority_score FROM g""",
     "exc_assign": with_clause("fx_exception_queue") + """SELECT exception_id, CASE WHEN status = 'open' AND lower(priority) = 'high' THEN 'team-' || source END AS assigned_to,

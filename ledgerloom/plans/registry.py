@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..config import DQConfig, ReconConfig, dq_config, enrollment_rules, recon_config
 from ..functions.canonical import event_hash
-from ..functions.text import normalize_reference
-from ..operators import audit, datatests, enrollment, exceptions, quality, reconcile, sealed
+from ..functions.text import normalize_reference, similarity
+from ..operators import audit, datatests, enrollment, exceptions, quality, reconcile, sealed, urgent
 from ..operators.fuzzy import fuzzy_edges
 from ..functions.scratch import materialize, new_path
 from ..schemas import ENROLLMENT_COLUMNS
@@ -54,6 +54,12 @@ def _whole(df: DataFrame, *names: str) -> DataFrame:
 # -- reconciliation -------------------------------------------------------- #
 
 
+def recon_long_references(spark: SparkSession, sf: str) -> DataFrame:
+    """Similarity of texts beyond one number's bits, one to three letters apart."""
+    texts = fx.load(spark, sf, "fx_long_references")
+    return texts.select("transaction_id", similarity(F.col("a"), F.col("b")).alias("similarity"))
+
+
 def recon_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return fx.load(spark, sf, "fx_payment_records").select(
         "payment_id", normalize_reference(F.col("reference_id")).alias("normalized")
@@ -256,6 +262,17 @@ def exc_queue(spark: SparkSession, sf: str) -> DataFrame:
     return _whole(_text(ranked.drop("assigned_to")), "age_days", "sla_days")
 
 
+def exc_queue_top(spark: SparkSession, sf: str) -> DataFrame:
+    """The hundred most urgent open items at several dates, from one stored order."""
+    queue = fx.load(spark, sf, "fx_exception_queue")
+    order = urgent.stored_order(queue, _amount_tables(spark, sf), status="open")
+    tops = [
+        urgent.most_urgent(order, at).select(F.lit(str(at)).alias("as_of"), "exception_id", "age_days", "age_factor", "priority_score")
+        for at in fx.QUEUE_DATES
+    ]
+    return _whole(reduce(DataFrame.unionByName, tops), "age_days")
+
+
 def exc_queue_fixed_sla(spark: SparkSession, sf: str) -> DataFrame:
     queue = fx.load(spark, sf, "fx_exception_queue")
     ranked = exceptions.ranked_queue(queue, _amount_tables(spark, sf), fx.EVENTS_AS_OF, sla_override=5)
@@ -738,11 +755,11 @@ def data_tests_marts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        recon_normalize, recon_results, recon_unmatched_ledger, recon_summary, recon_status_update, recon_fuzzy_edges,
+        recon_normalize, recon_long_references, recon_results, recon_unmatched_ledger, recon_summary, recon_status_update, recon_fuzzy_edges,
         recon_copies, recon_configured, recon_events, recon_breakdown, recon_control_totals, mart_recon_summary,
         dq_results, dq_routed, dq_routed_capped, dq_configured, dq_check_view, dq_events, dq_summary_totals, dq_zscore, dq_iqr, dq_referential, dq_range,
         dq_record_count, mart_dq_summary, dq_dataset_scores,
-        exc_amount_at_risk, exc_queue, exc_queue_fixed_sla, exc_assign, exc_resolve, mart_exception_aging,
+        exc_amount_at_risk, exc_queue, exc_queue_top, exc_queue_fixed_sla, exc_assign, exc_resolve, mart_exception_aging,
         staging_exception_queue,
         enroll_validate, enroll_configured, enroll_skip, enroll_csv, enroll_dual_source, enroll_accepted, enroll_mismatch, enroll_events, enroll_status_update,
         enroll_summary, enroll_mismatch_view, enroll_decide,

@@ -1,9 +1,11 @@
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import exceptions as X
+from ledgerloom.operators import urgent
 from ledgerloom.schemas import schema_of
 
 AS_OF = datetime(2026, 9, 1)
@@ -82,3 +84,29 @@ def test_an_exception_is_named_once(spark):
     queue = spark.createDataFrame([("X1", "open", None)], "exception_id string, status string, assigned_to string")
     with pytest.raises(ValueError):
         X.assign(queue, spark.createDataFrame([("X1", "a"), ("X1", "b")], "exception_id string, owner string"))
+
+
+@pytest.mark.parametrize("override", [None, 5])
+def test_most_urgent_at_any_date_equals_the_ranked_queue(spark, override):
+    rng = random.Random(7)
+    rows = [
+        (f"X{rng.randrange(10**6):06d}", rng.choice([None, "transactions:T1", "transactions:T3", "payment_records:P2"]),
+         rng.choice(["high", "medium", "low", "odd"]), rng.choice(["open", "open", "resolved"]),
+         None if n % 40 == 0 else AS_OF - timedelta(days=rng.randrange(40), seconds=rng.randrange(86400)))
+        for n in range(400)
+    ]
+    # a third of all on one day, and rows that repeat
+    rows += [(f"Y{n:04d}", "transactions:T1", "high", "open", AS_OF - timedelta(days=9, seconds=n)) for n in range(200)] + rows[:5]
+    q, t = queue(spark, rows), tables(spark)
+    order = urgent.stored_order(q, t, "open", override, heads=20)
+    for at, top in [(AS_OF - timedelta(days=30), 20), (AS_OF, 20), (AS_OF + timedelta(days=3, hours=13), 20), (AS_OF, 45), (AS_OF + timedelta(days=90), 10_000)]:
+        whole = X.ranked_queue(q, t, at, "open", override).limit(top).collect()
+        assert urgent.most_urgent(order, at, top).collect() == whole
+
+
+def test_most_urgent_reads_few_rows_and_none_of_an_empty_queue(spark):
+    rows = [(f"X{n:05d}", "transactions:T1", "high", "open", AS_OF - timedelta(days=n % 50)) for n in range(5000)]
+    order = urgent.stored_order(queue(spark, rows), tables(spark), heads=10)
+    assert order.rows.where(urgent._wanted(order, AS_OF, 10)).count() == 10
+    empty = urgent.stored_order(queue(spark, rows[:0]), tables(spark))
+    assert urgent.most_urgent(empty, AS_OF).collect() == []

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 # the quick queries of each area; tests/compare.py runs all of them
 QUICK = [
     "recon_normalize", "recon_results", "recon_fuzzy_edges", "dq_results", "dq_routed", "dq_iqr", "dq_referential",
-    "exc_queue", "mart_exception_aging", "exc_resolve", "enroll_validate", "enroll_dual_source", "audit_event_hash",
+    "exc_queue", "exc_queue_top", "recon_long_references", "mart_exception_aging", "exc_resolve", "enroll_validate", "enroll_dual_source", "audit_event_hash",
     "audit_append", "evidence_exceptions", "data_tests", "store_query", "csv_payments",
 ]
 

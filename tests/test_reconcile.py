@@ -5,7 +5,7 @@ import pytest
 from walk import closeness, plain, walk
 
 from ledgerloom.config import ReconConfig
-from ledgerloom.functions.text import similarity
+from ledgerloom.functions.text import common_subsequence_length, similarity
 from ledgerloom.operators import reconcile as R
 from ledgerloom.operators.fuzzy import _shared_ends
 
@@ -199,6 +199,21 @@ def test_similarity_equals_a_table(spark):
         assert r.s == closeness(r.a, r.b)
 
 
+def test_common_letters_over_several_words(spark):
+    rng = random.Random(5)
+    texts = [
+        ("".join(rng.choice(letters) for _ in range(m)), "".join(rng.choice(letters) for _ in range(n)))
+        for n in (60, 61, 119, 120, 121, 240) for letters in ("AB", "ABCDEF0123", "A\u00c4\U0001f600Z") for m in (1, n, n + 7)
+    ]
+    whole = "".join(rng.choice("ABCDEFGHIJKLMNOP0123456789") for _ in range(2000))
+    fewer = "".join(c for i, c in enumerate(whole) if i % 90)
+    texts += [(whole, fewer), (fewer, whole), ("??", whole), (whole, whole)]
+    df = spark.createDataFrame(texts, "a string, b string")
+    for r in df.select("a", "b", common_subsequence_length(df.a, df.b).alias("n")).collect():
+        shared = round((len(r.a) + len(r.b)) * closeness(r.a, r.b) / 2)
+        assert r.n == shared
+
+
 def test_endless_amounts_match_nothing(spark):
     from ledgerloom.config import ReconConfig
     from ledgerloom.operators import reconcile
@@ -242,7 +257,7 @@ def test_a_shared_beginning_brings_few_pairs_together(spark):
     from pyspark.sql import functions as F
 
     from ledgerloom.config import ReconConfig
-    from ledgerloom.functions.text import similarity
+    from ledgerloom.functions.text import common_subsequence_length, similarity
     from ledgerloom.operators import fuzzy
 
     rng = random.Random(11)
