@@ -100,27 +100,43 @@ def exact_quantiles(
     parts that hold a wanted rank, from their least to their greatest value. An interval ends as one value, or
     as at most ``few`` values, which are fetched. Values are neither sorted nor shuffled.
     """
-    numbers = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    numbers = df.select(F.col(column).cast("double").alias("v"), F.lit(1).cast("bigint").alias("n")).where("v IS NOT NULL AND NOT isnan(v)")
     endless = F.abs("v") == float("inf")
     total, below, finite, low, high = numbers.agg(
         F.count(F.lit(1)), F.count_if(endless & (F.col("v") < 0)), F.count_if(~endless), F.min(F.when(~endless, F.col("v"))), F.max(F.when(~endless, F.col("v"))),
     ).first()
     if total == 0:
         return 0, []
-    spots = [p * (total - 1) for p in probabilities]
-    wanted = sorted({math.floor(s) for s in spots} | {math.ceil(s) for s in spots})
+    wanted = wanted_ranks(total, probabilities)
     found = {r: -math.inf if r < below else math.inf for r in wanted if not below <= r < below + finite}
     # intervals: least and greatest value, values before them, values in them, ranks asked for
-    open_ = [(low, high, below, finite, [r for r in wanted if r not in found])]
+    found |= ranked(numbers, [(low, high, below, finite, [r for r in wanted if r not in found])], bins, few)
+    return total, interpolated(total, probabilities, found)
+
+
+def wanted_ranks(total: int, probabilities: list[float]) -> list[int]:
+    spots = [p * (total - 1) for p in probabilities]
+    return sorted({math.floor(s) for s in spots} | {math.ceil(s) for s in spots})
+
+
+def interpolated(total: int, probabilities: list[float], found: dict[int, float]) -> list[float]:
+    spots = [p * (total - 1) for p in probabilities]
+    low_, high_ = [found[math.floor(s)] for s in spots], [found[math.ceil(s)] for s in spots]
+    return [a if a == b else a + (b - a) * (s - math.floor(s)) for a, b, s in zip(low_, high_, spots, strict=True)]
+
+
+def ranked(numbers: DataFrame, open_: list[tuple], bins: int = 1024, few: int = 4096) -> dict[int, float]:
+    """Values at ranks inside intervals, by selection; ``numbers`` has finite values ``v`` and how often each row counts, ``n``."""
+    found: dict[int, float] = {}
     while open_ := _settled(numbers, open_, found, few):
         which, place = F.lit(None).cast("int"), F.lit(None).cast("int")
         for i, (a, b, _, _, _) in enumerate(open_):
             inside = F.col("v").between(a, b)
             which = F.when(inside, F.lit(i)).otherwise(which)
             place = F.when(inside, _part(a, b, bins)).otherwise(place)
-        counted = numbers.select("v", which.alias("i"), place.alias("bin")).where("i IS NOT NULL").groupBy("i", "bin")
+        counted = numbers.select("v", "n", which.alias("i"), place.alias("bin")).where("i IS NOT NULL").groupBy("i", "bin")
         # at most bins rows for each interval reach the driver
-        rows = counted.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
+        rows = counted.agg(F.sum("n").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
         closer = []
         for i, (_, _, before, _, ranks) in enumerate(open_):
             for r in sorted((r for r in rows if r["i"] == i), key=lambda r: r["a"]):
@@ -129,9 +145,7 @@ def exact_quantiles(
                     closer.append((r["a"], r["b"], before, r["n"], own))
                 before += r["n"]
         open_ = closer
-    low_, high_ = [found[math.floor(s)] for s in spots], [found[math.ceil(s)] for s in spots]
-    between = [a if a == b else a + (b - a) * (s - math.floor(s)) for a, b, s in zip(low_, high_, spots, strict=True)]
-    return total, between
+    return found
 
 
 def _part(a: float, b: float, bins: int) -> Column:
@@ -156,7 +170,7 @@ def _settled(numbers: DataFrame, intervals: list[tuple], found: dict[int, float]
             found.update({r: a for r in ranks})
         elif n <= few or b / 2 - a / 2 == 0:
             # no more than few, or neighbouring numbers, whose counts are few different values
-            same = numbers.where(F.col("v").between(a, b)).groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()
+            same = numbers.where(F.col("v").between(a, b)).groupBy("v").agg(F.sum("n").alias("n")).orderBy("v").collect()
             at = before
             for r in same:
                 found.update({k: r["v"] for k in ranks if at <= k < at + r["n"]})

@@ -102,13 +102,21 @@ def range_fails(value: Column, minimum: float | None, maximum: float | None) ->
     return bad
 
 
-def stale_fails(value: Column, as_of: datetime, max_age_days: int) -> Column:
-    now = F.lit(as_of.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
+def instant_of(value: Column) -> Column:
+    """A date, timestamp or text as zone-free UTC, null where it is none."""
     # text with a zone is an instant: it is moved to UTC, where a plain cast would drop the offset
     zoned = value.cast("string").rlike(r"\d{2}:\d{2}.*(Z|[+-]\d{2}(:?\d{2})?)$")
     shifted = F.convert_timezone(F.current_timezone(), F.lit("UTC"), value.try_cast("timestamp").cast("timestamp_ntz"))
-    age = whole_days(now, F.when(zoned, shifted).otherwise(value.try_cast("timestamp_ntz")))
-    return F.coalesce(age > F.lit(int(max_age_days)), F.lit(False))
+    return F.when(zoned, shifted).otherwise(value.try_cast("timestamp_ntz"))
+
+
+def older(instant: Column, as_of: datetime, max_age_days: int) -> Column:
+    now = F.lit(as_of.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.coalesce(whole_days(now, instant) > F.lit(int(max_age_days)), F.lit(False))
+
+
+def stale_fails(value: Column, as_of: datetime, max_age_days: int) -> Column:
+    return older(instant_of(value), as_of, max_age_days)
 
 
 def _usable(df: DataFrame, name: str) -> Column:
