@@ -4,20 +4,28 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.exceptions import scored
+from ..operators.exceptions import scored_rows, with_amounts
 from ..operators.quality import dataset_scores
 
 
 def recon_summary(results: DataFrame) -> DataFrame:
     """Per batch: payment side and ledger side apart, rates in percent."""
+    return recon_summary_of(results.withColumn("rows", F.lit(1)))
+
+
+def recon_summary_of(counts: DataFrame) -> DataFrame:
+    """The same from rows that stand for ``rows`` results each."""
     payment, matched = F.col("match_status") != "unmatched_ledger", F.col("match_status") == "matched"
-    counted = results.groupBy("batch_id").agg(
-        F.count_if(payment).alias("total"), F.count_if(matched).alias("matched"),
-        F.count(F.lit(1)).alias("ledger_total"), F.count_if(~payment).alias("unmatched_ledger"),
-        F.max("reconciled_at").alias("reconciled_at"),
+
+    def of(kept: Column) -> Column:
+        return F.coalesce(F.sum(F.when(kept, F.col("rows"))), F.lit(0)).cast("bigint")
+
+    counted = counts.groupBy("batch_id").agg(
+        of(payment).alias("total"), of(matched).alias("matched"), of(F.lit(True)).alias("ledger_total"),
+        of(~payment).alias("unmatched_ledger"), F.max("reconciled_at").alias("reconciled_at"),
     )
     covered = F.col("ledger_total") - F.col("unmatched_ledger")
     return counted.select(
@@ -30,12 +38,16 @@ def recon_summary(results: DataFrame) -> DataFrame:
 
 def outcome_breakdown(results: DataFrame) -> DataFrame:
     """Per batch, rows by status and payments by method: (``batch_id``, ``kind``, ``name``, ``rows``)."""
+    return outcome_breakdown_of(results.withColumn("rows", F.lit(1)))
+
+
+def outcome_breakdown_of(counts: DataFrame) -> DataFrame:
     payment = F.col("match_status") != "unmatched_ledger"
-    named = results.select("batch_id", F.explode(F.filter(F.array(
+    named = counts.select("batch_id", "rows", F.explode(F.filter(F.array(
         F.struct(F.lit("status").alias("kind"), F.col("match_status").alias("name")),
         F.when(payment & F.col("match_method").isNotNull(), F.struct(F.lit("method").alias("kind"), F.col("match_method").alias("name"))),
     ), lambda e: e.isNotNull())).alias("e"))
-    return named.groupBy("batch_id", "e.kind", "e.name").agg(F.count(F.lit(1)).alias("rows"))
+    return named.groupBy("batch_id", "e.kind", "e.name").agg(F.sum("rows").cast("bigint").alias("rows"))
 
 
 def dq_summary(results: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -51,7 +63,12 @@ def dq_summary(results: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def exception_aging(queue: DataFrame, tables: dict[str, DataFrame], as_of: datetime) -> DataFrame:
-    return scored(queue, tables, as_of).select(
+    return exception_aging_of(with_amounts(queue, tables), as_of)
+
+
+def exception_aging_of(rows: DataFrame, as_of: datetime) -> DataFrame:
+    """The mart at a date from queue rows that carry their record's ``amount``: no join."""
+    return scored_rows(rows, as_of).select(
         "exception_id", "source", "reference_id", "priority", "status", "created_at", "resolved_at", "amount_at_risk",
         "amount_basis", "severity_weight", "sla_days", "age_days", "age_factor", "amount_at_risk_factor", "priority_score",
     ).orderBy(F.desc("priority_score"), "exception_id")

@@ -354,6 +354,10 @@ nodes AS (SELECT * FROM n0 UNION ALL SELECT * FROM n1 UNION ALL SELECT * FROM n2
 _LATER = {k: v.replace("1998-07-01", "2026-09-01") for k, v in (("recon", _RECON), ("dq", _DQ))}
 ORACLES |= {
     "dq_kept": ORACLES["dq_results"],
+    "mart_recon_kept": ORACLES["mart_recon_summary"].replace(
+        "max(reconciled_at) AS reconciled_at FROM results", "max(reconciled_at) AS reconciled_at FROM (FROM results UNION ALL SELECT * REPLACE ('BATCH-002' AS batch_id) FROM results)"
+    ),
+    "mart_aging_kept": ORACLES["mart_exception_aging"],
     "seal_proof": _PROOF + """SELECT append, level, block, hashes, node,
       level < (SELECT max(level) FROM nodes m WHERE m.append = nodes.append) OR node = (SELECT root FROM seals WHERE seals.append = nodes.append) AS sound FROM nodes WHERE kept""",
     "seal_proof_altered": _PROOF + """, c AS (SELECT count(*) AS events, count(*) FILTER (WHERE append = 1) AS first, count(*) FILTER (WHERE entity_id LIKE '%77') AS changed FROM leaves WHERE entity_id LIKE '%7'),

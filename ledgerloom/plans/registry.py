@@ -22,7 +22,7 @@ from ..sources.staging import stage
 from ..sources.tables import TableStore, conform
 from ..streaming.intake import start_intake
 from . import fixtures as fx
-from . import marts
+from . import kept_marts, marts
 from .run_all import enroll_store, reconcile_store, run_all
 
 BATCH = "BATCH-001"
@@ -147,6 +147,31 @@ def mart_recon_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _text(marts.recon_summary(_results(spark, sf)))
 
 
+def mart_recon_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch stored in two commits and another after it, the mart's counts refreshed after each."""
+    store, results = TableStore(spark, new_path(spark, "store")), materialize(_results(spark, sf), "results")
+    matched = F.col("match_status") == "matched"
+    store.write("reconciliation_results", results.where(~matched))
+    kept_marts.refresh_recon(store)
+    store.write("reconciliation_results", results.where(matched))
+    kept_marts.refresh_recon(store)
+    store.write("reconciliation_results", results.withColumn("batch_id", F.lit("BATCH-002")))
+    kept_marts.refresh_recon(store)
+    return _text(kept_marts.recon_summary(store))
+
+
+def mart_aging_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Two thirds of the queue and nine tenths of the ledger, then the rest: the mart after its parts were refreshed."""
+    store, tables = TableStore(spark, new_path(spark, "store")), _amount_tables(spark, sf)
+    queue, ledger = fx.load(spark, sf, "fx_exception_queue"), tables["transactions"]
+    late, third = F.crc32("transaction_id") % 10 == 0, F.crc32("exception_id") % 3 == 0
+    store.write_many({**tables, "transactions": ledger.where(~late), "exception_queue": queue.where(~third)}, "replace")
+    kept_marts.refresh_exceptions(store)
+    store.write_many({"transactions": ledger.where(late), "exception_queue": queue.where(third)}, "append")
+    kept_marts.refresh_exceptions(store)
+    return _whole(_text(kept_marts.exception_aging(store, fx.EVENTS_AS_OF)), "age_days", "sla_days")
+
+
 # -- data quality ---------------------------------------------------------- #
 
 
@@ -769,7 +794,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         recon_normalize, recon_long_references, recon_results, recon_unmatched_ledger, recon_summary, recon_status_update, recon_fuzzy_edges,
-        recon_copies, recon_configured, recon_events, recon_breakdown, recon_control_totals, mart_recon_summary,
+        recon_copies, recon_configured, recon_events, recon_breakdown, recon_control_totals, mart_recon_summary, mart_recon_kept, mart_aging_kept,
         dq_results, dq_kept, dq_routed, dq_routed_capped, dq_configured, dq_check_view, dq_events, dq_summary_totals, dq_zscore, dq_iqr, dq_referential, dq_range,
         dq_record_count, mart_dq_summary, dq_dataset_scores,
         exc_amount_at_risk, exc_queue, exc_queue_top, exc_queue_fixed_sla, exc_assign, exc_resolve, mart_exception_aging,

@@ -43,6 +43,10 @@ _TABLES = {
 # tables of the library's own: ids of enrollments that were processed, and the stages of a whole job
 _OWN = {
     "processed_enrollments": "enrollment_id string",
+    "mart_recon_counts": "batch_id string, match_status string, match_method string, rows bigint, reconciled_at timestamp_ntz, upto bigint, version string",
+    "mart_exceptions": "exception_id string, source string, reference_id string, priority string, status string, created_at timestamp_ntz, "
+    "resolved_at timestamp_ntz, amount double",
+    "mart_marks": "mart string, upto bigint, versions string",
     "job_stages": "run_id string, stage string, ok boolean, items bigint, passed bigint, exceptions bigint, top_score double",
 }
 
