@@ -354,6 +354,20 @@ nodes AS (SELECT * FROM n0 UNION ALL SELECT * FROM n1 UNION ALL SELECT * FROM n2
 _LATER = {k: v.replace("1998-07-01", "2026-09-01") for k, v in (("recon", _RECON), ("dq", _DQ))}
 ORACLES |= {
     "dq_kept": ORACLES["dq_results"],
+    "data_tests_defects": f"""WITH r AS ({_RECON} SELECT count(DISTINCT batch_id) AS n FROM results),
+      d AS ({_DQ} SELECT count(DISTINCT dataset_name) FILTER (WHERE check_type = 'anomaly') AS again, count(DISTINCT dataset_name) FILTER (WHERE NOT passed) AS lost FROM dq),
+      q AS ({with_clause("fx_exception_queue")} SELECT count(*) FILTER (WHERE status = 'resolved') AS again,
+        count(*) FILTER (WHERE source = 'enrollment_dual_source' AND status = 'in_progress') AS lost,
+        sum(CASE WHEN priority = 'LOW' THEN CASE status WHEN 'resolved' THEN 2 ELSE 1 END ELSE 0 END) AS odd,
+        2 * count(*) FILTER (WHERE status = 'resolved' AND priority = 'low') AS unscored FROM fx_exception_queue),
+      t AS (SELECT 'mart_recon_summary' AS table_name, 'batch_id' AS column_name, 'not_null' AS test, n AS failing_rows FROM r
+      UNION ALL SELECT 'mart_recon_summary', 'batch_id', 'unique', n FROM r
+      UNION ALL SELECT 'mart_recon_summary', 'reconciliation_rate', 'percent', n FROM r
+      UNION ALL SELECT 'mart_recon_summary', 'ledger_coverage_rate', 'percent', n FROM r
+      UNION ALL SELECT 'mart_dq_summary', 'dataset_name', 'not_null', lost FROM d UNION ALL SELECT 'mart_dq_summary', 'dataset_name', 'unique', again FROM d
+      UNION ALL SELECT 'mart_exception_aging', 'exception_id', 'not_null', lost FROM q UNION ALL SELECT 'mart_exception_aging', 'exception_id', 'unique', again FROM q
+      UNION ALL SELECT 'mart_exception_aging', 'amount_basis', 'accepted_values', odd FROM q UNION ALL SELECT 'mart_exception_aging', 'priority_score', 'not_null', unscored FROM q)
+      SELECT table_name, column_name, test, CAST(failing_rows AS BIGINT) AS failing_rows FROM t""",
     "mart_recon_kept": ORACLES["mart_recon_summary"].replace(
         "max(reconciled_at) AS reconciled_at FROM results", "max(reconciled_at) AS reconciled_at FROM (FROM results UNION ALL SELECT * REPLACE ('BATCH-002' AS batch_id) FROM results)"
     ),

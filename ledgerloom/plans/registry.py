@@ -790,6 +790,25 @@ def data_tests_marts(spark: SparkSession, sf: str) -> DataFrame:
     })
 
 
+def data_tests_defects(spark: SparkSession, sf: str) -> DataFrame:
+    """The same tests over marts with repeated rows, missing keys and scores, wrong names and impossible rates."""
+    recon = marts.recon_summary(_results(spark, sf))
+    recon = recon.unionByName(recon.withColumn("reconciliation_rate", F.col("reconciliation_rate") + 100.5)).unionByName(
+        recon.withColumns({"batch_id": F.lit(None).cast("string"), "ledger_coverage_rate": F.lit(-1.0)})
+    )
+    checks = marts.dq_summary(_dq_rows(spark, sf), dq_config().type_weights)
+    checks = checks.unionByName(checks.where("anomaly_rate IS NOT NULL")).unionByName(
+        checks.where("checks_failed > 0").withColumn("dataset_name", F.lit(None).cast("string"))
+    )
+    aging = marts.exception_aging(fx.load(spark, sf, "fx_exception_queue"), _amount_tables(spark, sf), fx.EVENTS_AS_OF)
+    aging = aging.unionByName(aging.where("status = 'resolved'")).withColumns({
+        "amount_basis": F.when(F.col("priority") == "LOW", "guess").otherwise(F.col("amount_basis")),
+        "priority_score": F.when((F.col("priority") != "low") | (F.col("status") != "resolved"), F.col("priority_score")),
+        "exception_id": F.when((F.col("source") != "enrollment_dual_source") | (F.col("status") != "in_progress"), F.col("exception_id")),
+    })
+    return datatests.run_all_tests({"mart_recon_summary": recon, "mart_dq_summary": checks, "mart_exception_aging": aging})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -807,6 +826,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         audit_verify_forked, audit_verify_orphaned, audit_verify_batch,
         staging_transactions, staging_reconciliation_results, staging_dq_results, staging_payment_records, staging_pending_enrollments, source_file_filter,
         store_replace_and_append, store_versions, store_utc, store_query, csv_payments, enroll_stream,
-        data_tests, data_tests_marts,
+        data_tests, data_tests_marts, data_tests_defects,
     )
 }
