@@ -110,3 +110,34 @@ def test_most_urgent_reads_few_rows_and_none_of_an_empty_queue(spark):
     assert order.rows.where(urgent._wanted(order, AS_OF, 10)).count() == 10
     empty = urgent.stored_order(queue(spark, rows[:0]), tables(spark))
     assert urgent.most_urgent(empty, AS_OF).collect() == []
+
+
+def test_items_that_share_an_id_are_named_by_more_columns(spark):
+    twins = queue(spark, [
+        ("X1", "a:1", "high", "open", AS_OF), ("X1", "a:2", "low", "open", AS_OF), ("X1", "a:3", "low", "in_progress", AS_OF),
+        ("X1", "a:4", "low", "resolved", AS_OF), ("X2", "a:5", "high", "open", AS_OF),
+    ])
+    keys = ["exception_id", "priority", "status"]
+    owners = twins.where("status = 'open'").select(*keys, F.concat(F.lit("to-"), "priority").alias("owner"))
+    got = {r.reference_id: (r.assigned_to, r.status) for r in X.assign(twins, owners, keys).collect()}
+    assert got == {
+        "a:1": ("to-high", "in_progress"), "a:2": ("to-low", "in_progress"), "a:3": (None, "in_progress"),
+        "a:4": (None, "resolved"), "a:5": ("to-high", "in_progress"),
+    }
+    asked = twins.where("status = 'in_progress'").select(*keys, F.lit("why").alias("root_cause"), F.lit("so").alias("resolution_notes"))
+    updated, told = X.resolve(twins, asked, AS_OF, keys)
+    assert {r.reference_id for r in updated.where("root_cause = 'why' AND status = 'resolved'").collect()} == {"a:3"} and told.count() == 1
+    with pytest.raises(ValueError, match="named 2 times"):
+        X.assign(twins, owners)
+    with pytest.raises(ValueError, match="already resolved"):
+        X.resolve(twins, twins.where("status = 'resolved'").select(*keys, F.lit("x").alias("root_cause"), F.lit("y").alias("resolution_notes")), AS_OF, keys)
+
+
+def test_queue_ids_cut_to_six_digits_stay_apart(spark, tmp_path):
+    """From a million events on, several items of the given queue carry one id."""
+    from ledgerloom.plans.registry import QUERIES
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("event_id", F.col("event_id") + 999_900).write.parquet(f"{tmp_path}/events.parquet")
+    n = spark.read.parquet(f"{tmp_path}/events.parquet").count()
+    for name in ("exc_assign", "exc_resolve"):
+        assert QUERIES[name](spark, str(tmp_path)).count() == n
