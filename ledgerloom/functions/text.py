@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: characters dropped from a reference before it is compared: dash, underscore, white space
 SEPARATORS = (
@@ -16,108 +18,49 @@ SEPARATORS = (
 # fixed value: subsequences listed per text before the keys switch to text pieces
 MAX_SUBSEQUENCES = 5000
 
-# letters one number holds when common subsequences are counted
-_WORD = 60
-
 
 def normalize_reference(ref: Column) -> Column:
     return F.upper(F.translate(F.coalesce(ref.cast("string"), F.lit("")), SEPARATORS, ""))
 
 
 def common_subsequence_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, as bit arithmetic on one number or on several."""
-    found = F.when(F.length(b) <= _WORD, _common_by_bits(a, b)).otherwise(_common_by_words(a, b))
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(found)
-
-
-def _letters(text: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)))
-
-
-def _common_by_bits(a: Column, b: Column) -> Column:
-    """One bit per letter of ``b``; a letter of ``a`` clears the next bit it can extend a subsequence by."""
-    one = F.lit(1).cast("bigint")
-    full = F.call_function("shiftleft", one, F.length(b)) - 1
-
-    def where_in_b(letter: Column) -> Column:
-        def add(bits: Column, j: Column) -> Column:
-            bit = F.call_function("shiftleft", one, j - 1)
-            return F.when(F.substring(b, j, F.lit(1)) == letter, bits.bitwiseOR(bit)).otherwise(bits)
-
-        return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.lit(0).cast("bigint"), add)
-
-    def step(left: Column, places: Column) -> Column:
-        hit = left.bitwiseAND(places)
-        return (left + hit).bitwiseOR(left - hit).bitwiseAND(full)
-
-    last = F.aggregate(F.transform(_letters(a), where_in_b), full, step)
-    return F.length(b) - F.bit_count(last)
-
-
-def _bound_once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once a row, however often ``use`` names it inside its own lambdas."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    """Length of the longest common subsequence, counted in letters."""
+    return _counter()(a, b)
 
 
-def _common_by_words(a: Column, b: Column) -> Column:
-    """The same over words of 60 bits: the sum of a word carries into the next one.
+def _counter() -> Callable[[Column, Column], Column]:
+    """One bit per letter of ``b``; a letter of ``a`` clears the next bit it can extend a subsequence by.
 
-    The bits of a letter of ``b`` are made once and looked up for each letter of ``a``. Bits past the
-    end of ``b`` are never hit and stay set, so cleared bits count the common letters.
+    Letters that both texts begin or end with are in every longest subsequence, so bits are needed for the rest alone.
     """
-    zero, full = F.lit(0).cast("bigint"), F.lit((1 << _WORD) - 1)
 
-    def bits_of(letter: Column, words: Column) -> Column:
-        def word(part: Column) -> Column:
-            bits = F.transform(
-                part, lambda x, i: F.when(x == letter, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(zero)
-            )
-            return F.aggregate(bits, zero, lambda all_, bit: all_.bitwiseOR(bit))
-
-        return F.transform(words, word)
-
-    def fold(places_of: Column, count: Column) -> Column:
-        def step(left: Column, letter: Column) -> Column:
-            def all_words(places: Column) -> Column:
-                def next_word(done: Column, i: Column) -> Column:
-                    word = F.element_at(left, i)
-                    hit = word.bitwiseAND(F.element_at(places, i))
-                    total = word + hit + done["carry"]
-                    return F.struct(
-                        F.concat(done["words"], F.array(total.bitwiseOR(word - hit).bitwiseAND(full))).alias("words"),
-                        F.shiftright(total, _WORD).alias("carry"),
-                    )
-
-                start = F.struct(F.array().cast("array<bigint>").alias("words"), zero.alias("carry"))
-                return F.aggregate(F.sequence(F.lit(1), count), start, next_word, lambda done: done["words"])
-
-            # a letter that b does not have changes nothing
-            return _bound_once(F.try_element_at(places_of, letter), lambda p: F.when(p.isNull(), left).otherwise(all_words(p)))
-
-        last = F.aggregate(F.split(a, ""), F.array_repeat(full, count), step)
-        return F.aggregate(last, F.lit(0), lambda n, word: n + F.lit(_WORD) - F.bit_count(word))
-
-    def over(letters: Column) -> Column:
-        count = F.ceil(F.size(letters) / F.lit(_WORD)).cast("int")
-        words = F.transform(F.sequence(F.lit(0), count - 1), lambda w: F.slice(letters, w * _WORD + 1, F.lit(_WORD)))
-
-        def places(parts: Column) -> Column:
-            own = F.array_distinct(letters)
-            return F.map_from_arrays(own, F.transform(own, lambda letter: bits_of(letter, parts)))
-
-        return _bound_once(_bound_once(words, places), lambda found: fold(found, count))
-
-    return _bound_once(F.split(b, ""), over)
+    def common(a: str, b: str) -> int:
+        size, head, tail = min(len(a), len(b)), 0, 0
+        while head < size and a[head] == b[head]:
+            head += 1
+        while tail < size - head and a[-1 - tail] == b[-1 - tail]:
+            tail += 1
+        a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+        places: dict[str, int] = {}
+        for i, letter in enumerate(b):
+            places[letter] = places.get(letter, 0) | 1 << i
+        full = left = (1 << len(b)) - 1
+        for letter in a:
+            hit = left & places.get(letter, 0)
+            left = (left + hit | left - hit) & full
+        return head + tail + len(b) - left.bit_count()
+
+    def count(a: pd.Series, b: pd.Series) -> pd.Series:
+        known = (None if x is None or y is None else common(x, y) for x, y in zip(a, b, strict=True))
+        return pd.Series(list(known), dtype="Int32")
+
+    return F.pandas_udf(count, T.IntegerType())
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """1 - (insertions + deletions) / total length. Up to one edit it follows from ``levenshtein``."""
-    edits = F.levenshtein(a, b)
+    """1 - (insertions + deletions) / total length."""
     total = F.length(a) + F.length(b)
-    shared = F.when(edits <= 1, F.greatest(F.length(a), F.length(b)) - edits).otherwise(
-        common_subsequence_length(a, b)
-    )
-    score = (F.lit(1.0) - (total - 2 * shared) / total) * 100.0 / 100.0
+    score = (F.lit(1.0) - (total - 2 * common_subsequence_length(a, b)) / total) * 100.0 / 100.0
     return F.when(total == 0, F.lit(1.0)).otherwise(score)
 
 

@@ -277,3 +277,12 @@ def test_a_shared_beginning_brings_few_pairs_together(spark):
     wanted = pay.crossJoin(led.select("lt", "l_ref")).where(similarity(F.col("p_ref"), F.col("l_ref")) >= 0.9).select("pt", "lt").collect()
     assert len(wanted) >= 290 and set(map(tuple, wanted)) <= set(map(tuple, met))
     assert len(met) < 20 * len(wanted) < 0.1 * 300 * 300
+
+
+def test_similarity_of_a_pair_is_one_call_over_whole_texts(spark):
+    """Texts beyond one number's bits compare in tens of microseconds, not in milliseconds of lambdas."""
+    pairs = [("a" * 70 + "xyz" + "b" * 70, "a" * 70 + "zyx" + "b" * 70, 141), ("ab" * 80, "ba" * 80, 159), ("", "q", 0), ("é😀x", "😀é😀", 2), (None, "a", None)]
+    df = spark.createDataFrame(pairs, "a string, b string, n int")
+    found = df.select("n", common_subsequence_length(F.col("a"), F.col("b")).alias("got"))
+    assert all(r.n == r.got for r in found.collect())
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
