@@ -195,3 +195,25 @@ def test_events_of_several_batches_are_numbered_apart(spark):
     both = events(spark, 2, "A").unionByName(events(spark, 2, "B", 2))
     ids = [r.event_id for r in audit.unchained(both, AS_OF).orderBy("seq").collect()]
     assert ids == ["EVT-A-000001", "EVT-A-000002", "EVT-B-000001", "EVT-B-000002"]
+
+
+@pytest.mark.parametrize("name", ["altered", "orphaned"])
+def test_long_chain_is_shortened_before_it_is_walked(spark, monkeypatch, name):
+    """Breaks far from the start, with few steps left to walk; all rounds together write a few times the log."""
+    rows = chain(600)
+    if name == "altered":
+        rows[450]["action"] = "other"
+    if name == "orphaned":
+        rows += [{**rows[0], "event_id": f"EVT-R1-{i}", "previous_hash": f"ring-{i}", "event_hash": f"ring-{1 - i}"} for i in range(2)]
+    random.Random(name).shuffle(rows)
+    written, store = [], audit.materialize
+
+    def counting(df, label, **options):
+        kept = store(df, label, **options)
+        written.append(kept.count() if label == "edges" else 0)
+        return kept
+
+    monkeypatch.setattr(audit, "materialize", counting)
+    r = audit.verify(frame(spark, rows), None, 40).first()
+    assert (r["verified"], r["event_id"], r["reason"], r["position"]) == walk(rows)
+    assert sum(written) <= 5 * len(rows)
