@@ -288,3 +288,38 @@ def test_similarity_of_a_pair_is_one_call_over_whole_texts(spark):
     found = df.select("n", common_subsequence_length(F.col("a"), F.col("b")).alias("got"))
     assert all(r.n == r.got for r in found.collect())
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_disputed_edges_reach_the_assignment(spark, monkeypatch):
+    """A payment type and a ledger type that have nobody else are settled where they are found."""
+    seen = []
+
+    def spy(edges, payments, ledger):
+        seen.extend((r.kind, r.pt) for r in edges.select("kind", "pt").collect())
+        return assign(edges, payments, ledger)
+
+    assign = R.assign
+    monkeypatch.setattr(R, "assign", spy)
+    payments = [(f"P{i:02d}", f"REF-LONE-{i:04d}", 100.0 * i, "USD", DAY) for i in range(1, 13)]
+    ledger = [(f"T{i:02d}", f"REF-LONE-{i:04d}", 100.0 * i, "USD", DAY) for i in range(1, 13)]
+    # copies on one side alone; copies on both; a text near a row that its own payment takes first
+    payments += [("P20", "REF-LONE-0001", 100.0, "USD", DAY), ("P21", "BOTH", 7.0, "USD", DAY), ("P22", "BOTH", 7.0, "USD", DAY)]
+    payments += [("P30", "REF-LONE-0002X", 200.0, "USD", DAY)]
+    ledger += [("T20", "REF-LONE-0003", 300.0, "USD", DAY), ("T21", "BOTH", 7.0, "USD", DAY), ("T22", "BOTH", 7.0, "USD", DAY)]
+    check(spark, payments, ledger)
+    assert sorted(seen) == [("E", 2), ("E", 14), ("F", 16)]
+
+
+def test_references_of_many_types_meet_in_buckets(spark):
+    """Payment types of a reference meet its ledger types directly or in buckets: the same edges."""
+    rng, cfg = random.Random(5), ReconConfig()
+    some = lambda n: [(rng.choice(("A", "B", "")), round(rng.uniform(0, 6), 1), DAY + timedelta(days=rng.randrange(5))) for _ in range(n)]
+    pay, led = frames(
+        spark, [(f"P{i:03d}", r, a, "USD", d) for i, (r, a, d) in enumerate(some(60))],
+        [(f"T{i:03d}", r, a, "USD", d) for i, (r, a, d) in enumerate(some(60))],
+    )
+    queue = R.with_sequence(R._prepared(pay, "payment_id", "payment_date", "payment_id"), ["ord", "id"], "seq")
+    types = R.payment_types(queue)
+    known = R.known_types(types, R._prepared(led, "transaction_id", "posting_date", "transaction_id"))
+    found = [sorted((r.pt, r.lt) for r in R.exact_edges(types, known, cfg, few=n).select("pt", "lt").collect()) for n in (0, 20, 64)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
