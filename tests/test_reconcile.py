@@ -323,3 +323,28 @@ def test_references_of_many_types_meet_in_buckets(spark):
     known = R.known_types(types, R._prepared(led, "transaction_id", "posting_date", "transaction_id"))
     found = [sorted((r.pt, r.lt) for r in R.exact_edges(types, known, cfg, few=n).select("pt", "lt").collect()) for n in (0, 20, 64)]
     assert found[0] == found[1] == found[2] and len(found[0]) > 100
+
+
+def test_plain_references_make_no_types(spark, monkeypatch):
+    """One payment and one ledger row of a reference are settled by one aggregate, unless a fuzzy edge leads to the row."""
+    written = {}
+
+    def counted(df, label, *a, **kw):
+        stored = store(df, label, *a, **kw)
+        written[label] = stored.count()
+        return stored
+
+    store = R.materialize
+    monkeypatch.setattr(R, "materialize", counted)
+    payments = [(f"P{i:03d}", f"REF-{i:06d}", 10.0 * i, "USD", DAY) for i in range(100, 140)]
+    ledger = [(f"T{i:03d}", f"ref_{i:06d}", 10.0 * i + 1, "USD", DAY + timedelta(1)) for i in range(100, 140)]
+    # an earlier payment that is close to T105, a later one to T106, one of another amount, one of a second currency
+    payments += [
+        ("P000", "REF-00010X", 1050.0, "USD", DAY), ("P900", "REF-00010Y", 1060.0, "USD", DAY),
+        ("P901", "REF-000200", 5.0, "USD", DAY), ("P902", "REF-000107", 1070.0, "EUR", DAY),
+    ]
+    ledger += [("T200", "REF-000200", 9.0, "USD", DAY)]
+    got = check(spark, payments, ledger)
+    assert got["P000"][:3] == ("matched", "fuzzy", "T105") and got["P105"][4] == "duplicate"
+    assert got["P110"][:3] == ("matched", "exact", "T110")
+    assert written["types"] == 4 and written["met"] == 2
