@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ SEPARATORS = (
 # fixed value: subsequences listed per text before the keys switch to text pieces
 MAX_SUBSEQUENCES = 5000
 
+# fixed value: letters that one machine word has bits for
+_WORD_BITS = 64
+
 
 def normalize_reference(ref: Column) -> Column:
     return F.upper(F.translate(F.coalesce(ref.cast("string"), F.lit("")), SEPARATORS, ""))
@@ -31,7 +35,8 @@ def common_subsequence_length(a: Column, b: Column) -> Column:
 def _counter() -> Callable[[Column, Column], Column]:
     """One bit per letter of ``b``; a letter of ``a`` clears the next bit it can extend a subsequence by.
 
-    Letters that both texts begin or end with are in every longest subsequence, so bits are needed for the rest alone.
+    Texts of up to a machine word's bits are counted a batch at a time, letter by letter. Of longer ones the letters that both
+    begin or end with are in every longest subsequence, so bits are needed for the rest alone.
     """
 
     def common(a: str, b: str) -> int:
@@ -50,11 +55,35 @@ def _counter() -> Callable[[Column, Column], Column]:
             left = (left + hit | left - hit) & full
         return head + tail + len(b) - left.bit_count()
 
-    def count(a: pd.Series, b: pd.Series) -> pd.Series:
-        known = (None if x is None or y is None else common(x, y) for x, y in zip(a, b, strict=True))
-        return pd.Series(list(known), dtype="Int32")
+    def letters(texts: pd.Series, sizes: np.ndarray, width: int, nothing: int) -> np.ndarray:
+        codes = np.array(texts, dtype=f"<U{width}").view("<u4").reshape(len(texts), width)
+        return np.where(np.arange(width) < sizes[:, None], codes, np.uint32(nothing))
+
+    def common_short(a: pd.Series, b: pd.Series, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+        bits = next(w for w in (8, 16, 32, _WORD_BITS) if w >= lb.max())
+        # past the end of a text stand codes that no letter has, and that differ
+        x, y = letters(a, la, max(int(la.max()), 1), 0xFFFFFFFF), letters(b, lb, bits, 0xFFFFFFFE)
+        left = full = np.where(lb > 0, np.uint64(0xFFFFFFFFFFFFFFFF) >> (_WORD_BITS - np.maximum(lb, 1)).astype(np.uint64), np.uint64(0))
+        for i in range(x.shape[1]):
+            places = np.packbits((y == x[:, i : i + 1]).reshape(-1), bitorder="little").view(f"<u{bits // 8}")
+            hit = left & places
+            left = (left + hit | left - hit) & full
+        return lb - np.bitwise_count(left)
 
-    return F.pandas_udf(count, T.IntegerType())
+    def count(a: pd.Series, b: pd.Series) -> pd.Series:
+        known = (a.notna() & b.notna()).to_numpy()
+        la, lb = (np.array([0 if t is None else len(t) for t in s], dtype=np.int64) for s in (a, b))
+        short = known & (la <= _WORD_BITS) & (lb <= _WORD_BITS)
+        found = np.zeros(len(a), dtype=np.int32)
+        if short.any():
+            found[short] = common_short(a[short], b[short], la[short], lb[short])
+        long = known & ~short
+        if long.any():
+            found[long] = [common(x, y) for x, y in zip(a[long], b[long], strict=True)]
+        return pd.Series(pd.arrays.IntegerArray(found, ~known))
+
+    # a filter on the length is not moved below it then, where it would be counted a second time
+    return F.pandas_udf(count, T.IntegerType()).asNondeterministic()
 
 
 def similarity(a: Column, b: Column) -> Column:
