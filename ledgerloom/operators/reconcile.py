@@ -136,22 +136,28 @@ def with_kinds(queue: DataFrame, kinds: DataFrame) -> DataFrame:
 
 
 def reference_groups(queue: DataFrame, book: DataFrame, cfg: ReconConfig) -> DataFrame:
-    """One row per reference and currency that payments name: payments ``n_p``, the first of them, and whether it is ``plain``.
+    """One row per reference and currency that payments name: payments ``n_p`` and ledger rows ``n_l``, the first of each, ``mixed`` and ``plain``.
 
-    A plain group is one payment and one ledger row, both with an id, in both bands: an exact edge without neighbours.
+    Groups of a reference of several currencies are ``mixed``; the others hold all rows of their reference. A plain group
+    is one payment and one ledger row, both with an id, in both bands: an exact edge without neighbours. Stored once.
     """
     asked, offered = F.struct("seq", "id", "amount", "day"), F.struct("ord", "id", "amount", "day")
     rows = queue.select("ref", "cur", asked.alias("p")).unionByName(book.select("ref", "cur", offered.alias("l")), allowMissingColumns=True)
-    groups = rows.groupBy("ref", "cur").agg(F.count("p").alias("n_p"), F.count("l").alias("n_l"), F.min("p").alias("p"), F.min("l").alias("l"))
+    sides = [F.count("p").alias("n_p"), F.count("l").alias("n_l"), F.min("p").alias("p"), F.min("l").alias("l")]
+    whole = rows.groupBy("ref").agg(*sides, F.min("cur").alias("cur"), F.max("cur").alias("last"))
+    whole = materialize(whole.where("n_p > 0"), "groups")
+    groups = whole.where("cur = last").drop("last").withColumn("mixed", F.lit(False))
+    several = materialize(whole.where("cur != last").select("ref"), "mixed")
+    if not several.isEmpty():
+        parts = rows.join(several, "ref", "left_semi").groupBy("ref", "cur").agg(*sides).where("n_p > 0")
+        groups = groups.unionByName(materialize(parts.withColumn("mixed", F.lit(True)), "mixed_groups"))
     p, l = F.col("p"), F.col("l")  # noqa: E741
     plain = (
         (F.col("n_p") == 1) & (F.col("n_l") == 1) & l["id"].isNotNull()
         & bands.matchable(p["amount"], p["day"]) & bands.matchable(l["amount"], l["day"])
         & bands.within_amount(p["amount"], l["amount"], cfg) & bands.within_window(p["day"], l["day"], cfg)
     )
-    return groups.where("n_p > 0").select(
-        "ref", "cur", "n_p", "p", F.struct(l["ord"], l["id"]).alias("l"), F.coalesce(plain, F.lit(False)).alias("plain")
-    )
+    return groups.withColumn("plain", F.coalesce(plain, F.lit(False)))
 
 
 def other_payments(queue: DataFrame, groups: DataFrame) -> DataFrame:
@@ -161,6 +167,13 @@ def other_payments(queue: DataFrame, groups: DataFrame) -> DataFrame:
     return lone.unionByName(queue.join(several, ["ref", "cur"], "left_semi").select(*lone.columns))
 
 
+def other_rows(book: DataFrame, groups: DataFrame) -> DataFrame:
+    """All ledger rows of the references of ``other_payments``; a lone row is in its group's row, the others are looked up."""
+    lone = groups.where("n_l = 1 AND NOT mixed AND NOT plain").select("l.ord", "l.id", "ref", "cur", "l.amount", "l.day")
+    several = materialize(groups.where("n_l > 1 OR mixed").select("ref").distinct(), "several_rows")
+    return lone.unionByName(book.join(several, "ref", "left_semi").select(*lone.columns))
+
+
 def shared_rows(edges: DataFrame, plain: DataFrame) -> DataFrame:
     """Ledger types that more than one edge leads to."""
     ends = edges.select("lt").unionByName(plain.select(F.col("l.id").alias("lt")))
@@ -177,10 +190,10 @@ def mismatch_links(mismatched: DataFrame, book: DataFrame, taken: DataFrame) ->
     """For M payments (``seq``, ``ref``): the first row of the reference not yet taken, else its first row."""
     row = F.struct("ord", "id")
     mismatched = materialize(mismatched, "mismatched")
-    rows = materialize(
-        book.join(mismatched.select("ref").distinct(), "ref", "left_semi")
-        .join(taken.select("id", F.col("seq").alias("at")), "id", "left").select("ref", "ord", "id", "at"), "asked_rows",
-    )
+    asked = materialize(book.join(mismatched.select("ref").distinct(), "ref", "left_semi").select("ref", "ord", "id"), "asked")
+    # of all rows taken, those asked for are few, mostly
+    taken = taken.join(asked.select("id").distinct(), "id", "left_semi").select("id", F.col("seq").alias("at"))
+    rows = materialize(asked.join(taken, "id", "left").select("ref", "ord", "id", "at"), "asked_rows")
     heads = rows.groupBy("ref").agg(
         F.min(row).alias("any_row"), F.min(F.when(F.col("at").isNull(), row)).alias("free_row")
     )
@@ -218,12 +231,13 @@ def match_payments(
     """
     queue = with_sequence(_prepared(payments, "payment_id", "payment_date", payment_order), ["ord", "id"], "seq")
     book = _prepared(ledger, "transaction_id", "posting_date", ledger_order)
-    groups = materialize(reference_groups(queue, book, cfg), "groups")
-    plain = groups.where("plain")
+    groups = reference_groups(queue, book, cfg)
+    plain = groups.where("plain").withColumn("l", F.struct("l.ord", "l.id"))
     queue = materialize(other_payments(queue, groups), "others_queue")
     types = materialize(payment_types(queue), "types")
 
-    known = materialize(known_types(types, book), "known")
+    near_book = materialize(other_rows(book, groups), "others_book")
+    known = materialize(known_types(types, near_book), "known")
     exact = materialize(exact_edges(types, known, cfg), "exact")
     kinds = classified(types, known, exact, cfg)
     fuzzy = materialize(fuzzy_edges(kinds.where("kind = 'F'"), book, cfg, pairs_per_bucket), "fuzzy")
@@ -246,7 +260,7 @@ def match_payments(
     pairs = materialize(settled.unionByName(rest), "pairs")
 
     taken = pairs.select("seq", "id").unionByName(clear.select("p.seq", "l.id"))
-    links = mismatch_links(typed.where("kind = 'M'").select("seq", "ref"), book, taken)
+    links = mismatch_links(typed.where("kind = 'M'").select("seq", "ref"), near_book, taken)
     queue = queue.select("seq", "id", "amount", "day").unionByName(met.select("p.seq", "p.id", "p.amount", "p.day"))
     outcome = (
         queue.withColumnRenamed("id", "payment_id").join(typed.drop("ref"), "seq")

@@ -2,6 +2,7 @@ import random
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 from walk import closeness, plain, walk
 
 from ledgerloom.config import ReconConfig
@@ -348,3 +349,52 @@ def test_plain_references_make_no_types(spark, monkeypatch):
     assert got["P000"][:3] == ("matched", "fuzzy", "T105") and got["P105"][4] == "duplicate"
     assert got["P110"][:3] == ("matched", "exact", "T110")
     assert written["types"] == 4 and written["met"] == 2
+
+
+def test_ledger_rows_of_other_payments_come_from_their_groups(spark, monkeypatch):
+    """What the ledger says of references that are not plain is kept from the first aggregate, also of several currencies."""
+    written = {}
+
+    def counted(df, label, *a, **kw):
+        stored = store(df, label, *a, **kw)
+        written[label] = stored.count()
+        return stored
+
+    store = R.materialize
+    monkeypatch.setattr(R, "materialize", counted)
+    payments = [(f"P{i:03d}", f"REF-{i:06d}", 10.0 * i, "USD", DAY) for i in range(100, 140)]
+    ledger = [(f"T{i:03d}", f"ref_{i:06d}", 10.0 * i + 1, "USD", DAY + timedelta(1)) for i in range(100, 150)]
+    # another amount; a currency that only the ledger or only the payments have; copies; both currencies right
+    payments += [
+        ("P900", "REF-000140", 5.0, "USD", DAY), ("P901", "REF-000141", 1410.0, "EUR", DAY), ("P902", "REF-000142", 1420.0, None, DAY),
+        ("P903", "REF-000143", 1430.0, "USD", DAY), ("P904", "REF-000143", 1430.0, "USD", DAY), ("P905", "REF-000144", 1440.0, "USD", DAY),
+        ("P906", "REF-000144", 1440.0, "EUR", DAY), ("P907", "REF-000100", 3.0, "EUR", DAY),
+    ]
+    ledger += [("T900", "REF-000142", 9.0, "EUR", DAY), ("T901", "REF-000143", 1430.0, "USD", DAY), ("T902", "REF-000144", 1440.0, "EUR", DAY)]
+    got = check(spark, payments, ledger)
+    assert got["P906"][:3] == ("matched", "exact", "T902") and got["P905"][:3] == ("matched", "exact", "T144")
+    assert got["P901"][4] == got["P907"][4] == "amount_mismatch"
+    # of references 100, 140 to 144; none of the plain ones, and none that no payment names
+    assert written["others_book"] == 9
+
+
+def test_common_letters_of_short_and_long_texts(spark):
+    """Texts within and beyond a machine word's bits, and absent ones, in one batch; counted once where a filter follows."""
+    rng = random.Random(8)
+    some = lambda: "".join(rng.choice("AB1\0é😀") for _ in range(rng.choice((0, 1, 7, 8, 9, 15, 33, 63, 64, 65, 90))))
+    texts = [(None if rng.random() < 0.05 else some(), None if rng.random() < 0.05 else some()) for _ in range(400)]
+    texts += [("A" * 64, "A" * 64), ("A" * 64, "B" * 63 + "A"), ("A" * 65, "A" * 64), ("", "")]
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0] + [max(row[j + 1], row[j] + (x == y)) for j, y in enumerate(b)]
+            for j in range(1, len(row)):
+                row[j] = max(row[j], row[j - 1])
+        return row[-1]
+
+    df = spark.createDataFrame(texts, "a string, b string").coalesce(1)
+    got = [tuple(r) for r in df.select("a", "b", common_subsequence_length(F.col("a"), F.col("b"))).collect()]
+    assert got == [(a, b, None if a is None or b is None else longest(a, b)) for a, b in texts]
+    near = df.withColumn("score", similarity(F.col("a"), F.col("b"))).where("score >= 0.5")
+    assert near._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
