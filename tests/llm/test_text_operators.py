@@ -130,6 +130,43 @@ def test_a_run_counts_the_same_in_a_large_corpus(spark):
     assert len(found) == 6 and all(r.train_tokens > 9000000 and r.score > r.base_score + 5 for r in found)
 
 
+def test_parts_and_rounds_do_not_change_the_tree(spark, monkeypatch):
+    """Contexts of six symbols stay and none of seven, which is inside a round of four; words are dealt into parts."""
+    monkeypatch.setattr(suffix_tree, "PART_TOKENS", 400)
+    draw = random.Random(6)
+    pick = lambda: draw.choice(("x a a a a a b", "y a a a a a c", "z z", "q"))
+    rows = [(i, " ".join(pick() for _ in range(draw.randint(0, 60)))) for i in range(60)]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = suffix_tree.score(made, F.col("doc_id") % 5 == 1, chunk_bytes=1500).collect()
+    length, expected = tree_scores([(*t.split(), "\0") for _, t in rows], [i % 5 == 1 for i, _ in rows])
+    assert length >= 6 and len(found) == len(rows) and all(abs(r.score - expected[r.doc_id]) < 1e-6 for r in found)
+
+
+def test_what_always_goes_on_the_same_is_not_followed():
+    rule, n = suffix_tree.Rule(5, 6.0, 4.0), 8
+    context, before = np.zeros(n, "<i8"), [np.ones(n, "<u4")]
+    same, symbols = np.full(n, 7, "<u4"), np.array([7, 7, 7, 7, 7, 7, 8, 9], "<u4")
+    change, at, _, stayed = suffix_tree._lengthened(rule, context, same, np.full(n, 3, "<i4"), np.full(n, -5.0), before)
+    assert stayed == 1 and len(at) == 0 and (change > 4).all()  # stays, and nothing longer can
+    many = np.array([3, 3, 3, 3, 3, 3, 9, 9], "<i4")
+    assert len(suffix_tree._lengthened(rule, context, symbols, many, np.full(n, -5.0), before)[1]) == n  # may part
+
+
+def test_written_rows_do_not_grow_with_the_length_of_uniform_text(spark, monkeypatch):
+    """A row is as large as what it says, so that a task's rows fit its memory; it was four bytes a word and length."""
+    sizes, write = [], suffix_tree.materialize
+
+    def kept(table, *args, **kinds):
+        found = write(table, *args, **kinds)
+        cells = [F.max(F.length(c)) for c, t in found.dtypes if t == "binary"]
+        sizes.extend(x or 0 for x in found.agg(*cells).first()) if cells else None
+        return found
+
+    monkeypatch.setattr(suffix_tree, "materialize", kept)
+    made = spark.range(3).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 300000).alias("text"))
+    assert suffix_tree.score(made, F.lit(False)).count() == 3 and max(sizes) < 100000
+
+
 def test_fingerprints_are_homomorphic():
     a, b, c = prose(1), prose(2), prose(3)
     one, two = multiset_hash.fingerprints([f"{a}\n{b}\n{c}\n{a}", f"{c}\n\n{a}\n{a}\n{b}"])
