@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_store import AS_OF, enrollment_csv, rows, seeded
 
+from ledgerloom.functions import scratch
 from ledgerloom.functions.scan import exact_quantiles
 from ledgerloom.operators import sealed
 from ledgerloom.plans.registry import _Stopping
@@ -51,6 +52,23 @@ def test_whole_job_goes_on_after_a_stop(spark, tmp_path):
     assert store.read("reconciliation_results").where("payment_id IS NOT NULL").count() == 5 and store.count("dq_results") == 17
 
 
+def test_stages_leave_no_scratch_tables(spark, tmp_path, monkeypatch):
+    """Neither a stage that ends nor one that is stopped; they were all kept to the end of the application."""
+    folder = tmp_path / "scratch"
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: str(folder))
+    store = seeded(spark, tmp_path / "s")
+    before = [*folder.glob("ledgerloom/*/*")]
+    with pytest.raises(InterruptedError):
+        run_all(_Stopping(spark, store.root, 7), AS_OF, "R1")
+    assert folder.exists() and [*folder.glob("ledgerloom/*/*")] == before
+    assert run_all(store, AS_OF, "R1").count() == 5 and [*folder.glob("ledgerloom/*/*")] == before
+    with scratch.passing(spark):
+        outer = scratch.materialize(spark.range(3), "outer")
+        with scratch.passing(spark):
+            scratch.materialize(spark.range(4), "inner")
+        assert outer.count() == 3 and [p.name[:5] for p in folder.glob("ledgerloom/*/*") if p not in before] == ["outer"]
+
+
 def test_a_job_that_was_overtaken_fails(spark, tmp_path):
     one, two = (TableStore(spark, str(tmp_path / "s")) for _ in range(2))
     row = spark.createDataFrame([(1,)], "x int")
